@@ -9,6 +9,7 @@ from .joins import bounded_broadcast
 
 UNMATCHED_DROP = "drop"  # rows whose first name has no weight are removed (first profile)
 UNMATCHED_ZERO = "zero"  # they stay with both weights 0 and Common = 0, Uncommon = 1 (second profile)
+UNMATCHED_KEEP = "keep"  # plain lookup: they stay with NULL weights
 
 
 def name_sex_counts(names: DataFrame) -> DataFrame:
@@ -77,6 +78,10 @@ def weight_lookup(weights: DataFrame, max_broadcast_rows: int | None = 1_000_000
 def join_weights(rows: DataFrame, lookup: DataFrame, unmatched: str = UNMATCHED_DROP, name_col: str = "first_name") -> DataFrame:
     """Join a prepared :func:`weight_lookup` side to ``rows`` and apply the unmatched policy."""
     joined = rows.join(lookup, rows[name_col] == lookup["__name"], "left")
+    if unmatched == UNMATCHED_KEEP:
+        return joined.select(
+            *[rows[c] for c in rows.columns], F.col("__m").alias("Male"), F.col("__f").alias("Female")
+        )
     if unmatched == UNMATCHED_DROP:
         # Left join + not-null filter: Catalyst turns this into an inner join.
         return joined.where(F.col("__m").isNotNull() & F.col("__f").isNotNull()).select(
