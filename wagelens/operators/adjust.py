@@ -18,7 +18,11 @@ def index_values(cpi: DataFrame, years: Sequence[int], month: int, base_year: in
     The result has one row per requested year, so it is safe to broadcast.
     """
     spark = cpi.sparkSession
-    wanted = spark.createDataFrame([(int(y), int(base_year)) for y in years], "fiscal_year int, base_year int")
+    # The requested years as a JVM-side table (no Python rows shipped): one row per year.
+    wanted = spark.range(1).select(
+        F.explode(F.array(*[F.lit(int(y)) for y in years])).alias("fiscal_year"),
+        F.lit(int(base_year)).alias("base_year"),
+    )
     needed = sorted({int(y) for y in years} | {int(base_year)})
     per_year = (
         cpi.where((F.col("month") == month) & F.col("year").isin(needed))

@@ -30,7 +30,11 @@ def _ts(year: int):
     return F.make_timestamp_ntz(F.lit(year), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
 
 
-def payroll(spark: SparkSession, sf_dir: str, years: Sequence[int] | None = None) -> DataFrame:
+def payroll(
+    spark: SparkSession,
+    sf_dir: str,
+    years: Sequence[int] | None = None,
+) -> DataFrame:
     """Canonical payroll rows built from lineitem, part, supplier and nation.
 
     With ``years`` the ship-date range of those years is filtered in the lineitem scan (a range
@@ -44,12 +48,17 @@ def payroll(spark: SparkSession, sf_dir: str, years: Sequence[int] | None = None
     )
     if years:
         li = li.where((F.col("l_shipdate") >= _ts(min(years))) & (F.col("l_shipdate") < _ts(max(years) + 1)))
+    # Each dimension joins the fact side directly, so the planner's size check (file sizes
+    # against spark.sql.autoBroadcastJoinThreshold, re-checked at run time by AQE) decides
+    # broadcast vs shuffle per table; at full scale part and supplier are shuffle-joined.
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
-    # supplier x nation first: both are dimensions, nation has a fixed handful of rows.
     supp = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    supp_name = supp.join(nation, supp.s_nationkey == nation.n_nationkey).select("s_suppkey", "n_name")
-    rows = li.join(part, li.l_partkey == part.p_partkey).join(supp_name, li.l_suppkey == supp_name.s_suppkey)
+    rows = (
+        li.join(part, li.l_partkey == part.p_partkey)
+        .join(supp, li.l_suppkey == supp.s_suppkey)
+        .join(nation, supp.s_nationkey == nation.n_nationkey)
+    )
     return rows.select(
         F.year("l_shipdate").cast("int").alias("fiscal_year"),
         F.col("p_type").alias("agency"),
