@@ -130,6 +130,22 @@ def _weighted_contributions(df: DataFrame, has_flags: bool) -> DataFrame:
     return df.select(*cols)
 
 
+def cube_contributions(eligible_rows: DataFrame, lookup: DataFrame, is_broadcast: bool, unmatched: str) -> DataFrame:
+    """Rows (or per-name sums) carrying every additive cube measure, before the final sum.
+
+    Works on batch and streaming inputs alike when ``is_broadcast`` (no aggregation happens
+    before the final one).
+    """
+    measures = _row_measures(eligible_rows, pre_aggregate=not is_broadcast)
+    enriched = join_weights(measures, lookup, unmatched)
+    return _weighted_contributions(enriched, unmatched != UNMATCHED_DROP)
+
+
+def sum_cube(contributions: DataFrame) -> DataFrame:
+    """Final sum of :func:`cube_contributions` per (fiscal_year, agency, title)."""
+    return contributions.groupBy(*CUBE_KEYS).agg(*[F.sum(c).alias(c) for c in CUBE_MEASURES])
+
+
 def measure_cube(
     eligible_rows: DataFrame,
     weights: DataFrame,
@@ -147,11 +163,7 @@ def measure_cube(
     Either way the facts are scanned once and shuffled once, after partial aggregation.
     """
     lookup, is_broadcast = weight_lookup(weights, max_broadcast_rows)
-    has_flags = unmatched != UNMATCHED_DROP
-    measures = _row_measures(eligible_rows, pre_aggregate=not is_broadcast)
-    enriched = join_weights(measures, lookup, unmatched)
-    contrib = _weighted_contributions(enriched, has_flags)
-    return contrib.groupBy(*CUBE_KEYS).agg(*[F.sum(c).alias(c) for c in CUBE_MEASURES])
+    return sum_cube(cube_contributions(eligible_rows, lookup, is_broadcast, unmatched))
 
 
 def rollup(

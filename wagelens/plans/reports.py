@@ -67,12 +67,14 @@ def measures(rolled: DataFrame, kind: str) -> DataFrame:
 class ReportSuite:
     """All reports of one profile over one set of inputs, sharing one cube."""
 
-    def __init__(self, inputs: Inputs, profile: Profile, keep_cube: bool = False):
+    def __init__(self, inputs: Inputs, profile: Profile, keep_cube: bool = False, cube: DataFrame | None = None):
+        """``cube``: a cube computed elsewhere (e.g. kept up to date by the streaming job)."""
         self.inputs = inputs
         self.profile = profile
         self.keep_cube = keep_cube
-        self._cube: DataFrame | None = None
+        self._cube: DataFrame | None = cube
         self._weights: DataFrame | None = None
+        self._index: DataFrame | None = None
 
     # -- building blocks ----------------------------------------------------------------------
 
@@ -94,8 +96,12 @@ class ReportSuite:
         return self._cube
 
     def index(self) -> DataFrame:
-        p = self.profile
-        return index_values(self.inputs.cpi, p.years, p.cpi_month, p.base_year)
+        """Per-year index values (one row per year); stored once with ``keep_cube``."""
+        if self._index is None:
+            p = self.profile
+            index = index_values(self.inputs.cpi, p.years, p.cpi_month, p.base_year)
+            self._index = materialize(index) if self.keep_cube else index
+        return self._index
 
     def _threshold(self, grain: str) -> int:
         return self.profile.min_group_agency if grain == "agency" else self.profile.min_group_title
