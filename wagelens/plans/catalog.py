@@ -32,7 +32,7 @@ from ..operators.names import (
 from ..operators.reshape import distinct_keys, to_wide
 from ..session import scratch_path
 from ..sources import files, star
-from ..sources.sinks import write_csv
+from ..sources.sinks import write_csv, write_parquet
 from .profiles import STAR_V2020, STAR_V2022, Profile
 from .reports import Inputs, ReportSuite, measures
 
@@ -249,6 +249,21 @@ def q_csv_round_trip(spark, sf_dir):
     return files.read_payroll(spark, path)
 
 
+def q_payroll_csv_source(spark, sf_dir):
+    # Payroll written with the published header names, read back through the source mapping.
+    path = scratch_path(spark, "payroll-csv")
+    published = {v: k for k, v in files.PAYROLL_SOURCE_NAMES.items()}
+    rows = star.payroll(spark, sf_dir).withColumnsRenamed(published).withColumn("Payroll Number", F.lit("x"))
+    write_csv(rows, path)
+    return files.read_payroll(spark, path)
+
+
+def q_name_weights_export(spark, sf_dir):
+    path = scratch_path(spark, "baby-names")
+    write_parquet(_weights(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
 # -- reports ----------------------------------------------------------------------------------
 
 _GENDER_ROUND = {f"{m}_{y}": 2 for m in ("Male", "Female") for y in range(1990, 2030)}
@@ -310,6 +325,14 @@ def q_gender_gap_agency_v2022(spark, sf_dir):
     return _round(_suite(spark, sf_dir, STAR_V2022).gender_gap("agency"), _GENDER_ROUND)
 
 
+def q_overtime_agency_v2022(spark, sf_dir):
+    return _suite(spark, sf_dir, STAR_V2022).overtime("agency")
+
+
+def q_gender_gap_title_table_v2022(spark, sf_dir):
+    return _suite(spark, sf_dir, STAR_V2022).gender_gap_table("title")
+
+
 def q_overtime_title_chart_kept(spark, sf_dir):
     p = STAR_V2020.with_(city_scope="kept")
     return ReportSuite(_inputs(spark, sf_dir, p), p).overtime_chart("title")
@@ -345,6 +368,8 @@ QUERIES: dict[str, Query] = {
     "outer_merge_two_years": q_outer_merge_two_years,
     "distinct_keys": q_distinct_keys,
     "csv_round_trip": q_csv_round_trip,
+    "payroll_csv_source": q_payroll_csv_source,
+    "name_weights_export": q_name_weights_export,
     "gender_gap_agency": q_gender_gap_agency,
     "gender_gap_agency_chart": q_gender_gap_agency_chart,
     "gender_gap_agency_table": q_gender_gap_agency_table,
@@ -359,5 +384,7 @@ QUERIES: dict[str, Query] = {
     "overtime_title_latest": q_overtime_title_latest,
     "uncommon_names_agency": q_uncommon_names_agency,
     "gender_gap_agency_v2022": q_gender_gap_agency_v2022,
+    "overtime_agency_v2022": q_overtime_agency_v2022,
+    "gender_gap_title_table_v2022": q_gender_gap_title_table_v2022,
     "overtime_title_chart_kept": q_overtime_title_chart_kept,
 }

@@ -373,6 +373,8 @@ FROM (SELECT title, n FROM sizes WHERE fiscal_year = {min(p.years)}) a
 FULL OUTER JOIN (SELECT title, n FROM sizes WHERE fiscal_year = {max(p.years)}) b ON a.title IS NOT DISTINCT FROM b.title"""
     sql["distinct_keys"] = _with(PAYROLL, eligible_cte(p)) + f"SELECT DISTINCT agency FROM eligible WHERE fiscal_year = {p.base_year}"
     sql["csv_round_trip"] = sql["eligible_filter"]
+    sql["payroll_csv_source"] = _with(PAYROLL) + "SELECT * FROM payroll"
+    sql["name_weights_export"] = sql["name_weights"]
     for grain in ("agency", "title"):
         sql[f"gender_gap_{grain}"] = ratio_wide_sql(p, grain, False, "gender")
         sql[f"gender_gap_{grain}_chart"] = ratio_wide_sql(p, grain, True, "gender")
@@ -382,5 +384,7 @@ FULL OUTER JOIN (SELECT title, n FROM sizes WHERE fiscal_year = {max(p.years)})
         sql[f"overtime_{grain}_latest"] = overtime_latest_sql(p, grain)
     sql["uncommon_names_agency"] = ratio_wide_sql(p2, "agency", False, "names")
     sql["gender_gap_agency_v2022"] = ratio_wide_sql(p2, "agency", False, "gender")
+    sql["overtime_agency_v2022"] = overtime_wide_sql(p2, "agency", False)
+    sql["gender_gap_title_table_v2022"] = gender_table_sql(p2, "title")
     sql["overtime_title_chart_kept"] = overtime_wide_sql(p.with_(city_scope="kept"), "title", True)
     return sql
