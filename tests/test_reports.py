@@ -170,3 +170,10 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_every_query_has_oracle():
     assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+
+
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
+def test_no_nested_loop_cartesian_or_python_in_plans(spark, name):
+    plan = _plan(entry_module.queries()[name](spark, SF0001))
+    for bad in ("NestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "PythonUDF"):
+        assert bad not in plan, bad

@@ -18,11 +18,11 @@ def index_values(cpi: DataFrame, years: Sequence[int], month: int, base_year: in
     The result has one row per requested year, so it is safe to broadcast.
     """
     spark = cpi.sparkSession
-    # The requested years as a JVM-side table (no Python rows shipped): one row per year.
-    wanted = spark.range(1).select(
-        F.explode(F.array(*[F.lit(int(y)) for y in years])).alias("fiscal_year"),
-        F.lit(int(base_year)).alias("base_year"),
-    )
+    # The requested (year, base year) pairs as a JVM-side table, one row per year. Both values
+    # come out of the generator, so the optimizer cannot fold the base year into a constant
+    # and both lookups stay equi-joins.
+    pairs = [F.struct(F.lit(int(y)).alias("fiscal_year"), F.lit(int(base_year)).alias("base_year")) for y in years]
+    wanted = spark.range(1).select(F.inline(F.array(*pairs)))
     needed = sorted({int(y) for y in years} | {int(base_year)})
     per_year = (
         cpi.where((F.col("month") == month) & F.col("year").isin(needed))

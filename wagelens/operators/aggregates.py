@@ -167,28 +167,45 @@ def measure_cube(
 
 
 def rollup(
-    cube: DataFrame,
+    source: DataFrame,
     key: str,
     min_group_size: int | None = None,
     city_scope: str = "all",
     city_label: str | None = None,
 ) -> DataFrame:
-    """Cube -> report rows per (fiscal_year, key) plus one citywide row per year.
+    """Report rows per (fiscal_year, key) plus one citywide row per year.
+
+    ``source`` is the cube, or any frame with the cube's additive measures per row (e.g. the
+    contributions before the cube's final sum) -- the sums are the same.
 
     ``min_group_size``: keep keys with more than that many rows in the year (strict ``>``).
     ``city_scope='all'``: the citywide row counts every row, before the threshold (as the
-    reference code does); ``'kept'``: only rows of the keys that pass it.
+    reference code does) -- per-key and citywide rows are then one GROUPING SETS aggregate,
+    one shuffle; ``'kept'``: only rows of the keys that pass it (a second, tiny aggregate).
 
     Output: ``fiscal_year, key, is_citywide, <summed measures>``; ``key`` holds ``city_label``
-    on citywide rows. The citywide row is told apart by ``is_citywide``, never by the key text.
+    on citywide rows. The citywide row is told apart by ``grouping_id()``, never by the key.
     """
     sums = [F.sum(c).alias(c) for c in CUBE_MEASURES]
-    per_key = cube.groupBy("fiscal_year", F.col(key).alias("key")).agg(*sums)
-    kept = per_key if min_group_size is None else per_key.where(F.col("n") > min_group_size)
-    city_src = per_key if city_scope == "all" else kept
-    if city_scope not in ("all", "kept"):
+    if city_scope == "all":
+        grouped = source.groupingSets([["fiscal_year", key], ["fiscal_year"]], "fiscal_year", key).agg(
+            *sums, F.grouping_id().alias("__gid")
+        )
+        is_city = F.col("__gid") != 0
+        out = grouped.select(
+            "fiscal_year",
+            F.when(is_city, F.lit(city_label).cast("string")).otherwise(F.col(key)).alias("key"),
+            is_city.alias("is_citywide"),
+            *CUBE_MEASURES,
+        )
+        if min_group_size is not None:
+            out = out.where(F.col("is_citywide") | (F.col("n") > min_group_size))
+        return out
+    if city_scope != "kept":
         raise ValueError(f"unknown city_scope {city_scope!r}")
-    city = city_src.groupBy("fiscal_year").agg(*sums).select(
+    per_key = source.groupBy("fiscal_year", F.col(key).alias("key")).agg(*sums)
+    kept = per_key if min_group_size is None else per_key.where(F.col("n") > min_group_size)
+    city = kept.groupBy("fiscal_year").agg(*sums).select(
         "fiscal_year", F.lit(city_label).cast("string").alias("key"), *CUBE_MEASURES
     )
     return kept.withColumn("is_citywide", F.lit(False)).unionByName(city.withColumn("is_citywide", F.lit(True)))

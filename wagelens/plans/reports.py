@@ -109,11 +109,12 @@ class ReportSuite:
     def long(self, kind: str, grain: str, chart: bool, latest_only: bool = False, restated: bool = True) -> DataFrame:
         """Long report rows: ``fiscal_year, key, is_citywide, n, <measures>`` (money restated)."""
         p = self.profile
-        cube = self.cube()
+        # Facts are summed once into the cube; the grouping sets then expand only cube rows.
+        source = self.cube()
         if latest_only:
-            cube = cube.where(F.col("fiscal_year") == p.base_year)
+            source = source.where(F.col("fiscal_year") == p.base_year)
         rolled = rollup(
-            cube,
+            source,
             grain,
             min_group_size=self._threshold(grain) if chart else None,
             city_scope=p.city_scope,
