@@ -53,8 +53,8 @@ def with_dollar_texts(df: DataFrame, columns: Sequence[str], by: Sequence[str])
         aggs.append(F.max(F.col(c) != F.floor(F.col(c))).alias(f"__frac_{c}"))
     stats = df.groupBy(*by).agg(*aggs)
     joined = df.join(F.broadcast(stats), on=list(by), how="left")
-    out = joined
-    for c in columns:
-        flag = needs_cents(F.col(f"__max_{c}"), F.coalesce(F.col(f"__frac_{c}"), F.lit(False)))
-        out = out.withColumn(c, dollar_text(F.col(c), flag))
-    return out.drop(*[x for c in columns for x in (f"__max_{c}", f"__frac_{c}")])
+    texts = {
+        c: dollar_text(F.col(c), needs_cents(F.col(f"__max_{c}"), F.coalesce(F.col(f"__frac_{c}"), F.lit(False))))
+        for c in columns
+    }
+    return joined.select(*[texts.get(c, F.col(c)).alias(c) for c in df.columns])

@@ -62,6 +62,5 @@ def restate_columns(df: DataFrame, index: DataFrame, columns: Sequence[str]) ->
     ``index`` is the output of :func:`index_values` -- one row per year, broadcast.
     """
     joined = df.join(F.broadcast(index), on="fiscal_year", how="left")
-    for c in columns:
-        joined = joined.withColumn(c, restate(F.col(c), F.col("year_value"), F.col("base_value")))
-    return joined.drop("year_value", "base_value")
+    restated = {c: restate(F.col(c), F.col("year_value"), F.col("base_value")) for c in columns}
+    return joined.select(*[restated.get(c, F.col(c)).alias(c) for c in df.columns])

@@ -53,8 +53,11 @@ def name_weights(names: DataFrame) -> DataFrame:
 def weights_from_spread(spread: DataFrame) -> DataFrame:
     """Add ``M_weight = M/(M+F)`` and ``F_weight = F/(M+F)`` to a spread table."""
     total = (F.col("M") + F.col("F")).cast("double")
-    return spread.withColumn("M_weight", F.try_divide(F.col("M").cast("double"), total)).withColumn(
-        "F_weight", F.try_divide(F.col("F").cast("double"), total)
+    return spread.withColumns(
+        {
+            "M_weight": F.try_divide(F.col("M").cast("double"), total),
+            "F_weight": F.try_divide(F.col("F").cast("double"), total),
+        }
     )
 
 

@@ -17,13 +17,35 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.money import cents, from_cents
 from .files import MONTH_NAMES
 
 
+def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields])
+
+
+# Declared schemas of the columns the adapter reads (types as written by the generator). With a
+# declared schema Spark neither runs a schema-inference job per read nor reads other columns.
+STAR_SCHEMAS = {
+    "lineitem": _schema(
+        ("l_partkey", T.LongType()), ("l_suppkey", T.LongType()), ("l_quantity", T.DoubleType()),
+        ("l_extendedprice", T.DoubleType()), ("l_discount", T.DoubleType()), ("l_returnflag", T.StringType()),
+        ("l_linestatus", T.StringType()), ("l_shipdate", T.TimestampNTZType()),
+    ),
+    "part": _schema(("p_partkey", T.LongType()), ("p_brand", T.StringType()), ("p_type", T.StringType())),
+    "supplier": _schema(("s_suppkey", T.LongType()), ("s_nationkey", T.IntegerType())),
+    "nation": _schema(("n_nationkey", T.IntegerType()), ("n_name", T.StringType()), ("n_regionkey", T.IntegerType())),
+    "region": _schema(("r_regionkey", T.IntegerType()), ("r_name", T.StringType())),
+    "customer": _schema(("c_nationkey", T.IntegerType()), ("c_mktsegment", T.StringType())),
+    "orders": _schema(("o_totalprice", T.DoubleType()), ("o_orderdate", T.TimestampNTZType())),
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _ts(year: int):
