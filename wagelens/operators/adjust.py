@@ -28,14 +28,6 @@ def index_values(cpi: DataFrame, years: Sequence[int], month: int, base_year: in
         cpi.where((F.col("month") == month) & F.col("year").isin(needed))
         .groupBy("year")
         .agg(F.count("*").alias("rows"), F.first("value").alias("value"))
-        .select(
-            "year",
-            F.when(
-                F.col("rows") > 1,
-                F.raise_error(F.format_string("price index has %d rows for year %d, month " + str(month), F.col("rows"), F.col("year"))),
-            ).otherwise(F.col("value")).alias("value"),
-            F.col("rows"),
-        )
     )
     y = per_year.alias("__y")
     b = per_year.alias("__b")
@@ -44,10 +36,13 @@ def index_values(cpi: DataFrame, years: Sequence[int], month: int, base_year: in
     )
 
     def _checked(alias: str, year_col: str):
-        return F.when(
-            F.col(f"{alias}.rows").isNull(),
-            F.raise_error(F.format_string("price index has no row for year %d, month " + str(month), F.col(year_col))),
-        ).otherwise(F.col(f"{alias}.value"))
+        # All checks sit in this one projection, so a bad index fails with one clear message.
+        rows = F.col(f"{alias}.rows")
+        return (
+            F.when(rows.isNull(), F.raise_error(F.format_string(f"price index has no row for year %d, month {month}", F.col(year_col))))
+            .when(rows > 1, F.raise_error(F.format_string(f"price index has %d rows for year %d, month {month}", rows, F.col(year_col))))
+            .otherwise(F.col(f"{alias}.value"))
+        )
 
     return joined.select(
         F.col("fiscal_year"),
