@@ -20,6 +20,19 @@ DEFAULT_CONF = {
 }
 
 
+# Suggested settings for a large cluster (apply with spark-submit --conf or the builder). The
+# fact scan is the only big stage: large input splits keep the task count sane at 100 TB; the
+# shuffles carry partial aggregates only, so AQE coalesces them from a generous initial count.
+CLUSTER_CONF = {
+    **DEFAULT_CONF,
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "2000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "wagelens") -> SparkSession:
     """A local session for tests, benchmarks and the examples (never used on a cluster)."""
     builder = (
@@ -42,7 +55,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only where it is unset -- local runs and tests -- a fresh folder under the system temp
     directory is made and registered, so the rest of the library can rely on one being there.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session: the server owns the checkpoint folder
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if not current:
+            raise RuntimeError("spark.checkpoint.dir must be set for this session")
+        return current
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
