@@ -2,7 +2,9 @@
 
 Runs on ``local[$BENCH_CPUS]`` over ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) and prints
 one JSON line. Each query is executed to completion with the ``noop`` sink (no driver-side
-collection), after one warm-up pass; the time is the best of ``$BENCH_REPEAT`` runs.
+collection), after one warm-up pass; the time is the best of ``$BENCH_REPEAT`` runs, each
+started with an empty cache. ``report_suite_all`` is every report of both profiles in one go,
+sharing one stored cube per profile (the intended way to produce the reports).
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def timed(fn, repeat: int) -> float:
+def timed(spark, fn, repeat: int) -> float:
     best = float("inf")
     for _ in range(repeat):
+        # Cold for the data: nothing cached by an earlier query or run is reused.
+        spark.catalog.clearCache()
         t = time.perf_counter()
         fn()
         best = min(best, time.perf_counter() - t)
@@ -57,8 +61,8 @@ def main() -> None:
 
     times: dict[str, float] = {}
     for name, q in catalog.QUERIES.items():
-        times[name] = round(timed(lambda q=q: run(q(spark, sf_dir)), repeat), 3)
-    times["report_suite_all"] = round(timed(lambda: suite_all(spark, sf_dir), repeat), 3)
+        times[name] = round(timed(spark, lambda q=q: run(q(spark, sf_dir)), repeat), 3)
+    times["report_suite_all"] = round(timed(spark, lambda: suite_all(spark, sf_dir), repeat), 3)
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(

@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame | None:
     """Broadcast ``df`` only if it has at most ``max_rows`` rows; else return None.
 
-    The table is first checkpointed to the shared folder (computed once, lineage cut), then
-    counted; counting a checkpointed table is a cheap scan. The caller falls back to a
-    shuffle join when None comes back.
+    The table (a small derived dimension such as the name weights) is persisted and counted:
+    it is computed once, the count is exact, and the broadcast or the fallback join reads the
+    stored blocks. Later plans in the session that compute the same table find it in Spark's
+    cache. A lost executor only means its blocks are recomputed from the short lineage. The
+    caller falls back to a shuffle join when None comes back.
     """
-    stored = materialize(df)
-    if stored.limit(max_rows + 1).count() <= max_rows:
+    stored = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if stored.count() <= max_rows:
         return F.broadcast(stored)
     return None
 
