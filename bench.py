@@ -19,6 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from wagelens import Inputs, ReportSuite, STAR_V2020, STAR_V2022  # noqa: E402
 from wagelens.plans import catalog  # noqa: E402
+from wagelens.plans.reports import run_reports  # noqa: E402
 from wagelens.session import local_session  # noqa: E402
 from wagelens.sources import files, star  # noqa: E402
 
@@ -46,8 +47,7 @@ def suite_all(spark, sf_dir: str) -> None:
             star.names(spark, sf_dir),
             files.cpi_from_periods(star.cpi_periods(spark, sf_dir)),
         )
-        for df in ReportSuite(inputs, profile, keep_cube=True).all_reports().values():
-            run(df)
+        run_reports(ReportSuite(inputs, profile, keep_cube=True).all_reports(), lambda _, df: run(df))
 
 
 def main() -> None:

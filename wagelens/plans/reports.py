@@ -7,7 +7,10 @@ row, a broadcast join with the per-year index, and a pivot. Text and wide layout
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +27,8 @@ from .profiles import Profile
 
 GRAINS = {"agency": "Agency", "title": "Title"}
 
+R = TypeVar("R")
+
 GENDER = ("Average", "Male", "Female")
 OVERTIME = ("Average", "Total")
 NAMES = ("Average", "Common", "Uncommon")
@@ -194,3 +199,14 @@ class ReportSuite:
         if self.profile.unmatched == UNMATCHED_ZERO:
             out["Uncommon_Names_Agency"] = self.uncommon_names("agency")
         return out
+
+
+def run_reports(reports: dict[str, DataFrame], action: Callable[[str, DataFrame], R], parallelism: int = 4) -> dict[str, R]:
+    """Run ``action(name, df)`` for every report, submitting up to ``parallelism`` Spark jobs at once.
+
+    Each report is a small job over the stored cube, bound by scheduling latency rather than by
+    data, so several in flight keep the executors busy.
+    """
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        futures = {name: pool.submit(action, name, df) for name, df in reports.items()}
+        return {name: f.result() for name, f in futures.items()}

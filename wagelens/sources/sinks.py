@@ -30,21 +30,24 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     writer.parquet(path)
 
 
-def write_reports(reports: dict[str, DataFrame], out_dir: str, city_label: str) -> list[str]:
+def write_reports(reports: dict[str, DataFrame], out_dir: str, city_label: str, parallelism: int = 4) -> list[str]:
     """Write every report as one CSV file per report folder ``<out_dir>/<name>.csv/``.
 
     Reports have one row per agency or title, so each is written as a single file; rows are
     ordered by key with the citywide row last. The name-weights table is also kept as Parquet.
+    Up to ``parallelism`` reports are written at once.
     """
     from pyspark.sql import functions as F
 
-    written = []
-    for name, df in reports.items():
+    from ..plans.reports import run_reports
+
+    def write_one(name: str, df: DataFrame) -> str:
         key = df.columns[0]
         ordered = df.orderBy((F.col(key) == F.lit(city_label)).asc_nulls_first(), F.col(key).asc_nulls_first())
         path = f"{out_dir.rstrip('/')}/{name}.csv"
         write_csv(ordered, path, single_file=True)
-        written.append(path)
         if name == "baby_names":
             write_parquet(df, f"{out_dir.rstrip('/')}/{name}.parquet")
-    return written
+        return path
+
+    return list(run_reports(reports, write_one, parallelism).values())
