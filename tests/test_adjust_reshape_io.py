@@ -89,3 +89,12 @@ def test_headerless_names(spark, tmp_path):
     (tmp_path / "NY.txt").write_text("NY,F,1910,Mary,295\nNY,M,1910,John,10\n")
     got = files.read_names(spark, str(tmp_path)).select(F.sum("count").alias("c")).first().c
     assert got == 305
+
+
+def test_read_cpi_both_styles(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("year,period,periodName,value,footnotes\n2020,M06,June,257.2,\n2020,M11,November,260.2,x\n")
+    a = {(r.year, r.month): r.value for r in files.read_cpi(spark, str(tmp_path / "a.csv"), "month_name").collect()}
+    assert a == {(2020, 6): 257.2, (2020, 11): 260.2}
+    (tmp_path / "b.csv").write_text("period,U.S. city average - all items (badly encoded)\n2021-11,277.9\n")
+    b = files.read_cpi(spark, str(tmp_path / "b.csv"), "period").first()
+    assert (b.year, b.month, b.value) == (2021, 11, 277.9)

@@ -182,3 +182,16 @@ def test_no_nested_loop_cartesian_or_python_in_plans(spark, name):
     plan = _plan(entry_module.queries()[name](spark, SF0001))
     for bad in ("NestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "PythonUDF"):
         assert bad not in plan, bad
+
+
+def test_gender_and_overtime_tables_have_the_same_keys(v2020):
+    a = sorted(r.Title for r in v2020.gender_gap_table("title").collect())
+    b = sorted(r.Title for r in v2020.overtime_latest("title").collect())
+    assert a == b
+
+
+def test_chart_keeps_exactly_the_groups_over_the_threshold(v2020):
+    long = v2020.long("overtime", "title", chart=False).collect()
+    chart = v2020.long("overtime", "title", chart=True).collect()
+    expect = {(r.fiscal_year, r.key) for r in long if r.is_citywide or r.n > STAR_V2020.min_group_title}
+    assert {(r.fiscal_year, r.key) for r in chart} == expect

@@ -1,6 +1,8 @@
 """File sources: payroll, name registrations and the price index, as CSV or Parquet.
 
-Every CSV read uses a declared schema and ``FAILFAST``; ``NA`` is the missing-value text.
+No read infers a schema (no extra pass over the data): headerless files get a declared schema,
+files with a header are read as text and only the used columns are cast. Malformed rows fail
+the job (``FAILFAST``); ``NA`` is the missing-value text.
 """
 
 from __future__ import annotations
@@ -91,8 +93,10 @@ def cpi_from_periods(df: DataFrame) -> DataFrame:
 def read_cpi(spark: SparkSession, path: str, style: str = "period") -> DataFrame:
     """Read a price-index CSV in either published style and return ``year, month, value``."""
     if style == "month_name":
-        raw = spark.read.schema(schemas.CPI_MONTH_NAME).csv(path, header=True, mode="FAILFAST")
-        return cpi_from_month_names(raw)
+        # Columns by header name (such files carry more columns: period code, footnotes, ...);
+        # read as text, no inference, and cast the three that are used.
+        raw = spark.read.csv(path, header=True, mode="FAILFAST", inferSchema=False)
+        return cpi_from_month_names(raw.select("year", "periodName", "value"))
     if style == "period":
         # Columns by position: the header of the value column is never looked at.
         raw = spark.read.schema(schemas.CPI_PERIOD).csv(
