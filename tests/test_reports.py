@@ -163,6 +163,10 @@ def duck():
 def test_query_matches_oracle(spark, duck, name):
     sql = entry_module.oracle_sql()[name]
     df = entry_module.queries()[name](spark, SF001)
+    rel = duck.sql(sql)
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    to_duck = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    assert {c: to_duck.get(t, t) for c, t in df.dtypes} == duck_types
     res = duck.execute(sql)
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
