@@ -258,6 +258,13 @@ def q_payroll_csv_source(spark, sf_dir):
     return files.read_payroll(spark, path)
 
 
+def q_payroll_partitioned(spark, sf_dir):
+    # Payroll stored by fiscal year; the eligibility filter then prunes year folders.
+    path = scratch_path(spark, "payroll-by-year")
+    files.store_payroll(star.payroll(spark, sf_dir), path)
+    return eligible(files.read_stored_payroll(spark, path), STAR_V2020.years)
+
+
 def q_name_weights_export(spark, sf_dir):
     path = scratch_path(spark, "baby-names")
     write_parquet(_weights(spark, sf_dir), path)
@@ -370,6 +377,7 @@ QUERIES: dict[str, Query] = {
     "csv_round_trip": q_csv_round_trip,
     "payroll_csv_source": q_payroll_csv_source,
     "name_weights_export": q_name_weights_export,
+    "payroll_partitioned": q_payroll_partitioned,
     "gender_gap_agency": q_gender_gap_agency,
     "gender_gap_agency_chart": q_gender_gap_agency_chart,
     "gender_gap_agency_table": q_gender_gap_agency_table,

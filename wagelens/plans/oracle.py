@@ -375,6 +375,7 @@ FULL OUTER JOIN (SELECT title, n FROM sizes WHERE fiscal_year = {max(p.years)})
     sql["csv_round_trip"] = sql["eligible_filter"]
     sql["payroll_csv_source"] = _with(PAYROLL) + "SELECT * FROM payroll"
     sql["name_weights_export"] = sql["name_weights"]
+    sql["payroll_partitioned"] = sql["eligible_filter"]
     for grain in ("agency", "title"):
         sql[f"gender_gap_{grain}"] = ratio_wide_sql(p, grain, False, "gender")
         sql[f"gender_gap_{grain}_chart"] = ratio_wide_sql(p, grain, True, "gender")

@@ -104,3 +104,18 @@ def read_cpi(spark: SparkSession, path: str, style: str = "period") -> DataFrame
         )
         return cpi_from_periods(raw)
     raise ValueError(f"unknown price-index style {style!r}")
+
+
+def store_payroll(payroll: DataFrame, path: str) -> None:
+    """Write canonical payroll rows as Parquet partitioned by ``fiscal_year``.
+
+    Later reads filtered on fiscal years (the eligibility filter) skip whole year folders
+    (partition pruning) instead of reading every file; the other filters reach the Parquet
+    reader as pushed filters.
+    """
+    payroll.write.mode("overwrite").partitionBy("fiscal_year").parquet(path)
+
+
+def read_stored_payroll(spark: SparkSession, path: str) -> DataFrame:
+    """Read a table written by :func:`store_payroll` (declared schema, no inference pass)."""
+    return spark.read.schema(schemas.PAYROLL).parquet(path).select(*schemas.PAYROLL_COLUMNS)
