@@ -184,7 +184,6 @@ def q_cpi_factor(spark, sf_dir):
 
 
 def q_restate_money(spark, sf_dir):
-    p = STAR_V2020
     means = group_mean(_eligible(spark, sf_dir), ["fiscal_year", "agency"], "base_salary", "avg_salary")
     return restate_columns(means, q_cpi_factor(spark, sf_dir), ["avg_salary"])
 
