@@ -21,7 +21,7 @@ from wagelens import Inputs, ReportSuite, STAR_V2020, STAR_V2022  # noqa: E402
 from wagelens.plans import catalog  # noqa: E402
 from wagelens.plans.reports import run_reports  # noqa: E402
 from wagelens.session import local_session  # noqa: E402
-from wagelens.sources import files, star  # noqa: E402
+from wagelens.sources import star  # noqa: E402
 
 
 def run(df) -> None:
@@ -45,7 +45,7 @@ def suite_all(spark, sf_dir: str) -> None:
         inputs = Inputs(
             star.payroll(spark, sf_dir, profile.years),
             star.names(spark, sf_dir),
-            files.cpi_from_periods(star.cpi_periods(spark, sf_dir)),
+            star.cpi(spark, sf_dir),
         )
         run_reports(ReportSuite(inputs, profile, keep_cube=True).all_reports(), lambda _, df: run(df))
 

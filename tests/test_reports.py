@@ -10,12 +10,12 @@ import __spark_entry__ as entry_module
 from conftest import SF0001, SF001
 from wagelens import STAR_V2020, STAR_V2022, Inputs, ReportSuite
 from wagelens.plans import catalog
-from wagelens.sources import files, star
+from wagelens.sources import star
 
 
 def _suite(spark, profile=STAR_V2020, sf=SF001, **changes):
     p = profile.with_(**changes) if changes else profile
-    inputs = Inputs(star.payroll(spark, sf, p.years), star.names(spark, sf), files.cpi_from_periods(star.cpi_periods(spark, sf)))
+    inputs = Inputs(star.payroll(spark, sf, p.years), star.names(spark, sf), star.cpi(spark, sf))
     return ReportSuite(inputs, p, keep_cube=True)
 
 

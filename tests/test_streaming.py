@@ -9,7 +9,7 @@ from wagelens.operators.aggregates import CUBE_KEYS, CUBE_MEASURES, measure_cube
 from wagelens.operators.filters import eligible
 from wagelens.operators.names import name_weights
 from wagelens.session import scratch_path
-from wagelens.sources import files, star
+from wagelens.sources import star
 from wagelens.streaming.cube_stream import read_payroll_stream, start_cube_upkeep
 
 
@@ -39,6 +39,6 @@ def test_stream_cube_matches_batch(spark):
             assert streamed[k][c] == pytest.approx(batch[k][c]), (k, c)
 
     # Reports can be built from the streamed cube table.
-    inputs = Inputs(payroll, star.names(spark, SF0001), files.cpi_from_periods(star.cpi_periods(spark, SF0001)))
+    inputs = Inputs(payroll, star.names(spark, SF0001), star.cpi(spark, SF0001))
     report = ReportSuite(inputs, p, cube=spark.read.parquet(cube_path)).overtime("agency")
     assert report.count() >= 1

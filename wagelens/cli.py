@@ -56,7 +56,7 @@ def main(argv=None) -> None:
         inputs = Inputs(
             star.payroll(spark, args.star, profile.years),
             star.names(spark, args.star),
-            files.cpi_from_periods(star.cpi_periods(spark, args.star)),
+            star.cpi(spark, args.star),
         )
     else:
         if not (args.names and args.cpi):

@@ -47,7 +47,7 @@ def _inputs(spark: SparkSession, sf_dir: str, profile: Profile) -> Inputs:
     return Inputs(
         payroll=star.payroll(spark, sf_dir, profile.years),
         names=star.names(spark, sf_dir),
-        cpi=files.cpi_from_periods(star.cpi_periods(spark, sf_dir)),
+        cpi=star.cpi(spark, sf_dir),
     )
 
 
@@ -171,7 +171,7 @@ def q_append_citywide(spark, sf_dir):
 
 
 def q_cpi_parse_period(spark, sf_dir):
-    return files.cpi_from_periods(star.cpi_periods(spark, sf_dir))
+    return star.cpi(spark, sf_dir)
 
 
 def q_cpi_month_names(spark, sf_dir):

@@ -113,6 +113,14 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical price index ``year, month, value``: average order price per month.
+
+    A filter on ``month`` or ``year`` reaches the orders scan as ``month(o_orderdate) = m``.
+    """
+    return _monthly_index(spark, sf_dir)
+
+
 def _monthly_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select("o_orderdate", "o_totalprice")
     # Average price per month, summed exactly in cents so the index does not depend on how
