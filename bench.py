@@ -47,7 +47,8 @@ def suite_all(spark, sf_dir: str) -> None:
             star.names(spark, sf_dir),
             star.cpi(spark, sf_dir),
         )
-        run_reports(ReportSuite(inputs, profile, keep_cube=True).all_reports(), lambda _, df: run(df))
+        suite = ReportSuite(inputs, profile, keep_cube=True).prepare()
+        run_reports(suite.report_builders(), lambda _, df: run(df))
 
 
 def main() -> None:

@@ -66,8 +66,8 @@ def main(argv=None) -> None:
             files.read_names(spark, args.names),
             files.read_cpi(spark, args.cpi, args.cpi_style),
         )
-    suite = ReportSuite(inputs, profile, keep_cube=True)
-    for path in write_reports(suite.all_reports(), args.out, profile.city_label):
+    suite = ReportSuite(inputs, profile, keep_cube=True).prepare()
+    for path in write_reports(suite.report_builders(), args.out, profile.city_label):
         print(path)
 
 

@@ -185,28 +185,49 @@ class ReportSuite:
 
     # -- everything -------------------------------------------------------------------------------
 
-    def all_reports(self) -> dict[str, DataFrame]:
-        """Every report of the profile, keyed by the output file stem."""
+    def report_builders(self) -> dict[str, Callable[[], DataFrame]]:
+        """Every report of the profile as a function building it, keyed by the output file stem."""
         latest = self.profile.base_year
-        out = {"baby_names": self.weights()}
+        out: dict[str, Callable[[], DataFrame]] = {"baby_names": self.weights}
         for grain, label in GRAINS.items():
-            out[f"GenderGap_{label}"] = self.gender_gap(grain)
-            out[f"GenderGap_{label}_chart"] = self.gender_gap_chart(grain)
-            out[f"GenderGap_{label}_{latest}_table"] = self.gender_gap_table(grain)
-            out[f"Overtime_{label}"] = self.overtime(grain)
-            out[f"Overtime_{label}_chart"] = self.overtime_chart(grain)
-            out[f"Overtime_{label}_{latest}_chart"] = self.overtime_latest(grain)
+            out[f"GenderGap_{label}"] = lambda g=grain: self.gender_gap(g)
+            out[f"GenderGap_{label}_chart"] = lambda g=grain: self.gender_gap_chart(g)
+            out[f"GenderGap_{label}_{latest}_table"] = lambda g=grain: self.gender_gap_table(g)
+            out[f"Overtime_{label}"] = lambda g=grain: self.overtime(g)
+            out[f"Overtime_{label}_chart"] = lambda g=grain: self.overtime_chart(g)
+            out[f"Overtime_{label}_{latest}_chart"] = lambda g=grain: self.overtime_latest(g)
         if self.profile.unmatched == UNMATCHED_ZERO:
-            out["Uncommon_Names_Agency"] = self.uncommon_names("agency")
+            out["Uncommon_Names_Agency"] = lambda: self.uncommon_names("agency")
         return out
 
+    def all_reports(self) -> dict[str, DataFrame]:
+        """Every report of the profile, keyed by the output file stem."""
+        return {name: build() for name, build in self.report_builders().items()}
+
+    def prepare(self) -> "ReportSuite":
+        """Compute the shared pieces (weights, cube, index) once, before reports run in parallel."""
+        self.weights()
+        self.cube()
+        self.index()
+        return self
+
+
+def run_reports(
+    reports: dict[str, DataFrame | Callable[[], DataFrame]],
+    action: Callable[[str, DataFrame], R],
+    parallelism: int = 8,
+) -> dict[str, R]:
+    """Run ``action(name, df)`` for every report, up to ``parallelism`` at once.
+
+    Each report is a small job over the stored cube, bound by planning and scheduling latency
+    rather than by data, so several in flight keep the executors busy. Reports may be given as
+    builders (see :meth:`ReportSuite.report_builders`), which are then also built in parallel;
+    call :meth:`ReportSuite.prepare` first so the shared cube is computed once.
+    """
 
-def run_reports(reports: dict[str, DataFrame], action: Callable[[str, DataFrame], R], parallelism: int = 4) -> dict[str, R]:
-    """Run ``action(name, df)`` for every report, submitting up to ``parallelism`` Spark jobs at once.
+    def one(name: str, report: DataFrame | Callable[[], DataFrame]) -> R:
+        return action(name, report() if callable(report) else report)
 
-    Each report is a small job over the stored cube, bound by scheduling latency rather than by
-    data, so several in flight keep the executors busy.
-    """
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        futures = {name: pool.submit(action, name, df) for name, df in reports.items()}
+        futures = {name: pool.submit(one, name, report) for name, report in reports.items()}
         return {name: f.result() for name, f in futures.items()}

@@ -30,12 +30,13 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     writer.parquet(path)
 
 
-def write_reports(reports: dict[str, DataFrame], out_dir: str, city_label: str, parallelism: int = 4) -> list[str]:
+def write_reports(reports: dict, out_dir: str, city_label: str, parallelism: int = 8) -> list[str]:
     """Write every report as one CSV file per report folder ``<out_dir>/<name>.csv/``.
 
     Reports have one row per agency or title, so each is written as a single file; rows are
     ordered by key with the citywide row last. The name-weights table is also kept as Parquet.
-    Up to ``parallelism`` reports are written at once.
+    Reports are DataFrames or builders of them (see ``ReportSuite.report_builders``); up to
+    ``parallelism`` reports are built and written at once.
     """
     from pyspark.sql import functions as F
 
