@@ -29,6 +29,9 @@ def outer_merge(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
 
     Spark's ``on=`` equality drops NULL keys from matching, so the condition is ``<=>`` and the
     key columns are coalesced from both sides afterwards.
+
+    Precondition: one row per key on each side (as report rows are). With repeated keys a join
+    would pair every left row with every right row of the key, which this operator is not for.
     """
     l_alias, r_alias = left.alias("__l"), right.alias("__r")
     cond = None

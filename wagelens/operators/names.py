@@ -79,7 +79,11 @@ def weight_lookup(weights: DataFrame, max_broadcast_rows: int | None = 1_000_000
 
 
 def join_weights(rows: DataFrame, lookup: DataFrame, unmatched: str = UNMATCHED_DROP, name_col: str = "first_name") -> DataFrame:
-    """Join a prepared :func:`weight_lookup` side to ``rows`` and apply the unmatched policy."""
+    """Join a prepared :func:`weight_lookup` side to ``rows`` and apply the unmatched policy.
+
+    The lookup side has one row per name (weights are grouped by name), so every payroll row
+    keeps exactly one output row.
+    """
     joined = rows.join(lookup, rows[name_col] == lookup["__name"], "left")
     if unmatched == UNMATCHED_KEEP:
         return joined.select(

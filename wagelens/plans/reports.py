@@ -7,6 +7,7 @@ row, a broadcast join with the per-year index, and a pivot. Text and wide layout
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -80,33 +81,38 @@ class ReportSuite:
         self._cube: DataFrame | None = cube
         self._weights: DataFrame | None = None
         self._index: DataFrame | None = None
+        # Reports may be built from several threads; the shared pieces are computed once.
+        self._lock = threading.RLock()
 
     # -- building blocks ----------------------------------------------------------------------
 
     def weights(self) -> DataFrame:
         """``name, F, M, M_weight, F_weight``."""
-        if self._weights is None:
-            self._weights = name_weights(self.inputs.names)
-        return self._weights
+        with self._lock:
+            if self._weights is None:
+                self._weights = name_weights(self.inputs.names)
+            return self._weights
 
     def eligible(self) -> DataFrame:
         return eligible(self.inputs.payroll, self.profile.years)
 
     def cube(self) -> DataFrame:
         """The measure cube; with ``keep_cube`` it is computed once and checkpointed."""
-        if self._cube is None:
-            p = self.profile
-            cube = measure_cube(self.eligible(), self.weights(), p.unmatched, p.max_broadcast_rows)
-            self._cube = materialize(cube) if self.keep_cube else cube
-        return self._cube
+        with self._lock:
+            if self._cube is None:
+                p = self.profile
+                cube = measure_cube(self.eligible(), self.weights(), p.unmatched, p.max_broadcast_rows)
+                self._cube = materialize(cube) if self.keep_cube else cube
+            return self._cube
 
     def index(self) -> DataFrame:
         """Per-year index values (one row per year); stored once with ``keep_cube``."""
-        if self._index is None:
-            p = self.profile
-            index = index_values(self.inputs.cpi, p.years, p.cpi_month, p.base_year)
-            self._index = materialize(index) if self.keep_cube else index
-        return self._index
+        with self._lock:
+            if self._index is None:
+                p = self.profile
+                index = index_values(self.inputs.cpi, p.years, p.cpi_month, p.base_year)
+                self._index = materialize(index) if self.keep_cube else index
+            return self._index
 
     def _threshold(self, grain: str) -> int:
         return self.profile.min_group_agency if grain == "agency" else self.profile.min_group_title
