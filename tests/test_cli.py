@@ -20,3 +20,5 @@ def test_cli_writes_all_reports(spark):
     assert lines[0].startswith("Agency,Average_1995,Total_1995")
     assert lines[-1].startswith("CITY OF NEW YORK (ALL AGENCIES / TITLES),")
     assert os.path.isdir(f"{out}/baby_names.parquet")
+    header = open(glob.glob(f"{out}/baby_names.csv/part-*.csv")[0]).readline().strip()
+    assert header == "Name,F,M,M_weight,F_weight"

@@ -43,6 +43,9 @@ def write_reports(reports: dict, out_dir: str, city_label: str, parallelism: int
     from ..plans.reports import run_reports
 
     def write_one(name: str, df: DataFrame) -> str:
+        if name == "baby_names":
+            # Header as in the published export: Name, F, M, M_weight, F_weight.
+            df = df.withColumnRenamed("name", "Name")
         key = df.columns[0]
         ordered = df.orderBy((F.col(key) == F.lit(city_label)).asc_nulls_first(), F.col(key).asc_nulls_first())
         path = f"{out_dir.rstrip('/')}/{name}.csv"
