@@ -22,3 +22,43 @@ def test_cli_writes_all_reports(spark):
     assert os.path.isdir(f"{out}/baby_names.parquet")
     header = open(glob.glob(f"{out}/baby_names.csv/part-*.csv")[0]).readline().strip()
     assert header == "Name,F,M,M_weight,F_weight"
+
+
+def _csv_rows(path):
+    import csv
+
+    part = glob.glob(f"{path}/part-*.csv")[0]
+    with open(part, newline="") as fh:
+        rows = list(csv.reader(fh))
+    return rows[0], sorted(rows[1:])
+
+
+def test_cli_on_published_style_files_matches_star_reports(spark):
+    from wagelens import STAR_V2022, Inputs, ReportSuite
+    from wagelens.sources import files, star
+    from wagelens.sources.sinks import write_csv, write_reports
+
+    base = scratch_path(spark, "published")
+    published = {v: k for k, v in files.PAYROLL_SOURCE_NAMES.items()}
+    write_csv(star.payroll(spark, SF0001).withColumnsRenamed(published), f"{base}/payroll")
+    star.names(spark, SF0001).write.csv(f"{base}/names")  # headerless, like per-state name files
+    write_csv(star.cpi_periods(spark, SF0001), f"{base}/cpi", single_file=True)
+    cpi_file = glob.glob(f"{base.removeprefix('file:')}/cpi/part-*.csv")[0]
+
+    out = scratch_path(spark, "cli-published")
+    cli.main([
+        "--payroll", f"{base}/payroll", "--names", f"{base}/names", "--cpi", cpi_file,
+        "--profile", "v2022", "--years", "1995-2000", "--cpi-month", "11", "--out", out,
+    ])
+    # The same reports straight from the star tables (same years, month, rules for agencies).
+    p = STAR_V2022
+    direct = ReportSuite(Inputs(star.payroll(spark, SF0001, p.years), star.names(spark, SF0001), star.cpi(spark, SF0001)), p)
+    ref = scratch_path(spark, "direct")
+    write_reports(
+        {"Overtime_Agency": direct.overtime("agency"), "Uncommon_Names_Agency": direct.uncommon_names("agency")},
+        ref, p.city_label,
+    )
+    for name in ("Overtime_Agency", "Uncommon_Names_Agency"):
+        a = _csv_rows(f"{out.removeprefix('file:')}/{name}.csv")
+        b = _csv_rows(f"{ref.removeprefix('file:')}/{name}.csv")
+        assert a == b, name
