@@ -33,6 +33,8 @@ def parse_args(argv=None):
     ap.add_argument("--years", help="first-last fiscal years, e.g. 2014-2021 (default: the profile's)")
     ap.add_argument("--cpi-month", type=int)
     ap.add_argument("--city-scope", choices=["all", "kept"])
+    ap.add_argument("--min-group-agency", type=int, help="show an agency only with more rows than this (default 200)")
+    ap.add_argument("--min-group-title", type=int, help="show a title only with more rows than this (default 200)")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     return ap.parse_args(argv)
 
@@ -48,6 +50,10 @@ def main(argv=None) -> None:
         changes["cpi_month"] = args.cpi_month
     if args.city_scope:
         changes["city_scope"] = args.city_scope
+    if args.min_group_agency is not None:
+        changes["min_group_agency"] = args.min_group_agency
+    if args.min_group_title is not None:
+        changes["min_group_title"] = args.min_group_title
     if changes:
         profile = profile.with_(**changes)
 
