@@ -18,10 +18,12 @@ def index_values(cpi: DataFrame, years: Sequence[int], month: int, base_year: in
     The result has one row per requested year, so it is safe to broadcast.
     """
     spark = cpi.sparkSession
-    # The requested (year, base year) pairs as a JVM-side table, one row per year. Both values
-    # come out of the generator, so the optimizer cannot fold the base year into a constant
-    # and both lookups stay equi-joins.
-    pairs = [F.struct(F.lit(int(y)).alias("fiscal_year"), F.lit(int(base_year)).alias("base_year")) for y in years]
+    # One row per (fiscal year, role): the year itself and the base year. Built JVM-side from
+    # the parameter list, so the join below is an equi-join on a real column.
+    pairs = []
+    for y in years:
+        pairs.append(F.struct(F.lit(int(y)).alias("fiscal_year"), F.lit("year").alias("role"), F.lit(int(y)).alias("year")))
+        pairs.append(F.struct(F.lit(int(y)).alias("fiscal_year"), F.lit("base").alias("role"), F.lit(int(base_year)).alias("year")))
     wanted = spark.range(1).select(F.inline(F.array(*pairs)))
     needed = sorted({int(y) for y in years} | {int(base_year)})
     per_year = (
@@ -29,25 +31,29 @@ def index_values(cpi: DataFrame, years: Sequence[int], month: int, base_year: in
         .groupBy("year")
         .agg(F.count("*").alias("rows"), F.first("value").alias("value"))
     )
-    y = per_year.alias("__y")
-    b = per_year.alias("__b")
-    joined = wanted.join(F.broadcast(y), wanted.fiscal_year == F.col("__y.year"), "left").join(
-        F.broadcast(b), wanted.base_year == F.col("__b.year"), "left"
+    # The index is referenced once; at most two rows per requested year meet it.
+    looked_up = wanted.join(F.broadcast(per_year), on="year", how="left")
+    by_year = looked_up.groupBy("fiscal_year").agg(
+        *[
+            F.max(F.when(F.col("role") == role, F.col(c))).alias(f"{role}_{c}")
+            for role in ("year", "base")
+            for c in ("year", "rows", "value")
+        ]
     )
 
-    def _checked(alias: str, year_col: str):
+    def _checked(role: str):
         # All checks sit in this one projection, so a bad index fails with one clear message.
-        rows = F.col(f"{alias}.rows")
+        rows, year = F.col(f"{role}_rows"), F.col(f"{role}_year")
         return (
-            F.when(rows.isNull(), F.raise_error(F.format_string(f"price index has no row for year %d, month {month}", F.col(year_col))))
-            .when(rows > 1, F.raise_error(F.format_string(f"price index has %d rows for year %d, month {month}", rows, F.col(year_col))))
-            .otherwise(F.col(f"{alias}.value"))
+            F.when(rows.isNull(), F.raise_error(F.format_string(f"price index has no row for year %d, month {month}", year)))
+            .when(rows > 1, F.raise_error(F.format_string(f"price index has %d rows for year %d, month {month}", rows, year)))
+            .otherwise(F.col(f"{role}_value"))
         )
 
-    return joined.select(
+    return by_year.select(
         F.col("fiscal_year"),
-        _checked("__y", "fiscal_year").cast("double").alias("year_value"),
-        _checked("__b", "base_year").cast("double").alias("base_value"),
+        _checked("year").cast("double").alias("year_value"),
+        _checked("base").cast("double").alias("base_value"),
     )
 
 
