@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF0001
-from wagelens import STAR_V2022, Inputs, ReportSuite
+from wagelens import STAR_V2020, STAR_V2022, Inputs, ReportSuite
 from wagelens.operators.aggregates import CUBE_KEYS, CUBE_MEASURES, measure_cube
 from wagelens.operators.filters import eligible
 from wagelens.operators.names import name_weights
@@ -13,8 +13,8 @@ from wagelens.sources import star
 from wagelens.streaming.cube_stream import read_payroll_stream, start_cube_upkeep
 
 
-def test_stream_cube_matches_batch(spark):
-    p = STAR_V2022
+@pytest.mark.parametrize("p", [STAR_V2020, STAR_V2022], ids=["drop", "zero"])
+def test_stream_cube_matches_batch(spark, p):
     payroll = star.payroll(spark, SF0001, p.years)
     weights = name_weights(star.names(spark, SF0001))
     landing = scratch_path(spark, "landing")
