@@ -61,3 +61,44 @@ def test_cents_chosen_per_group(spark):
 def test_dollar_text_expression(spark, value, cents, text):
     df = spark.createDataFrame([(value,)], "x double")
     assert df.select(dollar_text(F.col("x"), F.lit(cents)).alias("t")).first().t == text
+
+
+# -- property: Spark texts equal a plain-Python rendering of the same rules --------------------
+
+from decimal import ROUND_HALF_EVEN, Decimal  # noqa: E402
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+def _py_dollar(x, cents):
+    if x is None:
+        return None
+    body = format(abs(x), ",.2f" if cents else ",.0f")
+    return ("-$" if x < 0 else "$") + body
+
+
+def _py_percent(x):
+    if x is None:
+        return None
+    # Half-to-even on the shortest decimal form of x*100, then a positive zero.
+    v = float(Decimal(repr(x * 100.0)).quantize(Decimal("0.1"), rounding=ROUND_HALF_EVEN)) + 0.0
+    return format(v, ",.1f") + "%"
+
+
+amounts = st.one_of(st.none(), st.floats(min_value=-5e9, max_value=5e9, allow_nan=False), st.integers(-10**6, 10**6).map(lambda c: c / 100))
+ratios = st.one_of(st.none(), st.floats(min_value=-1, max_value=1, allow_nan=False), st.integers(-2000, 2000).map(lambda c: c / 2000))
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(amounts, min_size=1, max_size=60), st.booleans())
+def test_dollar_text_matches_python(spark, values, cents):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    got = [r.t for r in df.orderBy("i").select(dollar_text(F.col("x"), F.lit(cents)).alias("t")).collect()]
+    assert got == [_py_dollar(v, cents) for v in values]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(ratios, min_size=1, max_size=60))
+def test_percent_text_matches_python(spark, values):
+    assert _pct(spark, values) == [_py_percent(v) for v in values]
