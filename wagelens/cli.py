@@ -28,7 +28,11 @@ def parse_args(argv=None):
     ap.add_argument("--payroll-format", choices=["csv", "parquet"], default="csv")
     ap.add_argument("--names", help="folder or glob of headerless name files (state,sex,year,name,count)")
     ap.add_argument("--cpi", help="price-index CSV")
-    ap.add_argument("--cpi-style", choices=["period", "month_name"], default="period")
+    ap.add_argument(
+        "--cpi-style",
+        choices=["period", "month_name"],
+        help="price-index file layout (default: month names for v2020, YYYY-MM periods otherwise)",
+    )
     ap.add_argument("--profile", choices=sorted(PROFILES), default="v2022")
     ap.add_argument("--years", help="first-last fiscal years, e.g. 2014-2021 (default: the profile's)")
     ap.add_argument("--cpi-month", type=int)
@@ -70,7 +74,7 @@ def main(argv=None) -> None:
         inputs = Inputs(
             files.read_payroll(spark, args.payroll, args.payroll_format),
             files.read_names(spark, args.names),
-            files.read_cpi(spark, args.cpi, args.cpi_style),
+            files.read_cpi(spark, args.cpi, args.cpi_style or ("month_name" if profile.name == "v2020" else "period")),
         )
     suite = ReportSuite(inputs, profile, keep_cube=True).prepare()
     for path in write_reports(suite.report_builders(), args.out, profile.city_label):
