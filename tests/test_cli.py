@@ -3,6 +3,8 @@
 import glob
 import os
 
+import pytest
+
 from conftest import SF0001
 from wagelens import cli
 from wagelens.session import scratch_path
@@ -33,8 +35,9 @@ def _csv_rows(path):
     return rows[0], sorted(rows[1:])
 
 
-def test_cli_on_published_style_files_matches_star_reports(spark):
-    from wagelens import STAR_V2022, Inputs, ReportSuite
+@pytest.mark.parametrize("profile", ["v2020", "v2022"])
+def test_cli_on_published_style_files_matches_star_reports(spark, profile):
+    from wagelens import STAR_V2020, STAR_V2022, Inputs, ReportSuite
     from wagelens.sources import files, star
     from wagelens.sources.sinks import write_csv, write_reports
 
@@ -42,23 +45,23 @@ def test_cli_on_published_style_files_matches_star_reports(spark):
     published = {v: k for k, v in files.PAYROLL_SOURCE_NAMES.items()}
     write_csv(star.payroll(spark, SF0001).withColumnsRenamed(published), f"{base}/payroll")
     star.names(spark, SF0001).write.csv(f"{base}/names")  # headerless, like per-state name files
-    write_csv(star.cpi_periods(spark, SF0001), f"{base}/cpi", single_file=True)
+    cpi_rows = star.cpi_month_names(spark, SF0001) if profile == "v2020" else star.cpi_periods(spark, SF0001)
+    write_csv(cpi_rows, f"{base}/cpi", single_file=True)
     cpi_file = glob.glob(f"{base.removeprefix('file:')}/cpi/part-*.csv")[0]
 
     out = scratch_path(spark, "cli-published")
+    years, month, p = ("1995-2001", "6", STAR_V2020) if profile == "v2020" else ("1995-2000", "11", STAR_V2022)
     cli.main([
         "--payroll", f"{base}/payroll", "--names", f"{base}/names", "--cpi", cpi_file,
-        "--profile", "v2022", "--years", "1995-2000", "--cpi-month", "11", "--out", out,
+        "--profile", profile, "--years", years, "--cpi-month", month, "--out", out,
     ])
     # The same reports straight from the star tables (same years, month, rules for agencies).
-    p = STAR_V2022
     direct = ReportSuite(Inputs(star.payroll(spark, SF0001, p.years), star.names(spark, SF0001), star.cpi(spark, SF0001)), p)
     ref = scratch_path(spark, "direct")
-    write_reports(
-        {"Overtime_Agency": direct.overtime("agency"), "Uncommon_Names_Agency": direct.uncommon_names("agency")},
-        ref, p.city_label,
-    )
-    for name in ("Overtime_Agency", "Uncommon_Names_Agency"):
+    names = ["Overtime_Agency", "GenderGap_Agency"] + (["Uncommon_Names_Agency"] if profile == "v2022" else [])
+    builders = {"Overtime_Agency": direct.overtime, "GenderGap_Agency": direct.gender_gap, "Uncommon_Names_Agency": direct.uncommon_names}
+    write_reports({n: builders[n]("agency") for n in names}, ref, p.city_label)
+    for name in names:
         a = _csv_rows(f"{out.removeprefix('file:')}/{name}.csv")
         b = _csv_rows(f"{ref.removeprefix('file:')}/{name}.csv")
         assert a == b, name
