@@ -52,8 +52,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     On a cluster this is ``spark.checkpoint.dir`` (set by the cluster, shared by all executors).
-    Only where it is unset -- local runs and tests -- a fresh folder under the system temp
-    directory is made and registered, so the rest of the library can rely on one being there.
+    Only where it is unset on a local master -- local runs and tests -- a fresh folder under the
+    system temp directory is made and registered; on a cluster an unset folder is an error.
     """
     try:
         sc = spark.sparkContext
@@ -67,6 +67,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local"):
+        # A folder on the driver's disk is not visible to executors on other machines.
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     local = tempfile.mkdtemp(prefix="wagelens-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
