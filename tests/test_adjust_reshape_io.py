@@ -98,3 +98,22 @@ def test_read_cpi_both_styles(spark, tmp_path):
     (tmp_path / "b.csv").write_text("period,U.S. city average - all items (badly encoded)\n2021-11,277.9\n")
     b = files.read_cpi(spark, str(tmp_path / "b.csv"), "period").first()
     assert (b.year, b.month, b.value) == (2021, 11, 277.9)
+
+
+def test_payroll_headers_in_r_style(spark, tmp_path):
+    p = tmp_path / "r.csv"
+    p.write_text(
+        '"Fiscal.Year","Agency","Last.Name","First.Name","Title","Leave.Status.as.of.June.30","Base.Salary","Pay.Basis","Total.OT.Paid"\n'
+        '2020,"POLICE","X","ANN","CLERK","ACTIVE",100.5,"per Annum",-78\n'
+    )
+    r = files.read_payroll(spark, str(p)).first()
+    assert (r.fiscal_year, r.agency, r.title, r.first_name, r.pay_basis, r.leave_status, r.base_salary, r.total_ot_paid) == (
+        2020, "POLICE", "CLERK", "ANN", "per Annum", "ACTIVE", 100.5, -78.0
+    )
+
+
+def test_payroll_missing_column_is_an_error(spark, tmp_path):
+    p = tmp_path / "bad.csv"
+    p.write_text("Fiscal Year,Agency Name\n2020,X\n")
+    with pytest.raises(ValueError, match="title"):
+        files.read_payroll(spark, str(p))

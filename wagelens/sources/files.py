@@ -45,15 +45,29 @@ def read_payroll(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv
     raw = spark.read.csv(
         path, header=True, nullValue="NA", mode="FAILFAST", inferSchema=False, escape='"'
     )
-    by_canonical = {v: k for k, v in PAYROLL_SOURCE_NAMES.items()}
     cols = []
     for field in schemas.PAYROLL.fields:
-        src = by_canonical[field.name]
-        name = src if src in raw.columns else field.name
+        name = next((c for c in header_candidates(field.name) if c in raw.columns), None)
+        if name is None:
+            raise ValueError(f"payroll file has no column for {field.name!r} (tried {header_candidates(field.name)})")
         cols.append(F.col(f"`{name}`").cast(field.dataType).alias(field.name))
     return raw.select(cols)
 
 
+# Short names the published script gives two columns after reading.
+R_RENAMES = {"agency": "Agency", "title": "Title"}
+
+
+def header_candidates(canonical: str) -> list[str]:
+    """Header spellings accepted for a canonical payroll column: the published header, the same
+    with dots for spaces (as R writes it back), the script's short rename, and the canonical name."""
+    published = {v: k for k, v in PAYROLL_SOURCE_NAMES.items()}[canonical]
+    out = [published, published.replace(" ", "."), canonical]
+    if canonical in R_RENAMES:
+        out.insert(2, R_RENAMES[canonical])
+    return out
+
+
 def read_names(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Headerless name-registration files ``state,sex,year,name,count``.
 

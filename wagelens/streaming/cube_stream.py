@@ -7,6 +7,10 @@ does, and adds their sums into the aggregation state -- one state row per
 the whole cube (complete output mode) replaces the cube table; rewriting the same epoch gives
 the same table, so a retried batch does no harm. Reports are then built from that table with
 ``ReportSuite(..., cube=spark.read.parquet(cube_path))``.
+
+The landing folder is append-only: every file holds new payroll rows. Nothing has event time,
+so no watermark is needed; the state is bounded by the number of cube keys, which grows by one
+fiscal year at a time.
 """
 
 from __future__ import annotations
