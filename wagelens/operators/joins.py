@@ -15,12 +15,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame | None:
     The table (a small derived dimension such as the name weights) is persisted and counted:
     it is computed once, the count is exact, and the broadcast or the fallback join reads the
     stored blocks. Later plans in the session that compute the same table find it in Spark's
-    cache. A lost executor only means its blocks are recomputed from the short lineage. The
-    caller falls back to a shuffle join when None comes back.
+    cache (``spark.catalog.clearCache()`` releases it). A lost executor only means its blocks are
+    recomputed from the short lineage. The caller falls back to a shuffle join when None comes
+    back.
     """
     stored = df.persist(StorageLevel.MEMORY_AND_DISK)
     if stored.count() <= max_rows:
         return F.broadcast(stored)
+    # Too large to broadcast: do not hold a big table in the cache; the shuffle join that
+    # follows recomputes it from its (short) lineage.
+    stored.unpersist(blocking=False)
     return None
 
 
