@@ -71,18 +71,22 @@ def _matched(spark: SparkSession, sf_dir: str, profile: Profile = STAR_V2020) ->
 
 
 def q_name_sex_counts(spark, sf_dir):
+    """Registrations per upper-cased name and sex."""
     return name_sex_counts(star.names(spark, sf_dir))
 
 
 def q_name_spread(spark, sf_dir):
+    """Sexes spread into F and M columns, missing as 0 (A10, P5)."""
     return name_spread(name_sex_counts(star.names(spark, sf_dir)))
 
 
 def q_name_weights(spark, sf_dir):
+    """Name weights from registrations in one aggregate."""
     return _weights(spark, sf_dir)
 
 
 def q_name_weights_from_spread(spark, sf_dir):
+    """R0 through the explicit counts -> spread -> weights path."""
     return weights_from_spread(name_spread(name_sex_counts(star.names(spark, sf_dir))))
 
 
@@ -92,21 +96,25 @@ _LOOKUP_COLS = ["fiscal_year", "agency", "title", "first_name", "base_salary"]
 
 
 def q_lookup_left(spark, sf_dir):
+    """Plain lookup of every payroll row; unmatched keep NULL weights."""
     rows = star.payroll(spark, sf_dir).select(*_LOOKUP_COLS)
     return attach_weights(rows, _weights(spark, sf_dir), UNMATCHED_KEEP)
 
 
 def q_lookup_matched_only(spark, sf_dir):
+    """Lookup keeping matched rows only."""
     rows = star.payroll(spark, sf_dir).select(*_LOOKUP_COLS)
     return attach_weights(rows, _weights(spark, sf_dir), UNMATCHED_DROP)
 
 
 def q_common_flags(spark, sf_dir):
+    """Common / Uncommon flags of the second profile."""
     rows = star.payroll(spark, sf_dir).select(*_LOOKUP_COLS)
     return attach_weights(rows, _weights(spark, sf_dir), UNMATCHED_ZERO).drop("Male", "Female")
 
 
 def q_zero_fill_weights(spark, sf_dir):
+    """Unmatched weights set to 0."""
     rows = star.payroll(spark, sf_dir).select(*_LOOKUP_COLS)
     return attach_weights(rows, _weights(spark, sf_dir), UNMATCHED_ZERO).drop("Common", "Uncommon")
 
@@ -115,27 +123,33 @@ def q_zero_fill_weights(spark, sf_dir):
 
 
 def q_eligible_filter(spark, sf_dir):
+    """Annual, active employees of the profile years (F1)."""
     return _eligible(spark, sf_dir)
 
 
 def q_group_mean(spark, sf_dir):
+    """Mean base salary per year and agency, exact cents, NULL rule."""
     return group_mean(_eligible(spark, sf_dir), ["fiscal_year", "agency"], "base_salary", "avg_salary")
 
 
 def q_group_sum(spark, sf_dir):
+    """Total overtime per year and agency (A5)."""
     return group_sum(_eligible(spark, sf_dir), ["fiscal_year", "agency"], "total_ot_paid", "total_ot")
 
 
 def q_weighted_mean(spark, sf_dir):
+    """Male-weighted mean salary per year and agency (A4)."""
     df = weighted_mean(_matched(spark, sf_dir), ["fiscal_year", "agency"], "base_salary", "Male", "male_avg_salary")
     return _round(df, {"male_avg_salary": 2})
 
 
 def q_group_size_having(spark, sf_dir):
+    """Year-title groups with more than the threshold of rows (F4, aggregate form)."""
     return group_size_having(_matched(spark, sf_dir), ["fiscal_year", "title"], STAR_V2020.min_group_title)
 
 
 def q_group_size_keep_rows(spark, sf_dir):
+    """Rows of year-agency groups over the threshold (F4, row form, semi-join)."""
     return group_size_keep_rows(_eligible(spark, sf_dir), ["fiscal_year", "agency"], STAR_V2020.min_group_agency)
 
 
@@ -145,23 +159,26 @@ _CUBE_ROUND = {"w_m": 6, "w_f": 6, "xw_m": 2, "xw_f": 2}
 
 
 def q_measure_cube(spark, sf_dir):
+    """The measure cube, broadcast lookup path."""
     cube = measure_cube(_eligible(spark, sf_dir), _weights(spark, sf_dir), UNMATCHED_DROP)
     return _round(cube, _CUBE_ROUND)
 
 
 def q_measure_cube_shuffle(spark, sf_dir):
-    # Same cube through the path for weights tables too large to broadcast.
+    """The same cube through the path for weights too large to broadcast (pre-aggregate, shuffle join)."""
     cube = measure_cube(_eligible(spark, sf_dir), _weights(spark, sf_dir), UNMATCHED_DROP, max_broadcast_rows=0)
     return _round(cube, _CUBE_ROUND)
 
 
 def q_measure_cube_uncommon(spark, sf_dir):
+    """The measure cube of the second profile (unmatched kept)."""
     p = STAR_V2022
     cube = measure_cube(_eligible(spark, sf_dir, p), _weights(spark, sf_dir), UNMATCHED_ZERO)
     return _round(cube, _CUBE_ROUND)
 
 
 def q_append_citywide(spark, sf_dir):
+    """Per-agency overtime rows plus one citywide row per year."""
     s = _suite(spark, sf_dir)
     rolled = rollup(s.cube(), "agency", city_label=STAR_V2020.city_label)
     return measures(rolled, "overtime").withColumnRenamed("key", "agency")
@@ -171,19 +188,23 @@ def q_append_citywide(spark, sf_dir):
 
 
 def q_cpi_parse_period(spark, sf_dir):
+    """'YYYY-MM' index text split into year and month numbers."""
     return star.cpi(spark, sf_dir)
 
 
 def q_cpi_month_names(spark, sf_dir):
+    """Index with month names mapped to numbers (S3)."""
     return files.cpi_from_month_names(star.cpi_month_names(spark, sf_dir))
 
 
 def q_cpi_factor(spark, sf_dir):
+    """Per-year and base-year index values, checked unique."""
     p = STAR_V2020
     return index_values(q_cpi_parse_period(spark, sf_dir), p.years, p.cpi_month, p.base_year)
 
 
 def q_restate_money(spark, sf_dir):
+    """Mean salary restated in base-year money."""
     means = group_mean(_eligible(spark, sf_dir), ["fiscal_year", "agency"], "base_salary", "avg_salary")
     return restate_columns(means, q_cpi_factor(spark, sf_dir), ["avg_salary"])
 
@@ -197,6 +218,7 @@ def _gender_long(spark, sf_dir):
 
 
 def q_gap_ratio(spark, sf_dir):
+    """(M - F) / (M + F) per year and agency."""
     df = _gender_long(spark, sf_dir).select(
         "fiscal_year", F.col("key").alias("agency"), "is_citywide", gap(F.col("Male"), F.col("Female")).alias("gap")
     )
@@ -204,6 +226,7 @@ def q_gap_ratio(spark, sf_dir):
 
 
 def q_fmt_percent(spark, sf_dir):
+    """Gap as percent text with one decimal."""
     return _gender_long(spark, sf_dir).select(
         "fiscal_year", F.col("key").alias("agency"), "is_citywide",
         percent_text(gap(F.col("Male"), F.col("Female"))).alias("gap_text"),
@@ -211,6 +234,7 @@ def q_fmt_percent(spark, sf_dir):
 
 
 def q_fmt_dollar(spark, sf_dir):
+    """Overtime as dollar text, cents chosen per year column."""
     s = _suite(spark, sf_dir)
     long = measures(rollup(s.cube(), "title", city_label=STAR_V2020.city_label), "overtime")
     texts = with_dollar_texts(long, ["Average", "Total"], by=["fiscal_year"])
@@ -221,12 +245,14 @@ def q_fmt_dollar(spark, sf_dir):
 
 
 def q_pivot_years_wide(spark, sf_dir):
+    """Years side by side, Average_<year> columns."""
     p = STAR_V2020
     means = group_mean(_eligible(spark, sf_dir), ["fiscal_year", "agency"], "base_salary", "Average")
     return to_wide(means, "agency", ["Average"], p.years, "Agency", extra_keys=())
 
 
 def q_outer_merge_two_years(spark, sf_dir):
+    """NULL-safe full outer merge of two years' title groups."""
     p = STAR_V2020
     sizes = group_size_having(_matched(spark, sf_dir), ["fiscal_year", "title"], p.min_group_title)
     first = sizes.where(F.col("fiscal_year") == min(p.years)).select("title", F.col("n").alias("n_first"))
@@ -235,6 +261,7 @@ def q_outer_merge_two_years(spark, sf_dir):
 
 
 def q_distinct_keys(spark, sf_dir):
+    """Distinct agencies of the latest year."""
     p = STAR_V2020
     return distinct_keys(_eligible(spark, sf_dir).where(F.col("fiscal_year") == p.base_year), "agency")
 
@@ -243,13 +270,14 @@ def q_distinct_keys(spark, sf_dir):
 
 
 def q_csv_round_trip(spark, sf_dir):
+    """Eligible rows written as CSV and read back."""
     path = scratch_path(spark, "csv-round-trip")
     write_csv(_eligible(spark, sf_dir), path)
     return files.read_payroll(spark, path)
 
 
 def q_payroll_csv_source(spark, sf_dir):
-    # Payroll written with the published header names, read back through the source mapping.
+    """Payroll written with the published header names, read back through the source mapping."""
     path = scratch_path(spark, "payroll-csv")
     published = {v: k for k, v in files.PAYROLL_SOURCE_NAMES.items()}
     rows = star.payroll(spark, sf_dir).withColumnsRenamed(published).withColumn("Payroll Number", F.lit("x"))
@@ -258,13 +286,14 @@ def q_payroll_csv_source(spark, sf_dir):
 
 
 def q_payroll_partitioned(spark, sf_dir):
-    # Payroll stored by fiscal year; the eligibility filter then prunes year folders.
+    """Payroll stored by fiscal year; the eligibility filter then prunes year folders."""
     path = scratch_path(spark, "payroll-by-year")
     files.store_payroll(star.payroll(spark, sf_dir), path)
     return eligible(files.read_stored_payroll(spark, path), STAR_V2020.years)
 
 
 def q_name_weights_export(spark, sf_dir):
+    """R0 written as Parquet and read back (K2)."""
     path = scratch_path(spark, "baby-names")
     write_parquet(_weights(spark, sf_dir), path)
     return spark.read.parquet(path)
@@ -276,70 +305,87 @@ _GENDER_ROUND = {f"{m}_{y}": 2 for m in ("Male", "Female") for y in range(1990,
 
 
 def q_gender_gap_agency(spark, sf_dir):
+    """Gender gap by agency, years side by side."""
     return _round(_suite(spark, sf_dir).gender_gap("agency"), _GENDER_ROUND)
 
 
 def q_gender_gap_agency_chart(spark, sf_dir):
+    """R2: as R1, agencies over the threshold."""
     return _round(_suite(spark, sf_dir).gender_gap_chart("agency"), _GENDER_ROUND)
 
 
 def q_gender_gap_agency_table(spark, sf_dir):
+    """Latest-year table by agency, dollar and percent text."""
     return _suite(spark, sf_dir).gender_gap_table("agency")
 
 
 def q_gender_gap_title(spark, sf_dir):
+    """Gender gap by title."""
     return _round(_suite(spark, sf_dir).gender_gap("title"), _GENDER_ROUND)
 
 
 def q_gender_gap_title_chart(spark, sf_dir):
+    """As R4, titles over the threshold."""
     return _round(_suite(spark, sf_dir).gender_gap_chart("title"), _GENDER_ROUND)
 
 
 def q_gender_gap_title_table(spark, sf_dir):
+    """Latest-year table by title."""
     return _suite(spark, sf_dir).gender_gap_table("title")
 
 
 def q_overtime_agency(spark, sf_dir):
+    """Overtime by agency, years side by side, dollar text."""
     return _suite(spark, sf_dir).overtime("agency")
 
 
 def q_overtime_agency_chart(spark, sf_dir):
+    """As R7, agencies over the threshold."""
     return _suite(spark, sf_dir).overtime_chart("agency")
 
 
 def q_overtime_agency_latest(spark, sf_dir):
+    """Latest-year overtime by agency."""
     return _suite(spark, sf_dir).overtime_latest("agency")
 
 
 def q_overtime_title(spark, sf_dir):
+    """Overtime by title."""
     return _suite(spark, sf_dir).overtime("title")
 
 
 def q_overtime_title_chart(spark, sf_dir):
+    """As R10, titles over the threshold."""
     return _suite(spark, sf_dir).overtime_chart("title")
 
 
 def q_overtime_title_latest(spark, sf_dir):
+    """Latest-year overtime by title."""
     return _suite(spark, sf_dir).overtime_latest("title")
 
 
 def q_uncommon_names_agency(spark, sf_dir):
+    """Pay by common vs uncommon names, by agency (second profile)."""
     return _suite(spark, sf_dir, STAR_V2022).uncommon_names("agency")
 
 
 def q_gender_gap_agency_v2022(spark, sf_dir):
+    """R1 under the second profile (unmatched kept with zero weights)."""
     return _round(_suite(spark, sf_dir, STAR_V2022).gender_gap("agency"), _GENDER_ROUND)
 
 
 def q_overtime_agency_v2022(spark, sf_dir):
+    """R7 under the second profile (unmatched employees counted)."""
     return _suite(spark, sf_dir, STAR_V2022).overtime("agency")
 
 
 def q_gender_gap_title_table_v2022(spark, sf_dir):
+    """R6 under the second profile."""
     return _suite(spark, sf_dir, STAR_V2022).gender_gap_table("title")
 
 
 def q_overtime_title_chart_kept(spark, sf_dir):
+    """R11 with the citywide row taken after the threshold."""
     p = STAR_V2020.with_(city_scope="kept")
     return ReportSuite(_inputs(spark, sf_dir, p), p).overtime_chart("title")
 
