@@ -177,6 +177,20 @@ def q_measure_cube_uncommon(spark, sf_dir):
     return _round(cube, _CUBE_ROUND)
 
 
+def q_streaming_cube(spark, sf_dir):
+    """The cube kept up to date by the streaming job while payroll files land in two rounds."""
+    from ..streaming.cube_stream import read_payroll_stream, start_cube_upkeep
+
+    p = STAR_V2020
+    payroll = star.payroll(spark, sf_dir, p.years)
+    landing, cube_path, ckpt = (scratch_path(spark, n) for n in ("landing", "stream-cube", "stream-ckpt"))
+    middle = p.years[len(p.years) // 2]
+    for i, part in enumerate((payroll.where(F.col("fiscal_year") < middle), payroll.where(F.col("fiscal_year") >= middle))):
+        part.write.parquet(f"{landing}/round={i}")
+        start_cube_upkeep(read_payroll_stream(spark, f"{landing}/*"), _weights(spark, sf_dir), p, cube_path, ckpt).awaitTermination()
+    return _round(spark.read.parquet(cube_path), _CUBE_ROUND)
+
+
 def q_append_citywide(spark, sf_dir):
     """Per-agency overtime rows plus one citywide row per year."""
     s = _suite(spark, sf_dir)
@@ -408,6 +422,7 @@ QUERIES: dict[str, Query] = {
     "measure_cube": q_measure_cube,
     "measure_cube_shuffle": q_measure_cube_shuffle,
     "measure_cube_uncommon": q_measure_cube_uncommon,
+    "streaming_cube": q_streaming_cube,
     "append_citywide": q_append_citywide,
     "cpi_parse_period": q_cpi_parse_period,
     "cpi_month_names": q_cpi_month_names,

@@ -349,6 +349,7 @@ JOIN (SELECT fiscal_year, agency FROM eligible GROUP BY fiscal_year, agency HAVI
     sql["measure_cube"] = _cube_sql(p, "drop")
     sql["measure_cube_shuffle"] = sql["measure_cube"]
     sql["measure_cube_uncommon"] = _cube_sql(p2, "zero")
+    sql["streaming_cube"] = sql["measure_cube"]
     sql["append_citywide"] = _with(*_base(p, "drop"), rolled_cte("agency", None)) + f"""SELECT fiscal_year, key AS agency, is_citywide, n, {_ot_measures()} FROM rolled"""
     sql["cpi_parse_period"] = _with(CPI) + "SELECT year, month, value FROM cpi"
     sql["cpi_month_names"] = sql["cpi_parse_period"]
