@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import cents, from_cents
-from .names import UNMATCHED_DROP, join_weights, weight_lookup
+from .names import UNMATCHED_DROP, UNMATCHED_ZERO, join_weights, weight_lookup
 
 CUBE_KEYS = ["fiscal_year", "agency", "title"]
 
@@ -162,6 +162,8 @@ def measure_cube(
 
     Either way the facts are scanned once and shuffled once, after partial aggregation.
     """
+    if unmatched not in (UNMATCHED_DROP, UNMATCHED_ZERO):
+        raise ValueError(f"the cube needs unmatched='drop' or 'zero', not {unmatched!r}")
     lookup, is_broadcast = weight_lookup(weights, max_broadcast_rows)
     return sum_cube(cube_contributions(eligible_rows, lookup, is_broadcast, unmatched))
 
