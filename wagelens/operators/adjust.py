@@ -14,7 +14,7 @@ def index_values(cpi: DataFrame, years: Sequence[int], month: int, base_year: in
     """``fiscal_year, year_value, base_value``: the index of ``month`` in each year and in the base year.
 
     Exactly one index row per (year, month) is required; the job fails with a clear message if
-    a needed year has no such row or has several (as the reference's scalar lookup would).
+    a needed year has no such row or has several (as the published scripts' scalar lookup would).
     The result has one row per requested year, so it is safe to broadcast.
     """
     spark = cpi.sparkSession

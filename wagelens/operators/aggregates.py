@@ -1,6 +1,6 @@
 """Aggregates: means, sums, weighted means with R's NULL rules, and the measure cube.
 
-NULL rule: the reference calls ``mean``/``sum``/``weighted.mean`` without dropping missing
+NULL rule: the published scripts call ``mean``/``sum``/``weighted.mean`` without dropping missing
 values, so one missing amount in a group makes that group's result missing. Every aggregate
 here carries the counts needed to apply that rule after the fact.
 
@@ -182,7 +182,7 @@ def rollup(
 
     ``min_group_size``: keep keys with more than that many rows in the year (strict ``>``).
     ``city_scope='all'``: the citywide row counts every row, before the threshold (as the
-    reference code does) -- per-key and citywide rows are then one GROUPING SETS aggregate,
+    published code does) -- per-key and citywide rows are then one GROUPING SETS aggregate,
     one shuffle; ``'kept'``: only rows of the keys that pass it (a second, tiny aggregate).
 
     Output: ``fiscal_year, key, is_citywide, <summed measures>``; ``key`` holds ``city_label``
