@@ -65,3 +65,11 @@ def test_cli_on_published_style_files_matches_star_reports(spark, profile):
         a = _csv_rows(f"{out.removeprefix('file:')}/{name}.csv")
         b = _csv_rows(f"{ref.removeprefix('file:')}/{name}.csv")
         assert a == b, name
+
+
+def test_cli_parquet_output(spark):
+    out = scratch_path(spark, "cli-parquet")
+    cli.main(["--star", SF0001, "--profile", "star_v2020", "--out", out, "--out-format", "parquet"])
+    df = spark.read.parquet(f"{out}/Overtime_Agency.parquet")
+    assert df.columns[:3] == ["Agency", "Average_1995", "Total_1995"]
+    assert df.count() >= 1

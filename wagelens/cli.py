@@ -40,6 +40,7 @@ def parse_args(argv=None):
     ap.add_argument("--min-group-agency", type=int, help="show an agency only with more rows than this (default 200)")
     ap.add_argument("--min-group-title", type=int, help="show a title only with more rows than this (default 200)")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
+    ap.add_argument("--out-format", choices=["csv", "parquet"], default="csv")
     return ap.parse_args(argv)
 
 
@@ -77,7 +78,7 @@ def main(argv=None) -> None:
             files.read_cpi(spark, args.cpi, args.cpi_style or ("month_name" if profile.name == "v2020" else "period")),
         )
     suite = ReportSuite(inputs, profile, keep_cube=True).prepare()
-    for path in write_reports(suite.report_builders(), args.out, profile.city_label):
+    for path in write_reports(suite.report_builders(), args.out, profile.city_label, fmt=args.out_format):
         print(path)
 
 

@@ -30,11 +30,12 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     writer.parquet(path)
 
 
-def write_reports(reports: dict, out_dir: str, city_label: str, parallelism: int = 8) -> list[str]:
+def write_reports(reports: dict, out_dir: str, city_label: str, parallelism: int = 8, fmt: str = "csv") -> list[str]:
     """Write every report as one CSV file per report folder ``<out_dir>/<name>.csv/``.
 
     Reports have one row per agency or title, so each is written as a single file; rows are
     ordered by key with the citywide row last. The name-weights table is also kept as Parquet.
+    With ``fmt='parquet'`` each report is one Parquet file per folder instead (typed columns).
     Reports are DataFrames or builders of them (see ``ReportSuite.report_builders``); up to
     ``parallelism`` reports are built and written at once.
     """
@@ -48,7 +49,10 @@ def write_reports(reports: dict, out_dir: str, city_label: str, parallelism: int
             df = df.withColumnRenamed("name", "Name")
         key = df.columns[0]
         ordered = df.orderBy((F.col(key) == F.lit(city_label)).asc_nulls_first(), F.col(key).asc_nulls_first())
-        path = f"{out_dir.rstrip('/')}/{name}.csv"
+        path = f"{out_dir.rstrip('/')}/{name}.{fmt}"
+        if fmt == "parquet":
+            ordered.coalesce(1).write.mode("overwrite").parquet(path)
+            return path
         write_csv(ordered, path, single_file=True)
         if name == "baby_names":
             write_parquet(df, f"{out_dir.rstrip('/')}/{name}.parquet")
