@@ -5,6 +5,8 @@ Usage: python tools/show_plans.py [sf_dir]
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 import re
 import sys
@@ -19,8 +21,11 @@ HEADLINE = ["measure_cube", "measure_cube_shuffle", "gender_gap_agency", "overti
 
 
 def _explain(df) -> str:
-    # The "formatted" explain text, captured instead of printed.
-    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    # The "formatted" explain text, captured from the public explain() instead of printed.
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="formatted")
+    return buf.getvalue()
 
 
 def summary(text: str) -> str:
