@@ -101,15 +101,26 @@ def test_second_profile_keeps_unmatched(spark):
     assert n22 > n20
 
 
+def _explain(df, mode="simple"):
+    """Plan text from the public explain(), captured instead of printed."""
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode=mode)
+    return buf.getvalue()
+
+
 def _plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    return _explain(df, "simple")
 
 
 def test_plan_single_fact_scan_broadcast_lookup_no_python(spark, v2020):
     cube = catalog.q_measure_cube(spark, SF001)
     scans = re.findall(r"FileScan parquet[^\n]*lineitem\.parquet", _plan(cube))
     assert len(scans) == 1
-    text = cube._jdf.queryExecution().toString()
+    text = _explain(cube, "extended")
     assert "BroadcastHashJoin" in text
     assert "PythonUDF" not in text and "ArrowEvalPython" not in text and "BatchEvalPython" not in text
     # One shuffle for the cube itself: partial aggregate -> exchange -> final aggregate.
@@ -128,7 +139,7 @@ def test_plan_fallback_pre_aggregates_before_shuffle_join(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         cube = catalog.q_measure_cube_shuffle(spark, SF001)
-        text = cube._jdf.queryExecution().toString()
+        text = _explain(cube, "extended")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in text or "ShuffledHashJoin" in text
