@@ -26,18 +26,21 @@ def index_values(cpi: DataFrame, years: Sequence[int], month: int, base_year: in
         pairs.append(F.struct(F.lit(int(y)).alias("fiscal_year"), F.lit("base").alias("role"), F.lit(int(base_year)).alias("year")))
     wanted = spark.range(1).select(F.inline(F.array(*pairs)))
     needed = sorted({int(y) for y in years} | {int(base_year)})
-    per_year = (
-        cpi.where((F.col("month") == month) & F.col("year").isin(needed))
-        .groupBy("year")
-        .agg(F.count("*").alias("rows"), F.first("value").alias("value"))
-    )
-    # The index is referenced once; at most two rows per requested year meet it.
-    looked_up = wanted.join(F.broadcast(per_year), on="year", how="left")
-    by_year = looked_up.groupBy("fiscal_year").agg(
+    rows = cpi.where((F.col("month") == month) & F.col("year").isin(needed)).select("year", "value")
+    # The request table is the broadcast side (two rows per requested year, a proven bound);
+    # index rows stream through it. Requests without an index row come back through the
+    # union, so one aggregate per fiscal year sees both "no row" and "several rows".
+    found = rows.join(F.broadcast(wanted), on="year").select("fiscal_year", "role", "year", "value", F.lit(1).alias("hit"))
+    asked = wanted.select("fiscal_year", "role", "year", F.lit(None).cast("double").alias("value"), F.lit(0).alias("hit"))
+    by_year = found.unionByName(asked).groupBy("fiscal_year").agg(
         *[
-            F.max(F.when(F.col("role") == role, F.col(c))).alias(f"{role}_{c}")
+            agg
             for role in ("year", "base")
-            for c in ("year", "rows", "value")
+            for agg in (
+                F.max(F.when(F.col("role") == role, F.col("year"))).alias(f"{role}_year"),
+                F.sum(F.when(F.col("role") == role, F.col("hit"))).alias(f"{role}_rows"),
+                F.max(F.when((F.col("role") == role) & (F.col("hit") == 1), F.col("value"))).alias(f"{role}_value"),
+            )
         ]
     )
 
@@ -45,7 +48,7 @@ def index_values(cpi: DataFrame, years: Sequence[int], month: int, base_year: in
         # All checks sit in this one projection, so a bad index fails with one clear message.
         rows, year = F.col(f"{role}_rows"), F.col(f"{role}_year")
         return (
-            F.when(rows.isNull(), F.raise_error(F.format_string(f"price index has no row for year %d, month {month}", year)))
+            F.when(rows == 0, F.raise_error(F.format_string(f"price index has no row for year %d, month {month}", year)))
             .when(rows > 1, F.raise_error(F.format_string(f"price index has %d rows for year %d, month {month}", rows, year)))
             .otherwise(F.col(f"{role}_value"))
         )
