@@ -129,3 +129,41 @@ def test_reports_equal_brute_force(spark, profile, grain, threshold, max_rows):
             for c in cols:
                 want = e[f"OT_{c}"] if kind == "overtime" else e[c]
                 assert _close(got[k][c], want), (kind, k, c, got[k][c], want)
+
+
+def _py_dollar_column(values):
+    """Dollar texts of one column: cents unless max |x| > 100,000 or all values whole."""
+    present = [v for v in values if v is not None]
+    cents = bool(present) and max(abs(v) for v in present) <= 100_000 and any(v != math.floor(v) for v in present)
+    return [None if v is None else ("-$" if v < 0 else "$") + format(abs(v), ",.2f" if cents else ",.0f") for v in values]
+
+
+def test_wide_overtime_report_equals_brute_force(spark):
+    from helpers import cpi
+
+    rows = _fixture()
+    p = STAR_V2020.with_(years=YEARS, city_label=LABEL)
+    index = {2019: 250.0, 2020: 262.5}
+    suite = ReportSuite(Inputs(payroll(spark, rows), names(spark, NAME_ROWS), cpi(spark, [(y, 6, v) for y, v in index.items()])), p)
+    got = {r["Agency"]: r.asDict() for r in suite.overtime("agency").collect()}
+
+    expect = _brute(rows, p.unmatched, "agency", None)
+    base = index[max(YEARS)]
+    by_year = {}
+    for (fy, key, city), e in expect.items():
+        restated = {c: None if e[f"OT_{c}"] is None else (e[f"OT_{c}"] / index[fy]) * base for c in ("Average", "Total")}
+        by_year.setdefault(fy, {})[(key, city)] = restated
+    want = {}
+    for fy, cells in by_year.items():
+        keys = list(cells)
+        for c in ("Average", "Total"):
+            texts = _py_dollar_column([cells[k][c] for k in keys])
+            for k, t in zip(keys, texts):
+                want.setdefault(k[0], {})[f"{c}_{fy}"] = t
+    assert set(got) == set(want)
+    for key, cols in want.items():
+        for c, t in cols.items():
+            assert got[key][c] == t, (key, c, got[key][c], t)
+        for y in YEARS:  # a key missing in a year is NULL in all of that year's columns
+            if f"Average_{y}" not in cols:
+                assert got[key][f"Average_{y}"] is None and got[key][f"Total_{y}"] is None
