@@ -167,3 +167,29 @@ def test_wide_overtime_report_equals_brute_force(spark):
         for y in YEARS:  # a key missing in a year is NULL in all of that year's columns
             if f"Average_{y}" not in cols:
                 assert got[key][f"Average_{y}"] is None and got[key][f"Total_{y}"] is None
+
+
+def _py_percent(x):
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    if x is None:
+        return None
+    v = float(Decimal(repr(x * 100.0)).quantize(Decimal("0.1"), rounding=ROUND_HALF_EVEN)) + 0.0
+    return format(v, ",.1f") + "%"
+
+
+@pytest.mark.parametrize("profile", [STAR_V2020, STAR_V2022], ids=["drop", "zero"])
+def test_one_year_gender_table_equals_brute_force(spark, profile):
+    rows = _fixture()
+    p = profile.with_(years=YEARS, city_label=LABEL, min_group_agency=100)
+    table = {r["Agency"]: r.asDict() for r in ReportSuite(Inputs(payroll(spark, rows), names(spark, NAME_ROWS), None), p).gender_gap_table("agency").collect()}
+    expect = {key: e for (fy, key, city), e in _brute(rows, p.unmatched, "agency", 100).items() if fy == max(YEARS)}
+    assert set(table) == set(expect)
+    keys = list(expect)
+    for c in ("Average", "Male", "Female"):
+        for k, t in zip(keys, _py_dollar_column([expect[k][c] for k in keys])):
+            assert table[k][c] == t, (k, c)
+    for k in keys:
+        m, f = expect[k]["Male"], expect[k]["Female"]
+        g = None if m is None or f is None or m + f == 0 else (m - f) / (m + f)
+        assert table[k]["Gap"] == _py_percent(g), k
