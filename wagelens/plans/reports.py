@@ -81,14 +81,15 @@ class ReportSuite:
         self._cube: DataFrame | None = cube
         self._weights: DataFrame | None = None
         self._index: DataFrame | None = None
-        # Reports may be built from several threads; the shared pieces are computed once.
-        self._lock = threading.RLock()
+        # Reports may be built from several threads; each shared piece is computed once, and
+        # the cube and the index (independent jobs) can be computed at the same time.
+        self._locks = {k: threading.Lock() for k in ("weights", "cube", "index")}
 
     # -- building blocks ----------------------------------------------------------------------
 
     def weights(self) -> DataFrame:
         """``name, F, M, M_weight, F_weight``."""
-        with self._lock:
+        with self._locks["weights"]:
             if self._weights is None:
                 self._weights = name_weights(self.inputs.names)
             return self._weights
@@ -98,7 +99,7 @@ class ReportSuite:
 
     def cube(self) -> DataFrame:
         """The measure cube; with ``keep_cube`` it is computed once and checkpointed."""
-        with self._lock:
+        with self._locks["cube"]:
             if self._cube is None:
                 p = self.profile
                 cube = measure_cube(self.eligible(), self.weights(), p.unmatched, p.max_broadcast_rows)
@@ -107,7 +108,7 @@ class ReportSuite:
 
     def index(self) -> DataFrame:
         """Per-year index values (one row per year); stored once with ``keep_cube``."""
-        with self._lock:
+        with self._locks["index"]:
             if self._index is None:
                 p = self.profile
                 index = index_values(self.inputs.cpi, p.years, p.cpi_month, p.base_year)
@@ -211,10 +212,12 @@ class ReportSuite:
         return {name: build() for name, build in self.report_builders().items()}
 
     def prepare(self) -> "ReportSuite":
-        """Compute the shared pieces (weights, cube, index) once, before reports run in parallel."""
+        """Compute the shared pieces (cube and index, as two concurrent jobs) once, before
+        reports run in parallel."""
         self.weights()
-        self.cube()
-        self.index()
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            for f in [pool.submit(self.cube), pool.submit(self.index)]:
+                f.result()
         return self
 
 
