@@ -121,8 +121,12 @@ class ReportSuite:
     def long(self, kind: str, grain: str, chart: bool, latest_only: bool = False, restated: bool = True) -> DataFrame:
         """Long report rows: ``fiscal_year, key, is_citywide, n, <measures>`` (money restated)."""
         p = self.profile
-        # Facts are summed once into the cube; the grouping sets then expand only cube rows.
-        source = self.cube()
+        # The index plan is built while the cube step waits on its weights check.
+        with ThreadPoolExecutor(max_workers=1) as pool:
+            index_future = pool.submit(self.index) if restated else None
+            # Facts are summed once into the cube; the grouping sets then expand only cube rows.
+            source = self.cube()
+            index = index_future.result() if index_future is not None else None
         if latest_only:
             source = source.where(F.col("fiscal_year") == p.base_year)
         rolled = rollup(
@@ -135,7 +139,7 @@ class ReportSuite:
         out = measures(rolled, kind)
         if restated:
             money = {"gender": GENDER, "overtime": OVERTIME, "names": NAMES}[kind]
-            out = restate_columns(out, self.index(), money)
+            out = restate_columns(out, index, money)
         return out
 
     # -- wide multi-year reports -----------------------------------------------------------------
