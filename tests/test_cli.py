@@ -73,3 +73,12 @@ def test_cli_parquet_output(spark):
     df = spark.read.parquet(f"{out}/Overtime_Agency.parquet")
     assert df.columns[:3] == ["Agency", "Average_1995", "Total_1995"]
     assert df.count() >= 1
+
+
+def test_cli_long_tables(spark):
+    out = scratch_path(spark, "cli-long")
+    cli.main(["--star", SF0001, "--profile", "star_v2022", "--out", out, "--long"])
+    df = spark.read.parquet(f"{out}/long_overtime_agency.parquet")
+    assert {"fiscal_year", "key", "is_citywide", "n", "Average", "Total"} <= set(df.columns)
+    assert df.where("is_citywide").select("fiscal_year").distinct().count() == 6
+    assert spark.read.parquet(f"{out}/long_names_agency.parquet").count() >= 6

@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 
 from . import STAR_V2020, STAR_V2022, V2020, V2022, Inputs, ReportSuite
 from .sources import files, star
-from .sources.sinks import write_reports
+from .sources.sinks import write_parquet, write_reports
 
 PROFILES = {p.name: p for p in (V2020, V2022, STAR_V2020, STAR_V2022)}
 
@@ -41,6 +41,7 @@ def parse_args(argv=None):
     ap.add_argument("--min-group-title", type=int, help="show a title only with more rows than this (default 200)")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     ap.add_argument("--out-format", choices=["csv", "parquet"], default="csv")
+    ap.add_argument("--long", action="store_true", help="also write the numeric long tables as Parquet, by fiscal year")
     return ap.parse_args(argv)
 
 
@@ -80,6 +81,11 @@ def main(argv=None) -> None:
     suite = ReportSuite(inputs, profile, keep_cube=True).prepare()
     for path in write_reports(suite.report_builders(), args.out, profile.city_label, fmt=args.out_format):
         print(path)
+    if args.long:
+        for name, df in suite.long_tables().items():
+            path = f"{args.out.rstrip('/')}/{name}.parquet"
+            write_parquet(df, path, partition_by=["fiscal_year"])
+            print(path)
 
 
 if __name__ == "__main__":

@@ -211,6 +211,12 @@ class ReportSuite:
             out["Uncommon_Names_Agency"] = lambda: self.uncommon_names("agency")
         return out
 
+    def long_tables(self) -> dict[str, DataFrame]:
+        """Numeric long forms (``fiscal_year, key, is_citywide, n, measures``, money restated) of
+        every report family, for loading elsewhere; no threshold, no text."""
+        kinds = ["gender", "overtime"] + (["names"] if self.profile.unmatched == UNMATCHED_ZERO else [])
+        return {f"long_{kind}_{grain}": self.long(kind, grain, chart=False) for kind in kinds for grain in GRAINS}
+
     def all_reports(self) -> dict[str, DataFrame]:
         """Every report of the profile, keyed by the output file stem."""
         return {name: build() for name, build in self.report_builders().items()}
