@@ -55,7 +55,7 @@ def _weights():
 
 
 def _mean(xs):
-    return None if any(x is None for x in xs) else sum(xs) / len(xs)
+    return None if not xs or any(x is None for x in xs) else sum(xs) / len(xs)
 
 
 def _total(xs):
@@ -193,3 +193,37 @@ def test_one_year_gender_table_equals_brute_force(spark, profile):
         m, f = expect[k]["Male"], expect[k]["Female"]
         g = None if m is None or f is None or m + f == 0 else (m - f) / (m + f)
         assert table[k]["Gap"] == _py_percent(g), k
+
+
+# -- randomized: hypothesis draws small payrolls, both profiles must match the brute force -----
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_row = st.tuples(
+    st.sampled_from(YEARS),
+    st.sampled_from(["A", "B", None]),
+    st.sampled_from(["T1", "T2"]),
+    st.sampled_from(["ANN", "BOB", "KIM", "ZED", "NOBODY", None]),
+    st.one_of(st.none(), st.integers(1, 10**7).map(lambda c: c / 100)),
+    st.one_of(st.none(), st.integers(-5000, 10**6).map(lambda c: c / 100)),
+    st.sampled_from(["per Annum", "per Annum", "per Hour"]),
+    st.sampled_from(["ACTIVE", "ACTIVE", "ON LEAVE"]),
+)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(_row, min_size=1, max_size=40), st.sampled_from([STAR_V2020, STAR_V2022]))
+def test_random_payrolls_equal_brute_force(spark, rows, profile):
+    p = profile.with_(years=YEARS, city_label=LABEL)
+    suite = ReportSuite(Inputs(payroll(spark, rows), names(spark, NAME_ROWS), None), p)
+    expect = _brute(rows, p.unmatched, "agency", None)
+    for kind, cols in {"gender": ("Average", "Male", "Female"), "overtime": ("Average", "Total")}.items():
+        got = {(r.fiscal_year, r.key, r.is_citywide): r for r in suite.long(kind, "agency", False, restated=False).collect()}
+        # A year without eligible rows has no rows at all (no citywide row either).
+        want = {k: e for k, e in expect.items() if e["n"] > 0}
+        assert set(got) == set(want), kind
+        for k, e in want.items():
+            for c in cols:
+                w = e[f"OT_{c}"] if kind == "overtime" else e[c]
+                assert _close(got[k][c], w), (kind, k, c, got[k][c], w)
