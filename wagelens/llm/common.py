@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, scratch_path
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table, whole."""
@@ -31,7 +33,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     checkpoint_dir(spark)
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    # The written table takes the place of the shuffles behind it; their files go with the write.
+    old = spark.conf.get(CLEANUP, None)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if old is None else spark.conf.set(CLEANUP, old)
     return spark.read.schema(df.schema).parquet(path)
 
 

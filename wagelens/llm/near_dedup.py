@@ -5,8 +5,9 @@ Documents with equal sets form one class at once. Each class has ``TREES`` signa
 key is a sequence of ``DEPTH`` min-hashes, and classes that share a prefix of it stand together when
 the order is sorted. A region is such a prefix; its depth adapts: ``LEAST`` min-hashes, more where a
 region has over ``REGION`` classes. Within a region,
-first every class is compared with the region's smallest class; after that, classes of a region
-that are still in different components are compared, all of them. Comparisons are on the full sets.
+first every class is compared with the region's smallest class, then with its neighbour in the
+sorted order (the longest common prefix); after that, classes of a region that are still in
+different components are compared, all of them. Comparisons are on the full sets.
 What was left out are pairs already in one component, which change nothing.
 
 Chance: a pair of similarity 0.8 shares no region of depth 4 in any of 20 trees with probability
@@ -144,6 +145,32 @@ def prefix(depth: int):
     return F.substring(F.col("key"), 1, 4 * depth)
 
 
+def unresolved(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of the regions that hold classes of different components, with their roots."""
+    placed = shared.join(roots, shared["c"] == roots["node"], "left").select("tree", "p", "key", "c", "size", F.coalesce("root", "c").alias("root"))
+    open_ = placed.groupBy("tree", "p").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tree", "p")
+    return stored(placed.join(open_, ["tree", "p"]).select("tree", "p", "key", "c", "size", "root"), "near-placed")
+
+
+def neighbours(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that stand side by side in a sorted order, share a region and have different roots.
+
+    The order is dealt out by range, so a large region spreads over tasks. A pair across two tasks is
+    not seen here; like all pairs that are not neighbours it is left to the comparison that follows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            rows = list(zip(*(b.column(n).to_pylist() for n in ("tree", "p", "c", "root")), strict=True))
+            pairs = [(min(x[2], y[2]), max(x[2], y[2])) for x, y in zip([last, *rows[:-1]], rows, strict=True) if x and x[:2] == y[:2] and x[3] != y[3]]
+            last = rows[-1] if rows else last
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    order = ["tree", "key", "c"]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "p", "c", "root").mapInArrow(run, "a binary, b binary").distinct()
+
+
 def near_groups(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, c (class), component_id, kept."""
     text = texts(docs)
@@ -163,11 +190,15 @@ def near_groups(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     links = stored(confirmed(stars, sets, percent), "near-links")
     first = components(links)
 
-    # Classes of one region in different components, at the depth that the region's size asks for.
-    root = F.coalesce("root", "c").alias("root")
-    placed = shared.join(first, shared["c"] == first["node"], "left").select("tree", "p", "key", "c", "size", root)
-    open_ = placed.groupBy("tree", "p").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tree", "p")
-    left = stored(placed.join(open_, ["tree", "p"]).select("tree", "key", "c", "root", F.col("size").alias("n"), F.lit(LEAST).alias("depth")), "near-open")
+    # Neighbours in the sorted orders that are still in different components.
+    placed = unresolved(shared, first)
+    beside = stored(confirmed(neighbours(placed), sets, percent), "near-links")
+    links = links.unionByName(beside)
+    second = first if beside.isEmpty() else components(links)
+
+    # What is left: classes of one region in different components, at the depth that the region's size asks for.
+    placed = unresolved(shared, second)
+    left = stored(placed.select("tree", "key", "c", "root", F.col("size").alias("n"), F.lit(LEAST).alias("depth")), "near-open")
     for depth in range(LEAST + 1, DEPTH + 1):
         deeper = left.where((F.col("n") > REGION) & (F.col("depth") == depth - 1)).withColumn("p", prefix(depth)).drop("n")
         counts = deeper.groupBy("tree", "p").agg(F.count(F.lit(1)).alias("n"))
@@ -182,7 +213,7 @@ def near_groups(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     b = out.select("tree", "depth", "p", F.col("c").alias("b"), F.col("root").alias("rb"))
     more = a.join(b, ["tree", "depth", "p"]).where("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     extra = stored(confirmed(more, sets, percent), "near-links")
-    final = first if extra.isEmpty() else components(links.unionByName(extra))
+    final = second if extra.isEmpty() else components(links.unionByName(extra))
 
     # The smallest doc_id of each component, handed back to its classes and their documents.
     roots = classes.join(final, classes["c"] == final["node"], "left").select("c", "rep", F.coalesce("root", "c").alias("root"))

@@ -39,7 +39,7 @@ from .wordbatch import Words, grams
 
 WINDOW = 35
 GRAM = 16
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_SEGMENTS = 10_000
 HOT = 10_000
 
