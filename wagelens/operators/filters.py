@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import bounded_broadcast
+
 # The pay basis and leave status of employees the reports count.
 ANNUAL_BASIS = "per Annum"
 ACTIVE_STATUS = "ACTIVE"
@@ -31,12 +33,13 @@ def group_size_having(df: DataFrame, keys: Sequence[str], min_size: int) -> Data
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > min_size)
 
 
-def group_size_keep_rows(df: DataFrame, keys: Sequence[str], min_size: int) -> DataFrame:
+def group_size_keep_rows(df: DataFrame, keys: Sequence[str], min_size: int, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Every row whose group of ``keys`` has more than ``min_size`` rows (rows kept whole).
 
     The group sizes are aggregated (partial counts map-side, one row per group) and joined back
-    on the keys with NULL-safe equality, so a NULL key is a group like any other. No window sorts
-    a whole group inside one task, so a key holding a third of all rows costs nothing extra.
+    on the keys with NULL-safe equality, so a NULL key is a group like any other. The kept keys are
+    broadcast where they are at most ``max_broadcast_rows`` (counted): the rows are then not
+    shuffled. Beyond that they are, in a join whose hot keys Spark splits at run time.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > min_size)
     sizes = sizes.select(*[F.col(k).alias(f"__k_{k}") for k in keys])
@@ -44,5 +47,6 @@ def group_size_keep_rows(df: DataFrame, keys: Sequence[str], min_size: int) -> D
     for k in keys:
         c = df[k].eqNullSafe(sizes[f"__k_{k}"])
         cond = c if cond is None else cond & c
-    return df.join(sizes, cond, "left_semi")
+    small = bounded_broadcast(sizes, max_broadcast_rows)
+    return df.join(sizes if small is None else small, cond, "left_semi")
 

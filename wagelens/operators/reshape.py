@@ -1,4 +1,4 @@
-"""Reshaping report rows: years side by side (J3, P3), distinct keys (A9, P8), appended rows."""
+"""Reshaping report rows: years side by side (J3, P3), distinct keys."""
 
 from __future__ import annotations
 
@@ -21,10 +21,11 @@ def to_wide(
     This is the whole chain of per-year full outer merges in one aggregate: a key missing in a
     year gets NULL in all of that year's columns. Pivot values are given (no extra job), and
     ``extra_keys`` (the citywide flag) keep a real key from merging with the citywide row. The
-    input has one row per (key, year), so ``first`` is exact.
+    input has one row per (key, year); a second one is an error.
     """
     group = [F.col(key).alias(key_name), *[F.col(k) for k in extra_keys]]
-    aggs = [F.first(F.col(m)).alias(m) for m in measures]
+    twice = F.raise_error(F.lit(f"more than one row for a {key} and year"))
+    aggs = [F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.first(F.col(m))).alias(m) for m in measures]
     wide = long.groupBy(*group).pivot("fiscal_year", list(years)).agg(*aggs)
     if len(measures) == 1:
         # Spark names single-aggregate pivot columns by the value alone.
@@ -39,8 +40,3 @@ def to_wide(
 def distinct_keys(df: DataFrame, key: str) -> DataFrame:
     """Distinct values of one column (NULL is one value)."""
     return df.select(key).distinct()
-
-
-def append_rows(df: DataFrame, extra: DataFrame) -> DataFrame:
-    """Rows of ``df`` followed by rows of ``extra``, matched by column name."""
-    return df.unionByName(extra)

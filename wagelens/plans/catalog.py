@@ -202,19 +202,30 @@ def q_append_citywide(spark, sf_dir):
 
 
 def q_cpi_parse_period(spark, sf_dir):
-    """'YYYY-MM' index text split into year and month numbers."""
-    return star.cpi(spark, sf_dir)
+    """A price-index CSV with 'YYYY-MM' texts, read by position and split into numbers."""
+    path = scratch_path(spark, "cpi-periods")
+    write_csv(star.cpi_periods(spark, sf_dir), path)
+    return files.read_cpi(spark, path, style="period")
 
 
 def q_cpi_month_names(spark, sf_dir):
-    """Index with month names mapped to numbers (S3)."""
-    return files.cpi_from_month_names(star.cpi_month_names(spark, sf_dir))
+    """A price-index CSV with month names, mapped to numbers (S3)."""
+    path = scratch_path(spark, "cpi-months")
+    write_csv(star.cpi_month_names(spark, sf_dir), path)
+    return files.read_cpi(spark, path, style="month_name")
+
+
+def q_names_csv_source(spark, sf_dir):
+    """Headerless name-registration files, columns by position (S2, P2), summed per name and sex."""
+    path = scratch_path(spark, "names-csv")
+    star.names(spark, sf_dir).write.csv(path, header=False)
+    return name_sex_counts(files.read_names(spark, path))
 
 
 def q_cpi_factor(spark, sf_dir):
     """Per-year and base-year index values, checked unique."""
     p = STAR_V2020
-    return index_values(q_cpi_parse_period(spark, sf_dir), p.years, p.cpi_month, p.base_year)
+    return index_values(star.cpi(spark, sf_dir), p.years, p.cpi_month, p.base_year)
 
 
 def q_restate_money(spark, sf_dir):
@@ -426,6 +437,7 @@ QUERIES: dict[str, Query] = {
     "append_citywide": q_append_citywide,
     "cpi_parse_period": q_cpi_parse_period,
     "cpi_month_names": q_cpi_month_names,
+    "names_csv_source": q_names_csv_source,
     "cpi_factor": q_cpi_factor,
     "restate_money": q_restate_money,
     "gap_ratio": q_gap_ratio,

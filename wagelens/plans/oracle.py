@@ -38,12 +38,11 @@ PAYROLL = """payroll AS (
 
 NAMES = """names AS (
   SELECT r.r_name AS state,
-         CASE WHEN c.c_mktsegment = 'BUILDING' THEN 'F' ELSE 'M' END AS sex,
-         0 AS year, n.n_name AS name, CAST(1 AS BIGINT) AS count
+         CASE WHEN c.c_mktsegment IN ('BUILDING', 'HOUSEHOLD') THEN 'F' ELSE 'M' END AS sex,
+         0 AS year, CASE WHEN r.r_name = 'ASIA' THEN 'de ' || lower(n.n_name) ELSE lower(n.n_name) END AS name, CAST(1 AS BIGINT) AS count
   FROM customer c
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
-  WHERE c.c_mktsegment IN ('BUILDING', 'MACHINERY') AND r.r_name <> 'ASIA'
 )"""
 
 COUNTS = """counts AS (
@@ -353,6 +352,7 @@ JOIN (SELECT fiscal_year, agency FROM eligible GROUP BY fiscal_year, agency HAVI
     sql["append_citywide"] = _with(*_base(p, "drop"), rolled_cte("agency", None)) + f"""SELECT fiscal_year, key AS agency, is_citywide, n, {_ot_measures()} FROM rolled"""
     sql["cpi_parse_period"] = _with(CPI) + "SELECT year, month, value FROM cpi"
     sql["cpi_month_names"] = sql["cpi_parse_period"]
+    sql["names_csv_source"] = sql["name_sex_counts"]
     sql["cpi_factor"] = _with(CPI, index_cte(p)) + "SELECT fiscal_year, year_value, base_value FROM idx"
     sql["restate_money"] = _with(PAYROLL, CPI, eligible_cte(p), index_cte(p)) + f"""SELECT g.fiscal_year, agency, {_restated('avg_salary')} AS avg_salary
 FROM (SELECT fiscal_year, agency, {_mean(f'sum({sal})', 'count(base_salary)', 'count(*)')} AS avg_salary FROM eligible GROUP BY fiscal_year, agency) g

@@ -73,7 +73,7 @@ def measures(rolled: DataFrame, kind: str) -> DataFrame:
 class ReportSuite:
     """All reports of one profile over one set of inputs, sharing one cube."""
 
-    def __init__(self, inputs: Inputs, profile: Profile, keep_cube: bool = False, cube: DataFrame | None = None):
+    def __init__(self, inputs: Inputs, profile: Profile, keep_cube: bool = True, cube: DataFrame | None = None):
         """``cube``: a cube computed elsewhere (e.g. kept up to date by the streaming job)."""
         self.inputs = inputs
         self.profile = profile

@@ -42,18 +42,31 @@ def read_payroll(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv
     if fmt == "parquet":
         df = spark.read.parquet(*([path] if isinstance(path, str) else path))
         return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.PAYROLL.fields])
+    # Text as it stands (an empty field is an empty text, not a missing one); a file whose header
+    # differs from the first file's fails instead of landing in wrong columns.
     raw = spark.read.csv(
-        path, header=True, nullValue="NA", mode="FAILFAST", inferSchema=False, escape='"'
+        path, header=True, nullValue=NO_TEXT, mode="FAILFAST", inferSchema=False, enforceSchema=False, escape='"'
     )
     cols = []
     for field in schemas.PAYROLL.fields:
         name = next((c for c in header_candidates(field.name) if c in raw.columns), None)
         if name is None:
             raise ValueError(f"payroll file has no column for {field.name!r} (tried {header_candidates(field.name)})")
-        cols.append(F.col(f"`{name}`").cast(field.dataType).alias(field.name))
+        cols.append(_field(F.col(f"`{name}`"), field.dataType).alias(field.name))
     return raw.select(cols)
 
 
+# Never a field's text, so that Spark turns no text into NULL by itself.
+NO_TEXT = "\x00"
+
+
+def _field(text: Column, kind) -> Column:
+    """A CSV field: ``NA`` is missing; an empty field is a text of its own, but no number."""
+    if kind.simpleString() == "string":
+        return F.when(text == "NA", F.lit(None)).otherwise(F.coalesce(text, F.lit("")))
+    return F.when((text != "NA") & (text != ""), text).cast(kind)
+
+
 # Short names the published script gives two columns after reading.
 R_RENAMES = {"agency": "Agency", "title": "Title"}
 
@@ -125,13 +138,17 @@ def store_payroll(payroll: DataFrame, path: str) -> None:
 
     Later reads filtered on fiscal years (the eligibility filter) skip whole year folders
     (partition pruning) instead of reading every file; the other filters reach the Parquet
-    reader as pushed filters. Rows are also clustered by agency and title inside each task's
-    files (a sort within partitions, no shuffle), so a scan task covers a narrow range of
-    cube keys and its partial aggregate emits few rows -- the cube's one shuffle then carries
-    about one row per key per file range instead of one per key per task.
+    reader as pushed filters. Rows are dealt by ranges of (year, agency, title, a hash of the row) and sorted, so a file
+    covers a narrow range of cube keys and a scan task's partial aggregate emits few rows; the
+    hash splits a key that has a large share of the rows over several ranges.
     """
+    spread = F.xxhash64(*[F.col(c) for c in payroll.columns])
+    order = ["fiscal_year", "agency", "title", "__spread"]
     (
-        payroll.sortWithinPartitions("fiscal_year", "agency", "title")
+        payroll.withColumn("__spread", spread)
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .drop("__spread")
         .write.mode("overwrite")
         .partitionBy("fiscal_year")
         .parquet(path)

@@ -99,16 +99,16 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = _table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     rows = (
-        cust.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        cust.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .where(F.col("r_name") != "ASIA")
     )
     return rows.select(
         F.col("r_name").alias("state"),
-        F.when(F.col("c_mktsegment") == "BUILDING", F.lit("F")).otherwise(F.lit("M")).alias("sex"),
+        F.when(F.col("c_mktsegment").isin("BUILDING", "HOUSEHOLD"), F.lit("F")).otherwise(F.lit("M")).alias("sex"),
         F.lit(0).alias("year"),
-        F.col("n_name").alias("name"),
+        # Registrations are written in lower case; those of one region under another spelling, so
+        # that payroll names without a registration come from the data.
+        F.when(F.col("r_name") == "ASIA", F.concat(F.lit("de "), F.lower("n_name"))).otherwise(F.lower("n_name")).alias("name"),
         F.lit(1).cast("long").alias("count"),
     )
 

@@ -27,11 +27,13 @@ from ..plans.profiles import Profile
 
 def read_payroll_stream(spark: SparkSession, folder: str, fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
     """Canonical payroll rows from files as they arrive in ``folder`` (declared schema)."""
+    if fmt == "csv":
+        # A declared schema is laid over CSV files by position; read them with ``read_payroll``,
+        # which goes by the header, and land Parquet.
+        raise ValueError("payroll streams are read from files that name their columns, not from CSV")
     reader = spark.readStream.schema(schemas.PAYROLL)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    if fmt == "csv":
-        return reader.option("header", True).option("nullValue", "NA").csv(folder)
     return reader.format(fmt).load(folder)
 
 
