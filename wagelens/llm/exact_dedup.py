@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import null_safe, scratch_path, stored, texts
+from .common import scratch_path, stored, texts
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -107,9 +107,8 @@ def exact_groups(
         return out.drop("digest")
     # Digests that stand for several texts: regrouped by the text's own bytes.
     whole = bytes_of.join(mixed, "digest").distinct()
-    rows = keys.join(mixed, "digest")
-    rows = rows.join(whole, null_safe(rows, whole, "doc_id") & (rows["digest"] == whole["digest"]) & (rows["text_sha256"] == F.sha2(whole["text"], 256)))
-    rows = rows.select(rows["doc_id"], "row", "text_sha256", whole["text"])
+    on = F.expr("k.doc_id <=> w.doc_id and k.digest = w.digest") & (F.col("k.text_sha256") == F.sha2(F.col("w.text"), 256))
+    rows = keys.alias("k").join(whole.alias("w"), on).select("k.doc_id", "k.row", "k.text_sha256", "w.text")
     groups = rows.groupBy("text").agg(F.max(F.struct("doc_id", "row")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
     again = rows.join(groups, "text").select(
         "doc_id", F.col("keeper.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keeper.row")).alias("kept"), "text_sha256", "row",

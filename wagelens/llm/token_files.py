@@ -91,17 +91,20 @@ def write(rows: DataFrame, path: str) -> None:
     dealt.mapInArrow(run, ROWS).write.options(**ORC_OPTIONS).orc(path)
 
 
+def file_number():
+    return F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids, file; filters on doc_id reach the ORC reader."""
-    rows = spark.read.schema(ROWS).orc(path).withColumn("file", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("int"))
-    return rows
+    """doc_id, offset (ids before it in its file), ids, file; filters on doc_id reach the ORC reader."""
+    return spark.read.schema(ROWS).orc(path).withColumn("file", file_number())
 
 
 def positions(spark: SparkSession, path: str) -> DataFrame:
     """Per file: its number and the ids in all files before (one row per file; the one window is over those)."""
     totals = (
         spark.read.schema(ROWS).orc(path)
-        .select(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("int").alias("file"), (F.col("offset") + F.size("ids")).alias("n"))
+        .select(file_number().alias("file"), (F.col("offset") + F.size("ids")).alias("n"))
         .groupBy("file").agg(F.max("n").alias("n"))
     )
     return totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("first"))
