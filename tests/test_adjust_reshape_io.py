@@ -117,3 +117,35 @@ def test_payroll_missing_column_is_an_error(spark, tmp_path):
     p.write_text("Fiscal Year,Agency Name\n2020,X\n")
     with pytest.raises(ValueError, match="title"):
         files.read_payroll(spark, str(p))
+
+
+def _payroll_csv(spark, files_):
+    """Writes CSV texts as files of one folder."""
+    folder = scratch_path(spark, "payroll-texts")
+    for i, text in enumerate(files_):
+        spark.createDataFrame([(line,) for line in text], "value string").coalesce(1).write.text(f"{folder}/{i}")
+    return [f"{folder}/{i}" for i in range(len(files_))]
+
+
+HEADER = "fiscal_year,agency,title,first_name,pay_basis,leave_status,base_salary,total_ot_paid"
+
+
+def test_payroll_csv_keeps_blank_text(spark):
+    (path,) = _payroll_csv(spark, [[HEADER, "2020,POLICE,,ANNA,per Annum,ACTIVE,10.5,", "2020,NA,CLERK,NA,per Annum,ACTIVE,NA,0"]])
+    got = sorted(tuple(r) for r in files.read_payroll(spark, path).collect() if r.title == "")
+    assert got == [(2020, "POLICE", "", "ANNA", "per Annum", "ACTIVE", 10.5, None)]
+    other = files.read_payroll(spark, path).where("title = 'CLERK'").first()
+    assert other.agency is None and other.first_name is None and other.base_salary is None
+
+
+def test_payroll_csv_with_another_column_order_fails(spark):
+    swapped = HEADER.replace("agency,title", "title,agency")
+    paths = _payroll_csv(spark, [[HEADER, "2020,POLICE,CLERK,ANNA,per Annum,ACTIVE,1,1"], [swapped, "2020,CLERK,POLICE,ANNA,per Annum,ACTIVE,1,1"]])
+    with pytest.raises(Exception, match="(?i)header"):  # from the task that reads the second file
+        files.read_payroll(spark, paths).collect()
+
+
+def test_wide_layout_refuses_two_rows_for_a_key_and_year(spark):
+    long = spark.createDataFrame([(2020, "A", False, 1.0), (2020, "A", False, 2.0)], "fiscal_year int, key string, is_citywide boolean, x double")
+    with pytest.raises(PySparkException, match="more than one row"):
+        to_wide(long, "key", ["x"], [2020], "Agency").collect()

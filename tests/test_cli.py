@@ -16,7 +16,7 @@ def test_cli_writes_all_reports(spark):
     out = out.removeprefix("file:")
     names = sorted(os.path.basename(p) for p in glob.glob(f"{out}/*.csv"))
     assert "Uncommon_Names_Agency.csv" in names
-    assert "GenderGap_Title_2000_table.csv" in names and "Overtime_Agency_2000_chart.csv" in names
+    assert "GenderGap_Title_2001_table.csv" in names and "Overtime_Agency_2001_chart.csv" in names
     assert len(names) == 14
     lines = open(glob.glob(f"{out}/Overtime_Agency.csv/part-*.csv")[0]).read().splitlines()
     assert lines[0].startswith("Agency,Average_1995,Total_1995")
@@ -50,7 +50,7 @@ def test_cli_on_published_style_files_matches_star_reports(spark, profile):
     cpi_file = glob.glob(f"{base.removeprefix('file:')}/cpi/part-*.csv")[0]
 
     out = scratch_path(spark, "cli-published")
-    years, month, p = ("1995-2001", "6", STAR_V2020) if profile == "v2020" else ("1995-2000", "11", STAR_V2022)
+    years, month, p = ("1995-2001", "6", STAR_V2020) if profile == "v2020" else ("1995-2001", "6", STAR_V2022)
     cli.main([
         "--payroll", f"{base}/payroll", "--names", f"{base}/names", "--cpi", cpi_file,
         "--profile", profile, "--years", years, "--cpi-month", month, "--out", out,
@@ -80,5 +80,5 @@ def test_cli_long_tables(spark):
     cli.main(["--star", SF0001, "--profile", "star_v2022", "--out", out, "--long"])
     df = spark.read.parquet(f"{out}/long_overtime_agency.parquet")
     assert {"fiscal_year", "key", "is_citywide", "n", "Average", "Total"} <= set(df.columns)
-    assert df.where("is_citywide").select("fiscal_year").distinct().count() == 6
+    assert df.where("is_citywide").select("fiscal_year").distinct().count() == 7
     assert spark.read.parquet(f"{out}/long_names_agency.parquet").count() >= 6

@@ -20,9 +20,9 @@ def test_payroll_rows_and_matches(spark, sf, rows, matched):
 
 def test_names_at_smallest_scale(spark):
     w = name_weights(star.names(spark, SF0001))
-    assert w.count() == 20
-    assert w.where(F.col("F") == 0).count() == 5
-    assert w.where(F.col("M") == 0).count() == 4
+    assert w.count() == 25
+    assert w.where(F.col("F") == 0).count() == 2
+    assert w.where(F.col("M") == 0).count() == 0
 
 
 def test_agency_groups_over_threshold_at_sf001(spark):

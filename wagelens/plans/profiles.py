@@ -48,7 +48,8 @@ V2020 = Profile("v2020", tuple(range(2014, 2021)), cpi_month=6, unmatched=UNMATC
 V2022 = Profile("v2022", tuple(range(2014, 2022)), cpi_month=11, unmatched=UNMATCHED_ZERO)
 
 # The same two on the generated test tables: ship years 1995-2001 (whose last year has an index
-# value for June, but none for November, so both versions take June); job titles are fewer rows per group, so
+# value for June, but none for November, so both versions take June); the agency threshold lets
+# some agencies of the last year pass and some not, and job titles are fewer rows per group, so
 # their threshold is 40.
-STAR_V2020 = Profile("star_v2020", tuple(range(1995, 2002)), cpi_month=6, unmatched=UNMATCHED_DROP, min_group_title=40)
-STAR_V2022 = Profile("star_v2022", tuple(range(1995, 2002)), cpi_month=6, unmatched=UNMATCHED_ZERO, min_group_title=40)
+STAR_V2020 = Profile("star_v2020", tuple(range(1995, 2002)), cpi_month=6, unmatched=UNMATCHED_DROP, min_group_agency=205, min_group_title=40)
+STAR_V2022 = Profile("star_v2022", tuple(range(1995, 2002)), cpi_month=6, unmatched=UNMATCHED_ZERO, min_group_agency=205, min_group_title=40)
