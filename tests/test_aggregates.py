@@ -25,6 +25,22 @@ def test_mean_and_sum_are_null_if_any_amount_missing(spark):
     assert s["A"]["tot"] is None and s["B"]["tot"] == 2.5
 
 
+def test_fractions_of_a_cent_count_and_nan_is_missing(spark):
+    df = payroll(spark, [(2020, "A", "T", "ANN", 0.004, 0.004)] * 1000 + [(2020, "B", "T", "ANN", float("nan"), float("nan"))])
+    s = by(group_sum(df, ["agency"], "base_salary", "tot"), "agency")
+    m = by(group_mean(df, ["agency"], "total_ot_paid", "avg"), "agency")
+    assert s["A"]["tot"] == 4.0 and m["A"]["avg"] == 0.004
+    assert s["B"]["tot"] is None and m["B"]["avg"] is None
+
+
+@pytest.mark.parametrize("max_rows", [1_000_000, 0])
+def test_cube_keeps_fractions_of_a_cent_and_counts_nan_as_missing(spark, reg, max_rows):
+    rows = [(2020, "A", "T", "ANN", 0.004, 0.004)] * 1000 + [(2020, "B", "T", "ANN", float("nan"), 1.0)]
+    got = by(measures(rollup(_cube(spark, reg, rows, max_rows=max_rows), "agency", city_label=LABEL), "gender"), "key")
+    assert got["A"]["Average"] == 0.004 and got["A"]["Female"] == pytest.approx(0.004)
+    assert got["B"]["Average"] is None and got["B"]["Female"] is None
+
+
 def test_weighted_mean_ignores_missing_amount_with_zero_weight(spark, reg):
     df = payroll(spark, [(2020, "A", "T", "ANN", 10, 0), (2020, "A", "T", "BOB", None, 0), (2020, "A", "T", "KIM", 30, 0)])
     rows = attach_weights(df, name_weights(reg), UNMATCHED_DROP)

@@ -1,4 +1,4 @@
-"""Money expressions: exact cents, restatement in base-year dollars, gap ratios."""
+"""Money expressions: exact amounts, restatement in base-year dollars, gap ratios."""
 
 from __future__ import annotations
 
@@ -6,18 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def cents(amount: Column) -> Column:
-    """Dollar amount -> whole cents (long), rounded half away from zero.
+def exact(amount: Column) -> Column:
+    """Dollar amount as a decimal with ten places; NaN is a missing amount.
 
-    Money is summed in whole cents: integer sums are exact and associative, so a total does
-    not depend on how rows are split into partitions or in which order tasks finish.
+    Money is summed as decimals: such sums are exact and associative, so a total does not depend
+    on how rows are split into partitions or in which order tasks finish, and fractions of a cent
+    count in full.
     """
-    return F.round(amount * F.lit(100.0)).cast("long")
-
-
-def from_cents(amount_cents: Column) -> Column:
-    """Whole cents (long) -> dollars (double)."""
-    return amount_cents.cast("double") / F.lit(100.0)
+    return F.nanvl(amount.cast("double"), F.lit(None).cast("double")).cast("decimal(28,10)")
 
 
 def restate(amount: Column, year_value: Column, base_value: Column) -> Column:

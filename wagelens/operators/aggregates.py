@@ -4,7 +4,7 @@ NULL rule: the published scripts call ``mean``/``sum``/``weighted.mean`` without
 values, so one missing amount in a group makes that group's result missing. Every aggregate
 here carries the counts needed to apply that rule after the fact.
 
-Money is summed in whole cents (exact long sums); weighted sums are doubles.
+Money is summed as decimals (exact, fractions of a cent included); weighted sums are doubles.
 """
 
 from __future__ import annotations
@@ -14,14 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import cents, from_cents
+from ..functions.money import exact
 from .names import UNMATCHED_DROP, UNMATCHED_ZERO, join_weights, weight_lookup
 
 CUBE_KEYS = ["fiscal_year", "agency", "title"]
 
 # Additive measures of the cube; every report measure is a ratio or a sum of these.
 CUBE_MEASURES = [
-    "n", "n_salary", "salary_c", "n_ot", "ot_c",
+    "n", "n_salary", "salary_sum", "n_ot", "ot_sum",
     "w_m", "xw_m", "bad_m", "w_f", "xw_f", "bad_f",
     "w_c", "xw_c", "bad_c", "w_u", "xw_u", "bad_u",
 ]
@@ -31,23 +31,23 @@ CUBE_MEASURES = [
 # Report-level formulas over summed measures
 
 
-def mean_from_sums(sum_cents: Column, n_valid: Column, n_all: Column) -> Column:
-    """Mean in dollars from a cents sum; NULL if any amount in the group was missing."""
-    return F.when(n_valid == n_all, from_cents(sum_cents) / n_all.cast("double"))
+def mean_from_sums(total: Column, n_valid: Column, n_all: Column) -> Column:
+    """Mean from a sum; NULL if any amount in the group was missing."""
+    return F.when(n_valid == n_all, total.cast("double") / n_all.cast("double"))
 
 
-def total_from_sums(sum_cents: Column, n_valid: Column, n_all: Column) -> Column:
-    """Total in dollars from a cents sum; NULL if any amount in the group was missing."""
-    return F.when(n_valid == n_all, from_cents(sum_cents))
+def total_from_sums(total: Column, n_valid: Column, n_all: Column) -> Column:
+    """Total from a sum; NULL if any amount in the group was missing."""
+    return F.when(n_valid == n_all, total.cast("double"))
 
 
-def weighted_from_sums(sum_xw_cents: Column, sum_w: Column, n_bad: Column) -> Column:
-    """``sum(x*w) / sum(w)`` in dollars.
+def weighted_from_sums(sum_xw: Column, sum_w: Column, n_bad: Column) -> Column:
+    """``sum(x*w) / sum(w)``.
 
     NULL if a missing amount carried a non-zero weight (rows with weight 0 are left out of the
     numerator, as R's ``weighted.mean`` does), or if the weights sum to 0.
     """
-    return F.when(n_bad == 0, F.try_divide(from_cents(sum_xw_cents.cast("double")), sum_w.cast("double")))
+    return F.when(n_bad == 0, F.try_divide(sum_xw.cast("double"), sum_w.cast("double")))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -57,23 +57,23 @@ def weighted_from_sums(sum_xw_cents: Column, sum_w: Column, n_bad: Column) -> Co
 def group_mean(df: DataFrame, keys: Sequence[str], amount: str, alias: str = "mean") -> DataFrame:
     """Mean of a money column per group of ``keys`` (NULL if any amount is missing)."""
     return df.groupBy(*keys).agg(
-        F.sum(cents(F.col(amount))).alias("__s"), F.count(amount).alias("__v"), F.count("*").alias("__n")
+        F.sum(exact(F.col(amount))).alias("__s"), F.count(exact(F.col(amount))).alias("__v"), F.count("*").alias("__n")
     ).select(*keys, mean_from_sums(F.col("__s"), F.col("__v"), F.col("__n")).alias(alias))
 
 
 def group_sum(df: DataFrame, keys: Sequence[str], amount: str, alias: str = "total") -> DataFrame:
     """Sum of a money column per group of ``keys`` (NULL if any amount is missing)."""
     return df.groupBy(*keys).agg(
-        F.sum(cents(F.col(amount))).alias("__s"), F.count(amount).alias("__v"), F.count("*").alias("__n")
+        F.sum(exact(F.col(amount))).alias("__s"), F.count(exact(F.col(amount))).alias("__v"), F.count("*").alias("__n")
     ).select(*keys, total_from_sums(F.col("__s"), F.col("__v"), F.col("__n")).alias(alias))
 
 
 def weighted_mean(df: DataFrame, keys: Sequence[str], amount: str, weight: str, alias: str = "weighted_mean") -> DataFrame:
     """Weighted mean of a money column per group (R's ``weighted.mean`` without ``na.rm``)."""
     w = F.col(weight)
-    x = F.col(amount)
+    x = F.nanvl(F.col(amount).cast("double"), F.lit(None).cast("double"))
     return df.groupBy(*keys).agg(
-        F.sum(F.when(w != 0, w * cents(x))).alias("__xw"),
+        F.sum(F.when(w != 0, w * x)).alias("__xw"),
         F.sum(w).alias("__w"),
         F.sum(F.when((w != 0) & x.isNull(), 1).otherwise(0)).alias("__bad"),
         (F.count("*") - F.count(weight)).alias("__wnull"),
@@ -88,35 +88,35 @@ def weighted_mean(df: DataFrame, keys: Sequence[str], amount: str, weight: str,
 
 
 def _row_measures(rows: DataFrame, pre_aggregate: bool) -> DataFrame:
-    """Per-row (or per first name, when ``pre_aggregate``) counts and cents sums."""
-    sal, ot = F.col("base_salary"), F.col("total_ot_paid")
+    """Per-row (or per first name, when ``pre_aggregate``) counts and money sums."""
+    sal, ot = exact(F.col("base_salary")), exact(F.col("total_ot_paid"))
     if pre_aggregate:
         return rows.groupBy(*CUBE_KEYS, "first_name").agg(
             F.count("*").alias("n"),
             F.count(sal).alias("n_salary"),
-            F.sum(cents(sal)).alias("salary_c"),
+            F.sum(sal).alias("salary_sum"),
             F.count(ot).alias("n_ot"),
-            F.sum(cents(ot)).alias("ot_c"),
+            F.sum(ot).alias("ot_sum"),
         )
     return rows.select(
         *CUBE_KEYS,
         "first_name",
         F.lit(1).cast("long").alias("n"),
         sal.isNotNull().cast("long").alias("n_salary"),
-        cents(sal).alias("salary_c"),
+        sal.alias("salary_sum"),
         ot.isNotNull().cast("long").alias("n_ot"),
-        cents(ot).alias("ot_c"),
+        ot.alias("ot_sum"),
     )
 
 
 def _weighted_contributions(df: DataFrame, has_flags: bool) -> DataFrame:
     """Weight-times-measure columns of one row (or one pre-aggregated name group)."""
-    n, nv, s = F.col("n"), F.col("n_salary"), F.col("salary_c")
-    cols = [F.col(c) for c in CUBE_KEYS] + [n, nv, s, F.col("n_ot"), F.col("ot_c")]
+    n, nv, s = F.col("n"), F.col("n_salary"), F.col("salary_sum")
+    cols = [F.col(c) for c in CUBE_KEYS] + [n, nv, s, F.col("n_ot"), F.col("ot_sum")]
     for tag, w in (("m", F.col("Male")), ("f", F.col("Female"))):
         cols += [
             (w * n).alias(f"w_{tag}"),
-            F.when(w != 0, w * s).otherwise(F.lit(0.0)).alias(f"xw_{tag}"),
+            F.when(w != 0, w * s.cast("double")).otherwise(F.lit(0.0)).alias(f"xw_{tag}"),
             F.when(w != 0, n - nv).otherwise(F.lit(0)).alias(f"bad_{tag}"),
         ]
     common = F.col("Common").cast("long") if has_flags else F.lit(1).cast("long")
@@ -124,7 +124,7 @@ def _weighted_contributions(df: DataFrame, has_flags: bool) -> DataFrame:
     for tag, w in (("c", common), ("u", uncommon)):
         cols += [
             (w * n).alias(f"w_{tag}"),
-            (w * s).alias(f"xw_{tag}"),
+            F.when(s.isNotNull(), F.when(w == 1, s).otherwise(F.lit(0))).alias(f"xw_{tag}"),
             (w * (n - nv)).alias(f"bad_{tag}"),
         ]
     return df.select(*cols)

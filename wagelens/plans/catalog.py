@@ -1,9 +1,9 @@
 """Registered queries: one per operator and per report, each ``(spark, sf_dir) -> DataFrame``.
 
 Every query reads the generated test tables through the star adapter, over whole tables.
-Columns that are weighted sums (order-dependent floating point) are rounded -- money to cents,
-weights to 6 places -- so that results are comparable between engines; everything summed in
-cents is exact and left as is.
+Columns that are weighted sums (order-dependent floating point) are rounded -- means to cents, sums
+to 4 and weights to 6 places -- so that results are comparable between engines; plain sums of money
+are exact and left as they are.
 """
 
 from __future__ import annotations
@@ -128,7 +128,7 @@ def q_eligible_filter(spark, sf_dir):
 
 
 def q_group_mean(spark, sf_dir):
-    """Mean base salary per year and agency, exact cents, NULL rule."""
+    """Mean base salary per year and agency, exact sums, NULL rule."""
     return group_mean(_eligible(spark, sf_dir), ["fiscal_year", "agency"], "base_salary", "avg_salary")
 
 
@@ -155,26 +155,31 @@ def q_group_size_keep_rows(spark, sf_dir):
 
 # -- cube -------------------------------------------------------------------------------------
 
-_CUBE_ROUND = {"w_m": 6, "w_f": 6, "xw_m": 2, "xw_f": 2}
+_CUBE_ROUND = {"w_m": 6, "w_f": 6, "xw_m": 4, "xw_f": 4}
+
+
+def _cube_rows(cube: DataFrame) -> DataFrame:
+    """The cube with its exact money sums as doubles."""
+    return _round(cube.withColumns({c: F.col(c).cast("double") for c in ("salary_sum", "ot_sum", "xw_c", "xw_u")}), _CUBE_ROUND)
 
 
 def q_measure_cube(spark, sf_dir):
     """The measure cube, broadcast lookup path."""
     cube = measure_cube(_eligible(spark, sf_dir), _weights(spark, sf_dir), UNMATCHED_DROP)
-    return _round(cube, _CUBE_ROUND)
+    return _cube_rows(cube)
 
 
 def q_measure_cube_shuffle(spark, sf_dir):
     """The same cube through the path for weights too large to broadcast (pre-aggregate, shuffle join)."""
     cube = measure_cube(_eligible(spark, sf_dir), _weights(spark, sf_dir), UNMATCHED_DROP, max_broadcast_rows=0)
-    return _round(cube, _CUBE_ROUND)
+    return _cube_rows(cube)
 
 
 def q_measure_cube_uncommon(spark, sf_dir):
     """The measure cube of the second profile (unmatched kept)."""
     p = STAR_V2022
     cube = measure_cube(_eligible(spark, sf_dir, p), _weights(spark, sf_dir), UNMATCHED_ZERO)
-    return _round(cube, _CUBE_ROUND)
+    return _cube_rows(cube)
 
 
 def q_streaming_cube(spark, sf_dir):
@@ -188,7 +193,7 @@ def q_streaming_cube(spark, sf_dir):
     for i, part in enumerate((payroll.where(F.col("fiscal_year") < middle), payroll.where(F.col("fiscal_year") >= middle))):
         part.write.parquet(f"{landing}/round={i}")
         start_cube_upkeep(read_payroll_stream(spark, f"{landing}/*"), _weights(spark, sf_dir), p, cube_path, ckpt).awaitTermination()
-    return _round(spark.read.parquet(cube_path), _CUBE_ROUND)
+    return _cube_rows(spark.read.parquet(cube_path))
 
 
 def q_append_citywide(spark, sf_dir):

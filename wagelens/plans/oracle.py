@@ -15,12 +15,9 @@ def _years(p: Profile) -> str:
     return ", ".join(str(y) for y in p.years)
 
 
-def _cents(x: str) -> str:
-    return f"CAST(round(({x}) * 100.0{D}) AS BIGINT)"
-
-
-def _from_cents(x: str) -> str:
-    return f"(CAST({x} AS DOUBLE) / 100.0{D})"
+def _sum(x: str) -> str:
+    """Sum of raw amounts; only the result is rounded, to take off the noise of adding doubles."""
+    return f"round(fsum({x}), 4)"
 
 
 PAYROLL = """payroll AS (
@@ -63,7 +60,7 @@ WEIGHTS = """weights AS (
 
 CPI = f"""cpi AS (
   SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
-         {_from_cents('sum(' + _cents('o_totalprice') + ')')} / CAST(count(*) AS DOUBLE) AS value
+         {_sum('o_totalprice')} / CAST(count(*) AS DOUBLE) AS value
   FROM orders GROUP BY 1, 2
 )"""
 
@@ -92,14 +89,13 @@ def enriched_cte(unmatched: str) -> str:
 
 def _sums() -> str:
     """Additive measures over enriched rows (the cube's columns)."""
-    sal = _cents("base_salary")
-    ot = _cents("total_ot_paid")
+    sal, ot = "base_salary", "total_ot_paid"
     parts = [
         "count(*) AS n",
         "count(base_salary) AS n_salary",
-        f"CAST(sum({sal}) AS BIGINT) AS salary_c",
+        f"{_sum(sal)} AS salary_sum",
         "count(total_ot_paid) AS n_ot",
-        f"CAST(sum({ot}) AS BIGINT) AS ot_c",
+        f"{_sum(ot)} AS ot_sum",
     ]
     for tag, w in (("m", "Male"), ("f", "Female")):
         parts += [
@@ -110,29 +106,33 @@ def _sums() -> str:
     for tag, w in (("c", "Common"), ("u", "Uncommon")):
         parts += [
             f"CAST(sum({w}) AS BIGINT) AS w_{tag}",
-            f"CAST(sum({w} * {sal}) AS BIGINT) AS xw_{tag}",
+            f"{_sum(f'{w} * {sal}')} AS xw_{tag}",
             f"CAST(sum(CASE WHEN base_salary IS NULL THEN {w} ELSE 0 END) AS BIGINT) AS bad_{tag}",
         ]
     return ",\n         ".join(parts)
 
 
 DOUBLE_MEASURES = ("w_m", "xw_m", "w_f", "xw_f")
+MONEY_MEASURES = ("salary_sum", "ot_sum", "xw_c", "xw_u")
 
 
 def _resum(cols: list[str]) -> str:
-    return ", ".join(f"sum({c}) AS {c}" if c in DOUBLE_MEASURES else f"CAST(sum({c}) AS BIGINT) AS {c}" for c in cols)
+    def one(c: str) -> str:
+        return _sum(c) if c in MONEY_MEASURES else f"sum({c})" if c in DOUBLE_MEASURES else f"CAST(sum({c}) AS BIGINT)"
+
+    return ", ".join(f"{one(c)} AS {c}" for c in cols)
 
 
 def _mean(s: str, v: str, n: str) -> str:
-    return f"CASE WHEN {v} = {n} THEN {_from_cents(s)} / CAST({n} AS DOUBLE) END"
+    return f"CASE WHEN {v} = {n} THEN {s} / CAST({n} AS DOUBLE) END"
 
 
 def _total(s: str, v: str, n: str) -> str:
-    return f"CASE WHEN {v} = {n} THEN {_from_cents(s)} END"
+    return f"CASE WHEN {v} = {n} THEN {s} END"
 
 
 def _weighted(xw: str, w: str, bad: str) -> str:
-    return f"CASE WHEN {bad} = 0 AND {w} <> 0 THEN {_from_cents(xw)} / CAST({w} AS DOUBLE) END"
+    return f"CASE WHEN {bad} = 0 AND {w} <> 0 THEN {xw} / CAST({w} AS DOUBLE) END"
 
 
 def _gap(a: str, b: str) -> str:
@@ -157,7 +157,7 @@ def _cents_flag(x: str, part: str = "fiscal_year") -> str:
 
 
 MEASURE_COLS = [
-    "n", "n_salary", "salary_c", "n_ot", "ot_c", "w_m", "xw_m", "bad_m", "w_f", "xw_f", "bad_f",
+    "n", "n_salary", "salary_sum", "n_ot", "ot_sum", "w_m", "xw_m", "bad_m", "w_f", "xw_f", "bad_f",
     "w_c", "xw_c", "bad_c", "w_u", "xw_u", "bad_u",
 ]
 
@@ -198,20 +198,20 @@ def _base(p: Profile, unmatched: str) -> list[str]:
 
 def _gender_measures() -> str:
     return (
-        f"{_mean('salary_c', 'n_salary', 'n')} AS Average, "
+        f"{_mean('salary_sum', 'n_salary', 'n')} AS Average, "
         f"{_weighted('xw_m', 'w_m', 'bad_m')} AS Male, {_weighted('xw_f', 'w_f', 'bad_f')} AS Female"
     )
 
 
 def _names_measures() -> str:
     return (
-        f"{_mean('salary_c', 'n_salary', 'n')} AS Average, "
+        f"{_mean('salary_sum', 'n_salary', 'n')} AS Average, "
         f"{_weighted('xw_c', 'w_c', 'bad_c')} AS Common, {_weighted('xw_u', 'w_u', 'bad_u')} AS Uncommon"
     )
 
 
 def _ot_measures() -> str:
-    return f"{_mean('ot_c', 'n_ot', 'n')} AS Average, {_total('ot_c', 'n_ot', 'n')} AS Total"
+    return f"{_mean('ot_sum', 'n_ot', 'n')} AS Average, {_total('ot_sum', 'n_ot', 'n')} AS Total"
 
 
 def _restated(x: str) -> str:
@@ -304,7 +304,7 @@ def _cube_sql(p: Profile, unmatched: str) -> str:
     ctes = _base(p, unmatched)
     sel = _sums()
     return _with(*ctes) + f"""SELECT fiscal_year, agency, title, {', '.join(c for c in MEASURE_COLS if c not in ('w_m', 'w_f', 'xw_m', 'xw_f'))},
-  round(w_m, 6) AS w_m, round(w_f, 6) AS w_f, round(xw_m, 2) AS xw_m, round(xw_f, 2) AS xw_f
+  round(w_m, 6) AS w_m, round(w_f, 6) AS w_f, round(xw_m, 4) AS xw_m, round(xw_f, 4) AS xw_f
 FROM (SELECT fiscal_year, agency, title, {sel} FROM enriched GROUP BY fiscal_year, agency, title)"""
 
 
@@ -330,12 +330,12 @@ FROM payroll e LEFT JOIN weights w ON e.first_name = w.name"""
   coalesce(w.M_weight, 0.0::DOUBLE) AS Male, coalesce(w.F_weight, 0.0::DOUBLE) AS Female
 FROM payroll e LEFT JOIN weights w ON e.first_name = w.name"""
     sql["eligible_filter"] = _with(PAYROLL, eligible_cte(p)) + "SELECT * FROM eligible"
-    sal, ot = _cents("base_salary"), _cents("total_ot_paid")
+    sal, ot = "base_salary", "total_ot_paid"
     sql["group_mean"] = _with(PAYROLL, eligible_cte(p)) + f"""SELECT fiscal_year, agency,
-  {_mean(f'sum({sal})', 'count(base_salary)', 'count(*)')} AS avg_salary
+  {_mean(_sum(sal), 'count(base_salary)', 'count(*)')} AS avg_salary
 FROM eligible GROUP BY fiscal_year, agency"""
     sql["group_sum"] = _with(PAYROLL, eligible_cte(p)) + f"""SELECT fiscal_year, agency,
-  {_total(f'sum({ot})', 'count(total_ot_paid)', 'count(*)')} AS total_ot
+  {_total(_sum(ot), 'count(total_ot_paid)', 'count(*)')} AS total_ot
 FROM eligible GROUP BY fiscal_year, agency"""
     sql["weighted_mean"] = _with(*_base(p, "drop")) + f"""SELECT fiscal_year, agency, round(
   {_weighted(f'sum(CASE WHEN Male <> 0 THEN Male * {sal} END)', 'sum(Male)', 'sum(CASE WHEN Male <> 0 AND base_salary IS NULL THEN 1 ELSE 0 END)')}, 2) AS male_avg_salary
@@ -355,7 +355,7 @@ JOIN (SELECT fiscal_year, agency FROM eligible GROUP BY fiscal_year, agency HAVI
     sql["names_csv_source"] = sql["name_sex_counts"]
     sql["cpi_factor"] = _with(CPI, index_cte(p)) + "SELECT fiscal_year, year_value, base_value FROM idx"
     sql["restate_money"] = _with(PAYROLL, CPI, eligible_cte(p), index_cte(p)) + f"""SELECT g.fiscal_year, agency, {_restated('avg_salary')} AS avg_salary
-FROM (SELECT fiscal_year, agency, {_mean(f'sum({sal})', 'count(base_salary)', 'count(*)')} AS avg_salary FROM eligible GROUP BY fiscal_year, agency) g
+FROM (SELECT fiscal_year, agency, {_mean(_sum(sal), 'count(base_salary)', 'count(*)')} AS avg_salary FROM eligible GROUP BY fiscal_year, agency) g
 JOIN idx i ON g.fiscal_year = i.fiscal_year"""
     gender_long = _with(*_base(p, "drop"), rolled_cte("agency", None))
     sql["gap_ratio"] = gender_long + f"""SELECT fiscal_year, key AS agency, is_citywide, round({_gap('Male', 'Female')}, 6) AS gap
@@ -366,7 +366,7 @@ FROM (SELECT fiscal_year, key, is_citywide, {_gender_measures()} FROM rolled)"""
   {_dollar('Average', _cents_flag('Average'))} AS Average, {_dollar('Total', _cents_flag('Total'))} AS Total
 FROM (SELECT fiscal_year, key, is_citywide, {_ot_measures()} FROM rolled)"""
     sql["pivot_years_wide"] = _with(PAYROLL, eligible_cte(p)) + f"""SELECT {_wide_select('Agency', {'Average': 'avg_salary'}, p.years)}
-FROM (SELECT fiscal_year, agency AS key, {_mean(f'sum({sal})', 'count(base_salary)', 'count(*)')} AS avg_salary FROM eligible GROUP BY fiscal_year, agency)
+FROM (SELECT fiscal_year, agency AS key, {_mean(_sum(sal), 'count(base_salary)', 'count(*)')} AS avg_salary FROM eligible GROUP BY fiscal_year, agency)
 GROUP BY key"""
     sizes = f"""sizes AS (SELECT fiscal_year, title, count(*) AS n FROM enriched GROUP BY fiscal_year, title HAVING count(*) > {p.min_group_title})"""
     sql["outer_merge_two_years"] = _with(*_base(p, "drop"), sizes) + f"""SELECT coalesce(a.title, b.title) AS title, a.n AS n_first, b.n AS n_last

@@ -47,7 +47,7 @@ class Inputs:
 def measures(rolled: DataFrame, kind: str) -> DataFrame:
     """Report measures from summed cube measures, per row of :func:`rollup`."""
     base = [F.col("fiscal_year"), F.col("key"), F.col("is_citywide"), F.col("n")]
-    salary_mean = mean_from_sums(F.col("salary_c"), F.col("n_salary"), F.col("n")).alias("Average")
+    salary_mean = mean_from_sums(F.col("salary_sum"), F.col("n_salary"), F.col("n")).alias("Average")
     if kind == "gender":
         cols = [
             salary_mean,
@@ -56,8 +56,8 @@ def measures(rolled: DataFrame, kind: str) -> DataFrame:
         ]
     elif kind == "overtime":
         cols = [
-            mean_from_sums(F.col("ot_c"), F.col("n_ot"), F.col("n")).alias("Average"),
-            total_from_sums(F.col("ot_c"), F.col("n_ot"), F.col("n")).alias("Total"),
+            mean_from_sums(F.col("ot_sum"), F.col("n_ot"), F.col("n")).alias("Average"),
+            total_from_sums(F.col("ot_sum"), F.col("n_ot"), F.col("n")).alias("Total"),
         ]
     elif kind == "names":
         cols = [

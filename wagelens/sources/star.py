@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.money import cents, from_cents
+from ..functions.money import exact
 from .files import MONTH_NAMES
 
 
@@ -123,15 +123,15 @@ def cpi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _monthly_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select("o_orderdate", "o_totalprice")
-    # Average price per month, summed exactly in cents so the index does not depend on how
+    # Average price per month, summed exactly so the index does not depend on how
     # the orders are partitioned.
     return (
         orders.groupBy(
             F.year("o_orderdate").cast("int").alias("year"),
             F.month("o_orderdate").cast("int").alias("month"),
         )
-        .agg(F.sum(cents(F.col("o_totalprice"))).alias("cents"), F.count("*").alias("n"))
-        .select("year", "month", (from_cents(F.col("cents")) / F.col("n")).alias("value"))
+        .agg(F.sum(exact(F.col("o_totalprice"))).alias("total"), F.count("*").alias("n"))
+        .select("year", "month", (F.col("total").cast("double") / F.col("n")).alias("value"))
     )
 
 
