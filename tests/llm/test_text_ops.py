@@ -52,7 +52,7 @@ def test_token_files(spark, docs):
     file = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(file)
     path = scratch_path(spark, "orc")
-    token_files.write(token_files.encode(docs(ODD), file), path)
+    token_files.write(token_files.encode(docs(ODD), file), path, token_files.file_cuts(docs(ODD)))
     got = sorted(token_files.digests(spark, path).collect(), key=lambda r: r.start)
     ids = [(i or 0, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in ODD]
     want = sorted((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids)
@@ -63,7 +63,7 @@ def test_token_files(spark, docs):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,9)]" in one._jdf.queryExecution().toString()
     assert one.count() == 1
     empty = scratch_path(spark, "orc")
-    token_files.write(token_files.encode(docs([]), file), empty)
+    token_files.write(token_files.encode(docs([]), file), empty, token_files.file_cuts(docs([])))
     assert token_files.digests(spark, empty).collect() == []
 
 

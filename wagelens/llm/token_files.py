@@ -1,10 +1,11 @@
 """Token ids in ORC: integer run lengths, row indexes, Bloom filters on document ids.
 
 Method. Texts are encoded with the given ``tokenizers`` file, an end id closes each document, and
-the rows (doc_id, offset in the file, ids) are written as ORC in ascending doc_id order: range
-partitions in order, sorted inside. ORC run-length-encodes the integers; row indexes and a Bloom
-filter on doc_id let readers skip stripes and row groups; stripes are read in parallel. Reading
-back, a document's start is its file's first position (a sum over one row per file) plus its offset.
+the rows (doc_id, offset in the file, ids) are written as ORC in ascending doc_id order: one file
+per range of doc_ids (quantiles taken from the doc_id column), sorted inside. ORC run-length-encodes
+the integers; row indexes and a Bloom filter on doc_id let readers skip stripes and row groups;
+stripes are read in parallel. Reading back, a document's start is its file's first position (a sum
+over one row per file) plus its offset.
 
 Scale. A tokenizer is slow and words repeat, so each distinct word of the corpus is encoded once
 (see ``vocab``): for this tokenizer white space separates words and is dropped, and a mark after a
@@ -73,8 +74,19 @@ def encode(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFr
     return out.select("doc_id", F.concat("ids", F.array(F.lit(end_id))).alias("ids"))
 
 
-def write(rows: DataFrame, path: str) -> None:
-    """Writes (doc_id, ids) as ORC files in ascending doc_id order; ``offset`` counts the ids before in the file."""
+def file_cuts(docs: DataFrame) -> list[int]:
+    """The doc_ids at which files begin after the first: quantiles, one for each shuffle partition."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    found = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5])).first()[0]
+    return sorted(set(found or []))
+
+
+def write(rows: DataFrame, path: str, cuts: list[int]) -> None:
+    """Writes (doc_id, ids) as ORC files in ascending doc_id order; ``offset`` counts the ids before in the file.
+
+    ``cuts`` (see ``file_cuts``) come from the ids of the documents alone, so the rows are computed once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
@@ -84,11 +96,10 @@ def write(rows: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ends - n), b.column("ids")], ["doc_id", "offset", "ids"])
             at = int(ends[-1]) if len(ends) else at
 
-    tie = rows.withColumn("tie", F.xxhash64("ids"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
-    dealt = tie.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
-    dealt.mapInArrow(run, ROWS).write.options(**ORC_OPTIONS).orc(path)
+    part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c <= F.col("doc_id"))))
+    dealt = rows.withColumns({"tie": F.xxhash64("ids"), "part": part}).repartitionById(len(cuts) + 1, "part")
+    dealt.sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(run, ROWS).write.options(**ORC_OPTIONS).orc(path)
 
 
 def file_number():
@@ -136,5 +147,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = scratch_path(spark, "token-files")
-    write(encode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")), path)
+    docs = documents(spark, sf_dir)
+    write(encode(docs, public_tokenizers.path("word_bpe_49k.json")), path, file_cuts(docs))
     return digests(spark, path)
