@@ -68,10 +68,24 @@ def word_ids(tokenizer_file: str, rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, words array<string>, blocks array<int>, blobs array<binary>, ids array<array<int>>")
 
 
+def packed_ids(end_id: int, ids: pa.ListArray) -> pa.Table:
+    """Each list with the end id after it as compressed bytes, for the way to its file; n ids, ``width`` bytes each."""
+    at, flat = np.asarray(ids.offsets, dtype=np.int64), np.asarray(ids.flatten(), dtype=np.int32)
+    at = at - at[0]
+    width = 2 if max(flat.max(initial=0), end_id) < 1 << 16 else 4
+    whole = [np.append(flat[s:e], end_id).astype(f"<u{width}").tobytes() for s, e in zip(at[:-1], at[1:], strict=True)]
+    data = [pa.compress(x, codec="zstd", asbytes=True) for x in whole]
+    return pa.table({"n": np.diff(at) + 1, "width": pa.array([width] * len(data), pa.int32()), "data": pa.array(data, pa.binary())})
+
+
+def unpacked_ids(n: int, width: int, data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=n * width, codec="zstd"), f"<u{width}").astype(np.int32)
+
+
 def encode(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids of every row, the end id included."""
-    out = encoded(texts(docs), partial(Words, marks=MARKS), partial(word_ids, tokenizer_file))
-    return out.select("doc_id", F.concat("ids", F.array(F.lit(end_id))).alias("ids"))
+    """doc_id and the packed ids (n, width, data) of every row, the end id included."""
+    split, ids = partial(Words, marks=MARKS), partial(word_ids, tokenizer_file)
+    return encoded(texts(docs), split, ids, finish=partial(packed_ids, end_id), columns="n long, width int, data binary")
 
 
 def file_cuts(docs: DataFrame) -> list[int]:
@@ -83,23 +97,27 @@ def file_cuts(docs: DataFrame) -> list[int]:
 
 
 def write(rows: DataFrame, path: str, cuts: list[int]) -> None:
-    """Writes (doc_id, ids) as ORC files in ascending doc_id order; ``offset`` counts the ids before in the file.
+    """Writes the packed ids of ``encode`` as ORC files in ascending doc_id order; ``offset`` counts the ids before in the file.
 
     ``cuts`` (see ``file_cuts``) come from the ids of the documents alone, so the rows are computed once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
-        for b in batches:
-            n = np.diff(np.asarray(b.column("ids").offsets, dtype=np.int64))
-            ends = at + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ends - n), b.column("ids")], ["doc_id", "offset", "ids"])
-            at = int(ends[-1]) if len(ends) else at
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                n = b.column("n").to_numpy()
+                ids = [unpacked_ids(*x) for x in zip(n.tolist(), b.column("width").to_pylist(), b.column("data").to_pylist(), strict=True)]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(at + ends[:-1]), lists], ["doc_id", "offset", "ids"])
+                at += int(ends[-1])
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c <= F.col("doc_id"))))
-    dealt = rows.withColumns({"tie": F.xxhash64("ids"), "part": part}).repartitionById(len(cuts) + 1, "part")
-    dealt.sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(run, ROWS).write.options(**ORC_OPTIONS).orc(path)
+    dealt = rows.withColumns({"tie": F.xxhash64("data"), "part": part}).repartitionById(len(cuts) + 1, "part")
+    dealt.sortWithinPartitions(*order).select("doc_id", "n", "width", "data").mapInArrow(run, ROWS).write.options(**ORC_OPTIONS).orc(path)
 
 
 def file_number():
