@@ -73,6 +73,20 @@ def test_near(spark, docs, k):
     assert near_dedup.near_groups(docs([]), k).collect() == []
 
 
+def test_rare_shingles_lose_no_link(spark):
+    """Sets that share a long passage: every pair over the threshold is among the pairs to compare."""
+    rng = np.random.default_rng(8)
+    passage = rng.integers(0, 2**63, 80, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 30, rng.integers(0, 40), dtype=np.uint64)])) for _ in range(60)]
+    names = [bytes([i]) for i in range(len(sets))]
+    rows = spark.createDataFrame([(n, n, x.tobytes()) for n, x in zip(names, sets, strict=True)], "c binary, root binary, items binary")
+    got = {(bytes(r.a), bytes(r.b)) for r in near_dedup.sharing_rare(rows, 80).collect()}
+    inter = lambda x, y: len(np.intersect1d(x, y))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))]
+    linked = {(names[i], names[j]) for i, j in pairs if 180 * inter(sets[i], sets[j]) >= 80 * (len(sets[i]) + len(sets[j]))}
+    assert linked and linked <= got and len(linked) < len(pairs)
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
