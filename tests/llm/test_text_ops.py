@@ -103,6 +103,34 @@ def test_decontamination(spark, docs, max_seeds):
         assert decontaminate.contaminated(docs([]), items).collect() == []
 
 
+def test_edited_copies_beside_intact_ones(spark, docs):
+    """Copies with 10 to 20% of their words edited are found though intact copies hit every run, with brute force's scores."""
+    rng = np.random.default_rng(7)
+    shares = [*(0.1, 0.15, 0.2) * 5, None, None, None]  # None: one word in six, which leaves one run in six
+    items = [[f"i{k}w{j}" for j in range((24, 40, 64)[k % 3])] for k in range(len(shares))]
+    rows = [(3 * k + c, " ".join(["x"] * c + item)) for k, item in enumerate(items) for c in range(3)]
+    for share, item in zip(shares, items, strict=True):
+        words = list(item)
+        for at in rng.choice(len(item), round(share * len(item)), replace=False) if share else range(5, len(item), 6):
+            words[at] = ("new", "", f"{words[at]} added")[rng.integers(3) if share else 0]
+        rows.append((len(rows), " ".join(["y"] * int(rng.integers(60)) + [w for w in words if w])))
+    rows.append((len(rows), " ".join([*items[2][:6], *["z"] * 45, *items[2][6:]])))  # a long insertion
+
+    def score(item, text):
+        names = {w: i for i, w in enumerate(sorted({*item, *text}))}
+        return decontaminate.smith_waterman(*(np.array([names[w] for w in x]) for x in (item, text)))[0] / (2 * len(item))
+
+    def met(item, text):
+        return bool({tuple(item[j : j + 5]) for j in range(len(item) - 4)} & {tuple(text[j : j + 5]) for j in range(len(text) - 4)})
+
+    scores = {(i, k): score(item, t.split()) for i, t in rows for k, item in enumerate(items) if met(item, t.split())}
+    want = {pair: s for pair, s in scores.items() if s >= decontaminate.THRESHOLD}
+    assert len(want) > 70
+    tests = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs(rows), tests).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 

@@ -1,17 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Method. Words are lower-cased (A-Z) without punctuation at their ends. Every run of ``GRAM`` words
-of a test item (the whole item if shorter) is a possible seed; hits of all of them in all documents
-are counted, and of each ``STRETCH`` consecutive runs the ``RARE`` with the fewest hits stay as seeds.
+of a test item (the whole item if shorter) is a seed, however many hits it has: a choice by hit
+counts would take the runs that an edited copy has lost, as only the intact copies hit those.
 A seed's hit proposes where in the document the item would lie; there the item is aligned with the
 document by Smith-Waterman (match 2, mismatch -1, gap -1 per word). Score: the best alignment over
-the item's perfect score; pairs of ``THRESHOLD`` or more are returned. Rarity is relative within an
-item, so a passage copied into every document is still found.
+the item's perfect score; pairs of ``THRESHOLD`` or more are returned. The stretch aligned holds any
+alignment of that score through the seed: it has at most ``slack`` gaps. Stretches that share too
+few words with the item to reach the threshold are not aligned. A pair without a common run of
+``GRAM`` words is not proposed, whatever its score.
 
 Scale. Documents are read once for hits and shuffled once, by doc_id, to meet the pairs found. The
 test items' n-gram hashes go to the tasks as a sorted array only up to ``MAX_SEEDS`` (counted);
-beyond that every n-gram of the documents takes part in the join. Hot seeds are counted with partial
-sums; the joins on seeds are ones that Spark can split.
+beyond that every n-gram of the documents takes part in the join. The joins on seeds are ones that
+Spark can split; hits of one document and item are gathered in parts.
 
 Defined cases: null and empty texts match nothing; repeated rows are reported once per doc_id and
 item; null doc_id is reported as such; empty tables give no rows; other columns are ignored.
@@ -20,21 +22,21 @@ item; null doc_id is reported as such; empty tables give no rows; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, stored, texts
 from .wordbatch import Words, grams, word_hashes
 
 GRAM = 5
-STRETCH, RARE = 6, 3
 THRESHOLD = 0.6
 MAX_SEEDS = 2_000_000
-PAD = 12
+SLICE = 500  # texts whose runs are held at a time
 
 
 def clean(words: pa.Array) -> pa.Array:
@@ -79,8 +81,9 @@ def gram_hits(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> D
     """doc_id, pos, gram: the documents' runs, of the wanted hashes if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for n in sizes:
+        for whole in batches:
+            for lo, n in product(range(0, whole.num_rows, SLICE), sizes):
+                b = whole.slice(lo, SLICE)
                 text, at, key = runs(b.column("text"), n, whole=False)
                 key = key.view(np.int64)
                 if wanted is not None:
@@ -106,8 +109,13 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def aligned(rows: DataFrame) -> DataFrame:
-    """Of (doc_id, text, item_id, item, starts): doc_id, item_id, score, end_word."""
+def slack(n: int, threshold: float) -> int:
+    """The most gaps in an alignment of an item of ``n`` words with a score of ``threshold``: each costs 1 of 2 per word."""
+    return int(2 * n * (1 - threshold) + 1e-9)
+
+
+def aligned(rows: DataFrame, threshold: float) -> DataFrame:
+    """Of (doc_id, text, item_id, item, starts): doc_id, item_id, score, end_word; the score is 0 where it can't reach ``threshold``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,9 +125,12 @@ def aligned(rows: DataFrame) -> DataFrame:
                 h = word_hashes(clean(w.uniques))[w.codes]
                 text, item = h[: w.offsets[1]], h[w.offsets[1] :]
                 best, end = 0, 0
-                for s in sorted(set(np.asarray(b.column("starts")[i].values) // (len(item) // 2 + 1))):
-                    s = int(s) * (len(item) // 2 + 1)
-                    lo, hi = max(0, s - PAD), s + 2 * len(item) + PAD
+                step, gaps = len(item) // 2 + 1, slack(len(item), threshold)
+                for s in sorted(set(np.asarray(b.column("starts")[i].values) // step)):
+                    s = int(s) * step
+                    lo, hi = max(0, s - gaps), s + step + len(item) + gaps
+                    if np.isin(item, text[lo:hi]).sum() < threshold * len(item) - 1e-9:
+                        continue
                     got, at = smith_waterman(item, text[lo:hi])
                     if got > best:
                         best, end = got, lo + at
@@ -143,19 +154,13 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     found = gram_hits(text, sizes, wanted)
     if wanted is None:
         found = found.join(every.select("gram").distinct(), "gram", "left_semi")
-    hits = stored(found, "decon-hits")
-    counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("hits"))
-    ranked = every.join(counts, "gram").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("item_id", F.floor(F.col("at") / STRETCH)).orderBy("hits", "at", "gram"))
-    )
-    seeds = stored(ranked.where(F.col("rank") <= RARE).select("gram", "item_id", "at"), "decon-seeds")
     pairs = (
-        hits.join(seeds, "gram").select("doc_id", "item_id", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"))
+        found.join(every, "gram").select("doc_id", "item_id", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"))
         .groupBy("doc_id", "item_id").agg(F.collect_set("start").alias("starts"))
     )
     full = pairs.join(tests.withColumnRenamed("text", "item"), "item_id")
     rows = text.alias("t").join(full.alias("p"), F.expr("t.doc_id <=> p.doc_id")).select("t.doc_id", "t.text", "p.item_id", "p.item", "p.starts")
-    good = aligned(rows).where(F.col("score") >= threshold)
+    good = aligned(rows, threshold).where(F.col("score") >= threshold)
     return good.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max_by("end_word", "score").alias("end_word"))
 
 
