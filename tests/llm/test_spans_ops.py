@@ -1,7 +1,9 @@
 """Secret, personal-data and license scans against plain-Python versions of their contracts."""
 
 import hashlib
+import random
 import re
+import textwrap
 
 from wagelens.llm import licenses, pii, secret_scan
 from wagelens.session import scratch_path
@@ -109,3 +111,33 @@ def test_licenses(spark, docs, table):
         assert best >= licenses.THRESHOLD or not set(r.labels.split(",")) & set(licenses.TEMPLATES)
     assert got[22].labels == "isc" and "gpl-3.0" in got[21].labels
     assert licenses.query(spark, table(documents=docs([]))).collect() == []
+
+
+def test_licenses_across_lines(spark, docs, table):
+    """Statements wrapped at any place and width, edited or stretched, against every run of 64 words."""
+    rng = random.Random(4)
+    rows = []
+    for text in licenses.TEMPLATES.values():
+        for width in (20, 70, 80):
+            for before in (0, 17, 40, 50):
+                words = text.split()
+                for _ in range(rng.randint(0, 3)):
+                    words[rng.randrange(len(words))] = "other"
+                for _ in range(rng.choice([0, 0, 8, 30])):
+                    words.insert(rng.randrange(1, len(words)), "more")
+                rows.append((len(rows), "\n * ".join(textwrap.wrap(" ".join(["x"] * before + words + ["y"] * 70), width))))
+    apart = f" {'z ' * 70}".join(licenses.TEMPLATES["isc"].split())
+    rows += [(len(rows), apart), (len(rows) + 1, "\n".join(licenses.TEMPLATES["mit-text"].split()))]
+    want = {}
+    for i, t in rows:
+        w = re.findall("[a-z0-9]+", t)
+        best = {}
+        for label, x in licenses.TEMPLATES.items():
+            x = set(x.split())
+            best[label] = max(len(x & set(w[s : s + 64])) / len(x) for s in range(len(w)))
+        base = {v for k, v in licenses.PHRASES.items() if k in " ".join(w)}
+        own = {k: v for k, v in best.items() if v >= licenses.THRESHOLD}
+        want[i] = (",".join(sorted({*base, *own})), 1.0 if base else max(own.values(), default=0.0))
+    assert len({v for v in want.values()}) > 12 and want[len(rows) - 2] == ("", 0.0)
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.query(spark, table(documents=docs(rows))).collect()}
+    assert got == want

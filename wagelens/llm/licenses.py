@@ -1,13 +1,14 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-Method. A block is a line of the text with its words (a line longer than ``WINDOW`` words is also
-covered by windows of that many words, half overlapping). A template is a short license statement
-taken as a set of words. A block matches a template if it holds at least ``THRESHOLD`` of the
-template's words. The join is exact: words are ordered by how many blocks of the whole corpus hold
-them, rarest first; by the pigeonhole principle a block that matches holds one of the template's
-first ``size - need + 1`` words (prefix filter), has at least ``need`` distinct words (length
-filter), and after its first shared prefix word, at place ``p``, enough words are left: ``size - p
->= need`` (positional filter). What passes is verified on the full sets.
+Method. A block is any run of ``WINDOW`` consecutive words of the text (of twice the template's words
+if those are more; the whole text if shorter), across line breaks. A template is a short license
+statement taken as a set of words. A block matches a template if it holds at least ``THRESHOLD`` of
+the template's words. The join is exact: words are ordered by how many documents of the whole corpus
+hold them, rarest first; by the pigeonhole principle a block that matches holds one of the template's
+first ``size - need + 1`` words (prefix and positional filter), and the words within a block's length
+of that word, which hold the block, have at least ``need`` of the template's (length filter). Blocks
+around what passes are verified on the full sets; a block may begin at a word of the template, as
+words before the first one add nothing.
 
 Scale. The templates are a fixed list (bounded; its size is asserted), so they stand in the plan as
 literals and every block is tested where it is read: documents are neither shuffled nor joined. The
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +53,7 @@ class Template:
     label: str
     words: tuple[str, ...]  # distinct, rarest first
     need: int
+    span: int  # words of a block
 
     @property
     def prefix(self) -> tuple[str, ...]:
@@ -68,16 +69,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_GAP, -1), lambda w: w != "")
 
 
-def blocks_of(text: Column) -> Column:
-    """array<array<string>>: the words of each line, and of half-overlapping windows of long lines."""
-    lines = F.filter(F.transform(F.split(text, r"[\r\n]+", -1), words_of), lambda w: F.size(w) > 0)
-    def windows(w: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(w) - F.lit(1), F.lit(WINDOW // 2))
-        cut = F.transform(starts, lambda s: F.slice(w, s + 1, WINDOW))
-        return F.when(F.size(w) > WINDOW, F.concat(F.array(w), cut)).otherwise(F.array(w))
-    return F.flatten(F.transform(lines, windows))
-
-
 def with_words(docs: DataFrame) -> DataFrame:
     rows = texts(docs).withColumn("text", lower_ascii(F.col("text")))
     return rows.withColumn("words", words_of(F.col("text")))
@@ -91,36 +82,41 @@ def vocabulary(templates: dict[str, str]) -> list[str]:
 
 
 def ordered_templates(rows: DataFrame, templates: dict[str, str], threshold: float) -> list[Template]:
-    """The templates with their words in the global order: by the number of blocks that hold the word, rarest first.
+    """The templates with their words in the global order: by the number of documents that hold the word, rarest first.
 
     At most one row per template word comes to the driver.
     """
     vocab = vocabulary(templates)
     literal = F.array(*[F.lit(w) for w in vocab])
-    found = F.flatten(F.transform(blocks_of(F.col("text")), lambda b: F.array_intersect(b, literal)))
-    counts = rows.select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.select(F.explode(F.array_intersect("words", literal)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     n = {r["word"]: r["n"] for r in counts.collect()}
     out = []
     for label, text in templates.items():
         words = sorted(set(text.split()), key=lambda w: (n.get(w, 0), w))
-        out.append(Template(label, tuple(words), math.ceil(threshold * len(words) - 1e-9)))
+        out.append(Template(label, tuple(words), math.ceil(threshold * len(words) - 1e-9), max(WINDOW, 2 * len(text.split()))))
     return out
 
 
-def containment(t: Template, block: Column) -> Column:
-    """Share of the template's words in the block, or 0 where a filter rules a match out."""
-    size = len(t.words)
-    words = F.array(*[F.lit(w) for w in t.words])
-    # Place (from 1) of the first template word, rarest first, that the block holds. It must be in
-    # the prefix; with ``first - 1`` words missing, size - first + 1 can still be shared.
-    first = F.array_position(F.transform(words, lambda w: F.array_contains(block, w)), True)
-    shared = F.size(F.array_intersect(words, block))
-    hit = (
-        F.arrays_overlap(block, F.array(*[F.lit(w) for w in t.prefix]))
-        & (F.size(block) >= t.need)
-        & (F.lit(size) - first + 1 >= t.need)
-    )
-    return F.when(hit, shared / F.lit(float(size))).otherwise(0.0)
+def containment(t: Template, words: Column, spots: Column) -> Column:
+    """The largest share of the template's words in a block, or less than is needed where the filters rule a match out.
+
+    ``spots``: places (from 0) and words of all templates' prefix words.
+    """
+    literal = F.array(*[F.lit(w) for w in t.words])
+
+    def shared(first: Column, n: Column) -> Column:
+        return F.size(F.array_intersect(literal, F.slice(words, first + 1, n)))
+
+    def first_begin(x: Column) -> Column:
+        return F.greatest(x["i"] - (t.span - 1), F.lit(0))
+
+    def begins(x: Column) -> Column:
+        return F.filter(F.sequence(first_begin(x), x["i"]), lambda s: F.get(words, s).isin(list(t.words)))
+
+    near = F.filter(spots, lambda x: x["w"].isin(list(t.prefix)) & (shared(first_begin(x), x["i"] - first_begin(x) + t.span) >= t.need))
+    starts = F.array_distinct(F.flatten(F.transform(near, begins)))
+    best = F.array_max(F.transform(starts, lambda s: shared(s, F.lit(t.span))))
+    return F.coalesce(best, F.lit(0)) / F.lit(float(len(t.words)))
 
 
 def places(words: Column, text: Column, phrase: str) -> Column:
@@ -148,15 +144,16 @@ def scan(
     phrases = PHRASES if phrases is None else phrases
     rows = with_words(docs)
     ordered = ordered_templates(rows, templates, threshold)
-    # A matching block holds a prefix word, and the text then contains it: most texts are ruled out unsplit.
+    # A matching block holds a prefix word, and the text then contains it: most texts are ruled out at once.
     prefix = sorted({w for t in ordered for w in t.prefix})
     maybe = F.lit(False)
     for w in prefix:
         maybe = maybe | F.array_contains("words", w)
-    blocks = F.when(maybe, blocks_of(F.col("text"))).otherwise(F.array().cast("array<array<string>>"))
+    spots = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].isin(prefix))
+    spots = F.when(maybe, spots).otherwise(F.array().cast("array<struct<i:int,w:string>>"))
     found = {label: places(F.col("words"), F.col("text"), p) for p, label in phrases.items()}
-    rows = rows.select("doc_id", "words", blocks.alias("blocks"), *[c.alias(f"p_{k}") for k, c in found.items()])
-    best = {t.label: F.coalesce(F.array_max(F.transform("blocks", partial(containment, t))), F.lit(0.0)) for t in ordered}
+    rows = rows.select("doc_id", "words", spots.alias("spots"), *[c.alias(f"p_{k}") for k, c in found.items()])
+    best = {t.label: containment(t, F.col("words"), F.col("spots")) for t in ordered}
     rows = rows.select("doc_id", "words", *[f"p_{k}" for k in found], *[c.alias(f"t_{k}") for k, c in best.items()])
     base = F.filter(F.array(*[F.when(F.size(f"p_{k}") > 0, F.lit(k)) for k in sorted(found)]), F.isnotnull)
     own = F.filter(F.array(*[F.when(F.col(f"`t_{k}`") >= threshold - 1e-9, F.lit(k)) for k in sorted(best)]), F.isnotnull)
