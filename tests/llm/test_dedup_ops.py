@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,28 @@ def test_rare_shingles_lose_no_link(spark):
     assert linked and linked <= got and len(linked) < len(pairs)
 
 
+def test_near_links_in_regions_of_any_size(spark, docs):
+    """A pair of similarity 0.8 that shares a region's four min-hashes and not the fifth, among many others in that region."""
+    common = [f"6527c{j}" for j in range(80)]
+    a, b = [*common, *[f"6527a{j}" for j in range(10)]], [*common, *[f"6527b{j}" for j in range(10)]]
+    words = sorted({*a, *b})
+    one = near_dedup.signatures(*near_dedup.shingles(pa.array(words), 1)).reshape(len(words), near_dedup.TREES, near_dedup.DEPTH)
+    place = {w: i for i, w in enumerate(words)}
+    low = [one[[place[w] for w in x]] for x in (a, b)]
+    same = (low[0].min(0) == low[1].min(0)).cumprod(1).sum(1)  # how many min-hashes the two keys of a tree share
+    trees = np.flatnonzero(same >= near_dedup.LEAST)
+    assert len(trees) and same.max() == near_dedup.LEAST
+    rows = [(0, " ".join(a)), (1, " ".join(b))]
+    for t in trees:
+        key = [a[low[0][:, t, d].argmin()] for d in range(near_dedup.LEAST)]
+        lower, x = min((low[i][:, t, near_dedup.LEAST].min(), i) for i in (0, 1))
+        fifth = (a, b)[x][low[x][:, t, near_dedup.LEAST].argmin()]
+        for n in range(60):  # every third stands between the two in the sorted order
+            rows.append((len(rows), " ".join([*key, *[fifth] * (n % 3 == 0), f"own{t}x{n}", f"own{t}y{n}"])))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs(rows), 1).collect()}
+    assert got == {i: 0 if i == 1 else i for i, _ in rows}
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())

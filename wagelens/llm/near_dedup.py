@@ -3,18 +3,16 @@
 Method. A document's set holds its distinct runs of ``words`` lower-cased words (64-bit hashes).
 Documents with equal sets form one class at once. Each class has ``TREES`` signature orders: a tree's
 key is a sequence of ``DEPTH`` min-hashes, and classes that share a prefix of it stand together when
-the order is sorted. A region is such a prefix; its depth adapts: ``LEAST`` min-hashes, more where a
-region has over ``REGION`` classes. First every class is compared with the smallest class of its
-regions, then with its neighbour in the sorted orders (the longest common prefix). The classes of
-regions that still hold different components stay open; open classes are compared where they share
+the order is sorted. A region is such a prefix of ``LEAST`` min-hashes, whatever its size. First
+every class is compared with the smallest class of its regions, then with its neighbour in the sorted
+orders (the longest common prefix). The classes of regions that still hold different components stay open; open classes are compared where they share
 one of their rarest shingles early enough to be linked (an exact prefix and position filter).
 Comparisons are on the full sets. What was left out are pairs already in one component, which change
 nothing, and pairs that the filter proves to be below the threshold.
 
 Chance: a pair of similarity 0.8 shares no region of depth 4 in any of 20 trees with probability
-(1 - 0.8^4)^20 = 3e-5, one of 0.85 with 4e-7, one of 0.9 with 1e-9. Where all its regions have over
-``REGION`` classes the depth is up to 6: 2e-3 for 0.8 and 3e-7 for 0.9, less what the earlier
-comparisons and other open regions of both find.
+(1 - 0.8^4)^20 = 3e-5, one of 0.85 with 4e-7, one of 0.9 with 1e-9. One that shares a region ends in one
+component, however many classes the region has.
 
 Scale. What is shuffled: one sketch per document, TREES short keys per class, the texts once (by
 doc_id, those of classes that share a region are kept) and the sets of pairs compared. A large group
@@ -40,7 +38,6 @@ from .components import components
 from .wordbatch import Words, grams, mix, segment_sums
 
 TREES, DEPTH, LEAST = 20, 6, 4
-REGION = 32
 BINS = 1 << 18  # of shingle counts; the only thing that is collected
 PERCENT = 80
 SLICE = 1 << 20  # shingles hashed at a time
@@ -208,9 +205,9 @@ def prefix(depth: int):
 
 def unresolved(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of the regions that hold classes of different components, with their roots."""
-    placed = shared.join(roots, shared["c"] == roots["node"], "left").select("tree", "p", "key", "c", "size", F.coalesce("root", "c").alias("root"))
+    placed = shared.join(roots, shared["c"] == roots["node"], "left").select("tree", "p", "key", "c", F.coalesce("root", "c").alias("root"))
     open_ = placed.groupBy("tree", "p").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tree", "p")
-    return stored(placed.join(open_, ["tree", "p"]).select("tree", "p", "key", "c", "size", "root"), "near-placed")
+    return stored(placed.join(open_, ["tree", "p"]).select("tree", "p", "key", "c", "root"), "near-placed")
 
 
 def neighbours(placed: DataFrame) -> DataFrame:
@@ -240,7 +237,7 @@ def near_groups(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     keys = classes.select("c", F.posexplode("trees").alias("tree", "key"))
     sizes = keys.groupBy("tree", prefix(LEAST).alias("p")).agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     keyed = keys.withColumn("p", prefix(LEAST))
-    shared = stored(keyed.join(sizes, ["tree", "p"]).select("tree", "p", "key", "c", "hub", "size"), "near-regions")
+    shared = stored(keyed.join(sizes, ["tree", "p"]).select("tree", "p", "key", "c", "hub"), "near-regions")
 
     # The full sets of the classes that share a region.
     some = shared.select("c").distinct().join(classes.select("c", "rep"), "c")
@@ -257,17 +254,8 @@ def near_groups(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     links = links.unionByName(beside)
     second = first if beside.isEmpty() else components(links)
 
-    # What is left: classes of one region in different components, at the depth that the region's size asks for.
-    placed = unresolved(shared, second)
-    left = stored(placed.select("tree", "key", "c", "root", F.col("size").alias("n"), F.lit(LEAST).alias("depth")), "near-open")
-    for depth in range(LEAST + 1, DEPTH + 1):
-        deeper = left.where((F.col("n") > REGION) & (F.col("depth") == depth - 1)).withColumn("p", prefix(depth)).drop("n")
-        counts = deeper.groupBy("tree", "p").agg(F.count(F.lit(1)).alias("n"))
-        moved = deeper.join(counts, ["tree", "p"]).select("tree", "key", "c", "root", "n", F.lit(depth).alias("depth"))
-        left = stored(left.where((F.col("n") <= REGION) | (F.col("depth") < depth - 1)).unionByName(moved), "near-open")
-    left = left.withColumn("p", F.expr("substring(key, 1, 4 * depth)"))
-    mixed = left.groupBy("tree", "depth", "p").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tree", "depth", "p")
-    open_ = stored(left.join(mixed, ["tree", "depth", "p"]).select("c", "root").distinct().join(sets, "c"), "near-open")
+    # What is left: all classes of regions that still hold different components, whatever the region's size.
+    open_ = stored(unresolved(shared, second).select("c", "root").distinct().join(sets, "c"), "near-open")
     more = sharing_rare(open_, percent)
     extra = stored(confirmed(more, sets, percent), "near-links")
     final = second if extra.isEmpty() else components(links.unionByName(extra))
