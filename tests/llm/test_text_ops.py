@@ -67,6 +67,19 @@ def test_token_files(spark, docs):
     assert token_files.digests(spark, empty).collect() == []
 
 
+def test_token_files_added_tokens_in_other_case(spark, docs):
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(file)
+    spellings = ["<|ENDOFTEXT|>", "<|EndOfText|>x", "A<|endoftext|><|Endoftext|>B", "<|STARTOFTEXT|> <|startoftext|>É", "<<|endoftexT|>.Q", "<|endoftext|"]
+    rows = [*enumerate(spellings), (len(spellings), "Ab " + " Cd,".join(spellings))]
+    path = scratch_path(spark, "orc")
+    token_files.write(token_files.encode(docs(rows), file), path, token_files.file_cuts(docs(rows)))
+    got = {r.doc_id: list(r.ids) for r in token_files.read(spark, path).collect()}
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in rows}
+
+
 def test_quality_learns_and_never_reads_held_out_labels(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     text = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

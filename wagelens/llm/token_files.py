@@ -10,7 +10,8 @@ over one row per file) plus its offset.
 Scale. A tokenizer is slow and words repeat, so each distinct word of the corpus is encoded once
 (see ``vocab``): for this tokenizer white space separates words and is dropped, and a mark after a
 letter or digit begins a new piece, so the ids of a text are those of its pieces, one after the other.
-A text that holds a special token's own spelling has no white space in it and keeps that meaning.
+Pieces are put into lower case, as the tokenizer does, to have fewer distinct ones; an added token's
+spelling in any case is left as it is, because the tokenizer looks for added tokens in the raw text.
 
 Defined cases: null text is empty and has the end id alone; rows with the same doc_id stand
 together, ordered by their text's hash; null doc_id comes first; an empty table gives no rows; other
@@ -19,6 +20,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import partial
 
@@ -45,6 +47,11 @@ ORC_OPTIONS = {
 ROWS = "doc_id long, offset long, ids array<int>"
 
 
+def added_tokens(tokenizer_file: str) -> tuple[str, ...]:
+    with open(tokenizer_file, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens", []))
+
+
 def word_ids(tokenizer_file: str, rows: DataFrame) -> DataFrame:
     """Adds the ids of each of the row's words."""
 
@@ -84,7 +91,7 @@ def unpacked_ids(n: int, width: int, data: bytes) -> np.ndarray:
 
 def encode(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
     """doc_id and the packed ids (n, width, data) of every row, the end id included."""
-    split, ids = partial(Words, marks=MARKS), partial(word_ids, tokenizer_file)
+    split, ids = partial(Words, marks=MARKS, keep=added_tokens(tokenizer_file)), partial(word_ids, tokenizer_file)
     return encoded(texts(docs), split, ids, finish=partial(packed_ids, end_id), columns="n long, width int, data binary")
 
 

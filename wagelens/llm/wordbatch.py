@@ -38,14 +38,28 @@ def coded(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return np.asarray(both.indices, dtype=np.int64), both.dictionary
 
 
+def _inside(data: np.ndarray, spellings: tuple[str, ...]) -> np.ndarray:
+    """Which bytes are part of a spelling, A-Z and a-z taken as equal."""
+    out = np.zeros(len(data), bool)
+    whole = data.tobytes().lower()
+    for s in spellings:
+        s = s.encode().lower()
+        at = whole.find(s)
+        while at >= 0:
+            out[at : at + len(s)] = True
+            at = whole.find(s, at + 1)
+    return out
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of each text: ``codes[offsets[i]:offsets[i+1]]`` index ``uniques``.
 
     ``lower`` puts A-Z into lower case. ``marks`` are bytes before which a word also ends if an
-    ASCII letter or digit stands there; A-Z are then put into lower case where an ASCII byte follows.
+    ASCII letter or digit stands there; A-Z are then put into lower case where an ASCII byte follows,
+    but not inside a spelling of ``keep`` in any case: whether it is that spelling stays to be seen.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False, marks: bytes = b""):
+    def __init__(self, texts: pa.Array, lower: bool = False, marks: bytes = b"", keep: tuple[str, ...] = ()):
         data, at = text_bytes(texts)
         size = len(data)
         gap = _table(SPACES)[data]
@@ -63,6 +77,8 @@ class Words:
             upper = (data >= 65) & (data <= 90)
             if marks and size:
                 upper[:-1] &= data[1:] < 128
+            if keep:
+                upper &= ~_inside(data, keep)
             data = np.where(upper, data | 32, data).astype(np.uint8)
         before = np.concatenate([[0], np.cumsum(~gap)])
         self.codes, self.uniques = coded(data[~gap], before[starts])
