@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from conftest import SF0001
+from helpers import SF0001
 from wagelens import cli
 from wagelens.session import scratch_path
 

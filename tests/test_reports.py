@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from conftest import SF0001, SF001
+from helpers import SF0001, SF001
 from wagelens import STAR_V2020, STAR_V2022, Inputs, ReportSuite
 from wagelens.plans import catalog
 from wagelens.sources import star

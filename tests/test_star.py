@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF0001, SF001
+from helpers import SF0001, SF001
 from wagelens.operators.filters import eligible, group_size_having
 from wagelens.operators.names import UNMATCHED_DROP, attach_weights, name_weights
 from wagelens.sources import star

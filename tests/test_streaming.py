@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from helpers import SF0001
 from wagelens import STAR_V2020, STAR_V2022, Inputs, ReportSuite
 from wagelens.operators.aggregates import CUBE_KEYS, CUBE_MEASURES, measure_cube
 from wagelens.operators.filters import eligible
