@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, licenses, near_dedup, pii, quality, secret_scan, substring_dedup, token_files
+from . import bpe, decontaminate, exact_dedup, licenses, line_cleaning, near_dedup, pii, quality, secret_scan, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": near_dedup.query,
     "op9_bpe": bpe.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_line_cleaning": line_cleaning.query,
 }
 
-ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.ORACLE, "op11_line_cleaning": line_cleaning.ORACLE}
