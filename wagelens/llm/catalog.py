@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, licenses, line_cleaning, near_dedup, pii, quality, secret_scan, substring_dedup, token_files
+from . import bpe, decontaminate, exact_dedup, lexical_search, licenses, line_cleaning, near_dedup, pii, quality, secret_scan, spelling, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.query,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": bpe.query,
     "op10_exact_dedup": exact_dedup.query,
     "op11_line_cleaning": line_cleaning.query,
+    "op12_spelling": spelling.query,
+    "op13_lexical_search": lexical_search.query,
 }
 
-ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.ORACLE, "op11_line_cleaning": line_cleaning.ORACLE}
+ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.ORACLE, "op11_line_cleaning": line_cleaning.ORACLE, "op13_lexical_search": lexical_search.ORACLE}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,6 +30,19 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+SLICE_BYTES = 4 << 20
+
+
+def by_bytes(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts in ``column`` have about ``limit`` bytes (or one row): what is made from them is bounded."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def coded(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """Codes and distinct words of the pieces of ``data`` that begin at ``starts`` (the first at 0)."""
     if not len(starts):
