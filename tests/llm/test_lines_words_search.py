@@ -107,6 +107,7 @@ def test_spelling_variants(spark, docs, group):
     base += ["".join(rng.choice(letters, rng.integers(7, 10))) for _ in range(400)]
     rows = [(i, " ".join(rng.choice(base, 60))) for i in range(60)]
     rows += [(None, "Variant VARIANT variant, variant"), (1, None), (2, ""), (3, "×÷×÷×÷×÷ variant-variant " * 40), (3, "×÷×÷×÷×÷ variant-variant " * 40), (4, " ".join(base * 2))]
+    rows += [(i, "threefold " * 9 + "threefolds threfold " * (i % 2)) for i in range(100, 130)]
     got = [tuple(r) for r in spelling.variants(docs(rows), group=group).collect()]
     assert len(got) == len(set(got)) and set(got) == plain_variants(rows)
     assert any(f for _, f, *_ in got) and max(x[4] for x in got) > 5

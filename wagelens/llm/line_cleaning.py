@@ -66,7 +66,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def run_hashes(words: Column) -> Column:
-    """A 64-bit hash of each run of five words, in order; none for fewer words."""
+    """A 64-bit hash of each run of five of at least five words, in order."""
     n = F.size(words)
 
     def joined(a: Column, b: Column, step: int) -> Column:
@@ -75,24 +75,33 @@ def run_hashes(words: Column) -> Column:
     def of_five(h: Column) -> Column:
         return let(joined(h, h, 1), lambda two: F.slice(joined(joined(two, two, 2), h, 4), F.lit(1), n - RUN + 1))
 
-    return F.when(n >= RUN, let(F.transform(words, lambda w: F.xxhash64(w)), of_five)).otherwise(F.array().cast("array<long>"))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), of_five)
 
 
-def with_repeat_words(rows: DataFrame) -> DataFrame:
-    """Adds n_repeat_words: of the column ``words``, those in runs of five that stand twice or more, the first included.
+def covered(places: Column) -> Column:
+    """Words covered by the runs that begin at ``places`` (ascending)."""
+    steps = F.transform(places, lambda p, i: F.when(i == 0, RUN).otherwise(F.least(F.lit(RUN), p - F.get(places, i - 1))))
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
+
+
+def repeat_words(words: Column) -> Column:
+    """Of ``words`` those in runs of five that stand twice or more, the first included.
 
     Runs count as equal if their 64-bit hashes are: for a text of a million words that is wrong with
-    probability 3e-8. Each step is a column of its own, so that sorting is compiled.
+    probability 3e-8. What a lambda uses is bound by ``let``, so no plan computes it once per element.
     """
-    rows = rows.withColumn("runs", run_hashes(F.col("words")))
-    twice = F.size(F.array_distinct("runs")) < F.size("runs")
-    rows = rows.withColumn("sorted", F.when(twice, F.sort_array(F.arrays_zip("runs", F.sequence(F.lit(0), F.size("runs") - 1).alias("at")))))
-    same = lambda x, i: F.coalesce(x["runs"] == F.get("sorted", i)["runs"], F.lit(False))
-    hits = F.filter("sorted", lambda x, i: same(x, i - 1) | same(x, i + 1))
-    rows = rows.withColumn("places", F.sort_array(F.transform(hits, lambda x: x["at"])))
-    steps = F.transform("places", lambda p, i: F.when(i == 0, RUN).otherwise(F.least(F.lit(RUN), p - F.get("places", i - 1))))
-    n = F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
-    return rows.withColumn("n_repeat_words", F.coalesce(n, F.lit(0).cast("long"))).drop("runs", "sorted", "places")
+    none = F.lit(0).cast("long")
+
+    def places(rows: Column) -> Column:
+        same = lambda x, i: F.coalesce(x["runs"] == F.get(rows, i)["runs"], F.lit(False))
+        hits = F.filter(rows, lambda x, i: same(x, i - 1) | same(x, i + 1))
+        return let(F.sort_array(F.transform(hits, lambda x: x["at"])), covered)
+
+    def of_runs(runs: Column) -> Column:
+        rows = F.transform(runs, lambda x, i: F.struct(x.alias("runs"), i.alias("at")))
+        return F.when(F.size(F.array_distinct(runs)) < F.size(runs), let(F.sort_array(rows), places)).otherwise(none)
+
+    return let(words, lambda w: F.when(F.size(w) >= RUN, let(run_hashes(w), of_runs)).otherwise(none))
 
 
 def holds_boilerplate(lowered: Column) -> Column:
@@ -119,7 +128,6 @@ def analysed(docs: DataFrame) -> DataFrame:
     # Of equal lines the first is put to the rules; the others fail.
     rows = rows.withColumn("distinct_lines", F.array_distinct("lines"))
     rows = rows.withColumn("clean", F.array_join(F.filter("distinct_lines", lambda x: ~fails(x)), "\n"))
-    rows = with_repeat_words(rows)
     return rows.select(
         "doc_id",
         "text",
@@ -128,7 +136,7 @@ def analysed(docs: DataFrame) -> DataFrame:
         word_chars(F.col("text")).alias("word_chars"),
         F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size("distinct_lines")).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
+        repeat_words(F.col("words")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
     )
 
