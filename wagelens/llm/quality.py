@@ -6,7 +6,7 @@ sums over all labelled training rows; each class covariance is shrunk towards th
 that towards a multiple of the identity. The score is the logistic of the difference of the two
 Mahalanobis log densities, taken with Cholesky factors that are computed once and cached.
 
-Scale. Statistics are computed where the text is read, one Arrow batch at a time; what is stored and
+Scale. Statistics are computed where the text is read, a few MB of texts at a time; what is stored and
 joined with the labels is one row of numbers per document. The sums are one aggregate with partial
 sums; the driver sees two small matrices. Every labelled row whose fold is not held out is used.
 
@@ -27,8 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored, texts
-from .wordbatch import Words, segment_sums
+from .common import documents, stored, text_or_empty, texts
+from .wordbatch import Words, by_bytes, segment_sums
 
 FEATURES = (
     "words", "word_length", "long_words", "upper", "symbols", "bars", "marks", "digits", "marked_words", "upper_words",
@@ -104,8 +104,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the features of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in by_bytes(whole, 1):
                 x = features(b.column(1))
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, k]) for k in range(x.shape[1])]], ["doc_id", *FEATURES])
 
@@ -183,19 +183,19 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, all columns as they are."""
+    """The rows of ``docs`` that the classifier accepts, all columns as they are.
+
+    Only the text goes to Python, which returns one number a row; the other columns stay where they are.
+    """
     model = fit(stored(statistics(docs), "quality-stats"), labels)
-    names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                text = pc.fill_null(b.column(b.schema.get_field_index("__text")), "")
-                good = model.score(features(text)) >= THRESHOLD
-                yield b.filter(pa.array(good)).select(names)
+    @F.arrow_udf("double")
+    def score(texts_: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts_], ["text"])
+        parts = [model.score(features(b.column(0))) for b in by_bytes(batch, 0)]
+        return pa.array(np.concatenate([np.zeros(0), *parts]))
 
-    rows = docs.withColumn("__text", F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return rows.mapInArrow(run, docs.schema)
+    return docs.where(score(text_or_empty(docs)) >= THRESHOLD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
