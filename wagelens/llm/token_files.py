@@ -7,14 +7,16 @@ the integers; row indexes and a Bloom filter on doc_id let readers skip stripes
 stripes are read in parallel. Reading back, a document's start is its file's first position (a sum
 over one row per file) plus its offset.
 
-Scale. A tokenizer is slow and words repeat, so each distinct word of the corpus is encoded once
-(see ``vocab``): for this tokenizer white space separates words and is dropped, and a mark after a
+Scale. Texts are encoded where they are read, a few MB at a time; what is shuffled is the packed ids,
+once. A tokenizer is slow and words repeat, so a task encodes a distinct word once and remembers up to
+``REMEMBERED``: for this tokenizer white space separates words and is dropped, and a mark after a
 letter or digit begins a new piece, so the ids of a text are those of its pieces, one after the other.
 Pieces are put into lower case, as the tokenizer does, to have fewer distinct ones; an added token's
 spelling in any case is left as it is, because the tokenizer looks for added tokens in the raw text.
+A doc_id with more rows than a file holds on average, or null, is spread over as many files as it needs.
 
 Defined cases: null text is empty and has the end id alone; rows with the same doc_id stand
-together, ordered by their text's hash; null doc_id comes first; an empty table gives no rows; other
+together, in an order given by a hash; null doc_id comes first; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -22,20 +24,20 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import documents, scratch_path, texts
-from .vocab import encoded
-from .wordbatch import Words
+from .wordbatch import Words, by_bytes, ragged
 
 END_ID = 2
 MARKS = b".,;:!?"
+REMEMBERED = 300_000  # words of a task with their ids
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.create.index": "true",
@@ -52,27 +54,38 @@ def added_tokens(tokenizer_file: str) -> tuple[str, ...]:
         return tuple(t["content"] for t in json.load(f).get("added_tokens", []))
 
 
-def word_ids(tokenizer_file: str, rows: DataFrame) -> DataFrame:
-    """Adds the ids of each of the row's words."""
+class WordIds:
+    """The ids of words; those of the words seen last are remembered, at most ``limit`` and one slice's."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, tokenizer_file: str, limit: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        for b in batches:
-            ids = []
-            for words in b.column("words"):
-                words = words.as_py()
-                got = []
-                for i in range(0, len(words), 5000):
-                    got += [e.ids for e in tokenizer.encode_batch_fast(words[i : i + 5000], add_special_tokens=False)]
-                ids.append(got)
-            yield b.append_column("ids", pa.array(ids, pa.list_(pa.list_(pa.int32()))))
+        self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_file), limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.values, self.ends = pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def learn(self, words: pa.Array) -> None:
+        for lo in range(0, len(words), 5000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[lo : lo + 5000].to_pylist(), add_special_tokens=False)]
+            self.values = np.concatenate([self.values, *[np.array(x, np.int32) for x in found]])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])])
+        self.words = pa.concat_arrays([self.words, words])
 
-    return rows.mapInArrow(run, "bucket int, words array<string>, blocks array<int>, blobs array<binary>, ids array<array<int>>")
+    def of(self, words: pa.Array) -> np.ndarray:
+        """Where each of the distinct ``words`` stands among the remembered ones."""
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            if len(self.words) + at.null_count > self.limit:
+                self.forget()
+                at = pc.index_in(words, value_set=self.words)
+            self.learn(words.filter(at.is_null()))
+            at = pc.index_in(words, value_set=self.words)
+        return at.to_numpy().astype(np.int64)
 
 
 def packed_ids(end_id: int, ids: pa.ListArray) -> pa.Table:
@@ -90,20 +103,38 @@ def unpacked_ids(n: int, width: int, data: bytes) -> np.ndarray:
 
 
 def encode(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id and the packed ids (n, width, data) of every row, the end id included."""
-    split, ids = partial(Words, marks=MARKS, keep=added_tokens(tokenizer_file)), partial(word_ids, tokenizer_file)
-    return encoded(texts(docs), split, ids, finish=partial(packed_ids, end_id), columns="n long, width int, data binary")
+    """doc_id and the packed ids (n, width, data) of every row, the end id included; ``place`` is the row's in its task."""
+    keep = added_tokens(tokenizer_file)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place = WordIds(tokenizer_file, REMEMBERED), 0
+        for whole in batches:
+            for b in by_bytes(whole, "text"):
+                w = Words(b.column("text"), marks=MARKS, keep=keep)
+                at = known.of(w.uniques)
+                flat, ends = ragged(known.values, known.ends, at[w.codes] if len(w.codes) else np.zeros(0, np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(ends[w.offsets].astype(np.int32)), pa.array(flat))
+                packed = packed_ids(end_id, lists)
+                columns = [b.column("doc_id"), pa.array(np.arange(place, place + b.num_rows)), *[packed.column(c).combine_chunks() for c in ("n", "width", "data")]]
+                place += b.num_rows
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "n", "width", "data"])
 
+    return texts(docs).mapInArrow(run, "doc_id long, place long, n long, width int, data binary")
 
-def file_cuts(docs: DataFrame) -> list[int]:
-    """The doc_ids at which files begin after the first: quantiles, one for each shuffle partition."""
+
+def file_cuts(docs: DataFrame) -> list[int | None]:
+    """The doc_ids at which files begin after the first: quantiles, one for each shuffle partition.
+
+    A doc_id that fills several files stands several times; None in front for files of null doc_ids.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    found = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5])).first()[0]
-    return sorted(set(found or []))
+    found, rows, known = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5]), F.count("*"), F.count("doc_id")).first()
+    nulls = -(-parts * (rows - known) // rows) if rows else 0
+    return [None] * nulls + sorted(found or [])
 
 
-def write(rows: DataFrame, path: str, cuts: list[int]) -> None:
+def write(rows: DataFrame, path: str, cuts: list[int | None]) -> None:
     """Writes the packed ids of ``encode`` as ORC files in ascending doc_id order; ``offset`` counts the ids before in the file.
 
     ``cuts`` (see ``file_cuts``) come from the ids of the documents alone, so the rows are computed once.
@@ -121,10 +152,21 @@ def write(rows: DataFrame, path: str, cuts: list[int]) -> None:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(at + ends[:-1]), lists], ["doc_id", "offset", "ids"])
                 at += int(ends[-1])
 
+    nulls = sum(c is None for c in cuts)
+    known = F.lit([c for c in cuts if c is not None]).cast("array<long>")
+    below, until = (F.size(F.filter(known, test)) for test in (lambda c: c < F.col("doc_id"), lambda c: c <= F.col("doc_id")))
+    share = F.col("tie").cast("double") / 2.0**64 + 0.5  # of the rows of one doc_id
+
+    def spread(files: Column) -> Column:
+        return F.least(F.floor(share * files), files - 1).cast("int")
+
+    part = F.when(F.col("doc_id").isNull(), spread(F.lit(max(nulls, 1)))).otherwise(
+        nulls + F.col("below") + F.when(F.col("until") > F.col("below"), 1 + spread(F.col("until") - F.col("below"))).otherwise(0)
+    )
+    dealt = rows.withColumns({"tie": F.xxhash64("data", "place"), "below": below, "until": until}).withColumn("part", part)
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c <= F.col("doc_id"))))
-    dealt = rows.withColumns({"tie": F.xxhash64("data"), "part": part}).repartitionById(len(cuts) + 1, "part")
-    dealt.sortWithinPartitions(*order).select("doc_id", "n", "width", "data").mapInArrow(run, ROWS).write.options(**ORC_OPTIONS).orc(path)
+    dealt = dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions(*order)
+    dealt.select("doc_id", "n", "width", "data").mapInArrow(run, ROWS).write.options(**ORC_OPTIONS).orc(path)
 
 
 def file_number():
