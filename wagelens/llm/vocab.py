@@ -20,13 +20,11 @@ from pyspark.sql import functions as F
 
 from .wordbatch import ragged, word_hashes
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BLOCKS_PER_BUCKET = 2
 
 #: text array -> object with codes, offsets, uniques
 Split = Callable[[pa.Array], object]
-#: the ids of a block's texts -> the columns returned for them
-Finish = Callable[[pa.ListArray], pa.Table]
 #: rows (bucket, words, blocks, blobs) -> the same with ids array<array<int>>, one per word
 Encode = Callable[[DataFrame], DataFrame]
 
@@ -82,17 +80,8 @@ def _dealt(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, bucket[order]
 
 
-def id_lists(ids: pa.ListArray) -> pa.Table:
-    return pa.table({"ids": ids})
-
-
-def encoded(
-    docs: DataFrame, split: Split, encode: Encode, block_bytes: int = BLOCK_BYTES, finish: Finish = id_lists, columns: str = "ids array<int>"
-) -> DataFrame:
-    """doc_id and ids (array<int>, the concatenated ids of its words) of every row of ``docs`` (doc_id, text).
-
-    ``finish`` puts other ``columns`` in the place of the ids.
-    """
+def encoded(docs: DataFrame, split: Split, encode: Encode, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id and ids (array<int>, the concatenated ids of its words) of every row of ``docs`` (doc_id, text)."""
     packed, blocks = in_blocks(docs, block_bytes)
     buckets = max(1, -(-blocks // BLOCKS_PER_BUCKET))
 
@@ -136,8 +125,7 @@ def encoded(
 
     def assembled(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs_.num_rows:
-            none = finish(pa.array([], pa.list_(pa.int32())))
-            return none.add_column(0, "doc_id", pa.array([], pa.int64()))
+            return pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
         ids, text = block_rows(docs_)
         w = split(text)
         order, _ = _dealt(w.uniques, buckets)
@@ -152,9 +140,9 @@ def encoded(
         values, offsets = np.concatenate([np.zeros(0, np.int32), *v]), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         flat, ends = ragged(values, offsets, place[w.codes] if len(w.codes) else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(ends[w.offsets].astype(np.int32)), pa.array(flat.astype(np.int32)))
-        return finish(lists).add_column(0, "doc_id", ids.cast(pa.int64()))
+        return pa.table({"doc_id": ids.cast(pa.int64()), "ids": lists})
 
     words = packed.groupBy("block").applyInArrow(distinct, "bucket int, block int, words binary")
     gather = words.groupBy("bucket").applyInArrow(gathered, "bucket int, words array<string>, blocks array<int>, blobs array<binary>")
     answers = encode(gather).select("bucket", "words", "blocks", "blobs", "ids").mapInArrow(answered, "block int, bucket int, n binary, v binary")
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assembled, f"doc_id long, {columns}")
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assembled, "doc_id long, ids array<int>")
