@@ -1,9 +1,11 @@
 """Secret, personal-data and license scans against plain-Python versions of their contracts."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
+from collections import Counter, defaultdict
 
 from wagelens.llm import licenses, pii, secret_scan
 from wagelens.session import scratch_path
@@ -92,6 +94,49 @@ def test_em_trusts_the_labeler_that_agrees(spark):
     assert rate["pattern"][0] - rate["pattern"][1] > 0.8 > 0.2 > abs(rate["gazetteer"][0] - rate["gazetteer"][1])
 
 
+def test_a_long_address_votes_on_its_own_ending(spark, docs):
+    rows = docs([(1, "mail to " + "a" * 500 + "@example.com now"), (2, "mail to " + "a" * 500 + "@example.c0m9 now"), (3, "mail to " + "b" * 450 + "@" + "c" * 60 + ".de")])
+    got = {r.doc_id: [(c.kind, c.v2, c.f1) for c in r.cands] for r in pii.candidates(rows).collect()}
+    assert got == {1: [("email", 1, "40+")], 2: [("email", 0, "40+")], 3: [("email", 1, "40+")]}
+
+
+def test_classifier_against_plain_python(spark, docs):
+    """Posteriors, the trained tables, scores and the spans that are added."""
+    texts = [
+        "call 555-123-4567 or (212) 555-0199.", "SSN 123-45-6789, tax 900-11-2222", "Dear Mr. Karl Meier, signed Anna Roth", "id 111-22-3333x and 000-12-1234",
+        "no 155-123-4567 here, ref 012-345-6789", "Mary Poppins wrote to john@example.org", "The Paul Street sign", "x555-987-6543 y", "Herr Schmidt", None, "",
+    ]
+    table = docs([(i, t) for i, t in enumerate(texts * 3)])
+    each = [(r.doc_id, c) for r in pii.candidates(table).collect() for c in r.cands]
+    assert {c.kind for _, c in each} >= {"local", "ssn", "name", "email"}
+    votes = Counter((c.kind, c.v1, c.v2, c.v3, c.v4) for _, c in each)
+    share, rate = pii.estimate([(*k, n) for k, n in votes.items()])
+
+    def odds(c):
+        x = math.log(share[c.kind] / (1 - share[c.kind]))
+        for v, name in zip((c.v1, c.v2, c.v3, c.v4), pii.LABELERS, strict=True):
+            t, f = rate[name]
+            x += {1: math.log(t / f), -1: math.log((1 - t) / (1 - f)), 0: 0.0}[v]
+        return x
+
+    sums = defaultdict(lambda: [0.0, 0.0])
+    for _, c in each:
+        p = 1 / (1 + math.exp(-odds(c)))
+        for f in ["all", *[f"f{i}={c.kind}={c[f'f{i}']}" for i in range(1, 5)]]:
+            sums[f][0] += p
+            sums[f][1] += 1 - p
+    prior = math.log((sums["all"][0] + 1) / (sums["all"][1] + 1))
+    weights = {f: math.log((t + 1) / (u + 1)) - prior for f, (t, u) in sums.items() if f != "all"}
+    want = defaultdict(list)
+    for i, c in each:
+        x = prior + sum(weights[f"f{k}={c.kind}={c[f'f{k}']}"] for k in range(1, 5))
+        if c.kind in pii.BASE or 1 / (1 + math.exp(-x)) >= pii.ACCEPT:
+            want[i].append((c.start, c.kind, c.end))
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in pii.detect(table).collect()}
+    assert got == {i: want[i] for i in range(len(texts) * 3)}
+    assert any(kind in pii.ADDED for spans in got.values() for _, kind, _ in spans)
+
+
 def test_licenses(spark, docs, table):
     long_line = "x " * 200 + "this work is licensed under the gnu general public license version 3 " + "y " * 200
     rows = [*enumerate(TEXTS), (20, "Released under the M.I.T. license of the"), (21, long_line), (22, licenses.TEMPLATES["isc"])]

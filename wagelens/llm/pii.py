@@ -135,7 +135,7 @@ def _side(c: Column) -> Column:
 
 def _candidates(text: Column, kind: str, rank: int, rows: Column) -> Column:
     def one(x: Column) -> Column:
-        value = F.substring(x["value"], F.lit(1), F.lit(400))  # shapes and issuers are told by far shorter values
+        value = x["value"]
         before = F.substring(text, F.greatest(x["start"] - CUE_SPAN + 1, F.lit(1)).cast("int"), F.least(x["start"], F.lit(CUE_SPAN)).cast("int"))
         left = F.when(x["start"] > 0, F.substring(text, x["start"].cast("int"), F.lit(1))).otherwise("")
         right = F.substring(text, (x["end"] + 1).cast("int"), F.lit(1))
