@@ -189,7 +189,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_oracle():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(catalog.QUERIES) <= set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 @pytest.mark.parametrize("name", list(catalog.QUERIES))

@@ -41,6 +41,8 @@ def parse_args(argv=None):
     ap.add_argument("--min-group-title", type=int, help="show a title only with more rows than this (default 200)")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     ap.add_argument("--out-format", choices=["csv", "parquet"], default="csv")
+    ap.add_argument("--publish", action="store_true", help="write a new version of the output folder that becomes current when all reports are written")
+    ap.add_argument("--lenient-nulls", action="store_true", help="leave missing amounts out of means and totals instead of making them missing")
     ap.add_argument("--long", action="store_true", help="also write the numeric long tables as Parquet, by fiscal year")
     return ap.parse_args(argv)
 
@@ -60,6 +62,8 @@ def main(argv=None) -> None:
         changes["min_group_agency"] = args.min_group_agency
     if args.min_group_title is not None:
         changes["min_group_title"] = args.min_group_title
+    if args.lenient_nulls:
+        changes["strict_nulls"] = False
     if changes:
         profile = profile.with_(**changes)
 
@@ -79,7 +83,7 @@ def main(argv=None) -> None:
             files.read_cpi(spark, args.cpi, args.cpi_style or ("month_name" if profile.name == "v2020" else "period")),
         )
     suite = ReportSuite(inputs, profile, keep_cube=True).prepare()
-    for path in write_reports(suite.report_builders(), args.out, profile.city_label, fmt=args.out_format):
+    for path in write_reports(suite.report_builders(), args.out, profile.city_label, fmt=args.out_format, publish=args.publish):
         print(path)
     if args.long:
         for name, df in suite.long_tables().items():

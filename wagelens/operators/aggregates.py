@@ -1,8 +1,10 @@
 """Aggregates: means, sums, weighted means with R's NULL rules, and the measure cube.
 
-NULL rule: the published scripts call ``mean``/``sum``/``weighted.mean`` without dropping missing
+NULL rule (strict): the published scripts call ``mean``/``sum``/``weighted.mean`` without dropping missing
 values, so one missing amount in a group makes that group's result missing. Every aggregate
-here carries the counts needed to apply that rule after the fact.
+here carries the counts needed to apply that rule after the fact. The lenient rule (R's
+``na.rm = TRUE``) leaves missing amounts out, with their weights: the cube holds the weight sums of
+all rows and of the rows with an amount, so both rules read the same cube.
 
 Money is summed as decimals (exact, fractions of a cent included); weighted sums are doubles.
 """
@@ -23,7 +25,7 @@ CUBE_KEYS = ["fiscal_year", "agency", "title"]
 CUBE_MEASURES = [
     "n", "n_salary", "salary_sum", "n_ot", "ot_sum",
     "w_m", "xw_m", "bad_m", "w_f", "xw_f", "bad_f",
-    "w_c", "xw_c", "bad_c", "w_u", "xw_u", "bad_u",
+    "w_c", "xw_c", "bad_c", "w_u", "xw_u", "bad_u", "wv_m", "wv_f",
 ]
 
 
@@ -31,13 +33,17 @@ CUBE_MEASURES = [
 # Report-level formulas over summed measures
 
 
-def mean_from_sums(total: Column, n_valid: Column, n_all: Column) -> Column:
-    """Mean from a sum; NULL if any amount in the group was missing."""
+def mean_from_sums(total: Column, n_valid: Column, n_all: Column, strict: bool = True) -> Column:
+    """Mean from a sum; NULL if any amount in the group was missing (``strict``), or else if all were."""
+    if not strict:
+        return F.when(n_valid > 0, total.cast("double") / n_valid.cast("double"))
     return F.when(n_valid == n_all, total.cast("double") / n_all.cast("double"))
 
 
-def total_from_sums(total: Column, n_valid: Column, n_all: Column) -> Column:
-    """Total from a sum; NULL if any amount in the group was missing."""
+def total_from_sums(total: Column, n_valid: Column, n_all: Column, strict: bool = True) -> Column:
+    """Total from a sum; NULL if any amount in the group was missing (``strict``); otherwise of those present, 0 for none."""
+    if not strict:
+        return F.coalesce(total.cast("double"), F.lit(0.0))
     return F.when(n_valid == n_all, total.cast("double"))
 
 
@@ -118,6 +124,7 @@ def _weighted_contributions(df: DataFrame, has_flags: bool) -> DataFrame:
             (w * n).alias(f"w_{tag}"),
             F.when(w != 0, w * s.cast("double")).otherwise(F.lit(0.0)).alias(f"xw_{tag}"),
             F.when(w != 0, n - nv).otherwise(F.lit(0)).alias(f"bad_{tag}"),
+            (w * nv).alias(f"wv_{tag}"),
         ]
     common = F.col("Common").cast("long") if has_flags else F.lit(1).cast("long")
     uncommon = F.col("Uncommon").cast("long") if has_flags else F.lit(0).cast("long")

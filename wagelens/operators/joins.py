@@ -28,22 +28,39 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame | None:
     return None
 
 
-def outer_merge(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Full outer merge on ``keys`` where NULL matches NULL (as R's ``merge(all=TRUE)`` does).
-
-    Spark's ``on=`` equality drops NULL keys from matching, so the condition is ``<=>`` and the
-    key columns are coalesced from both sides afterwards.
+def outer_merge_all(sides: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Full outer merge of any number of tables on ``keys``; NULL matches NULL (as R's ``merge(all=TRUE)`` does).
 
-    Precondition: one row per key on each side (as report rows are). With repeated keys a join
-    would pair every left row with every right row of the key, which this operator is not for.
+    Every side holds at most one row per key (as report rows do): a second one raises an error that
+    names the side. Instead of a chain of joins, each of which would shuffle what was merged before,
+    the sides are put below each other, tagged, and grouped by the keys: one exchange for all of
+    them, in which a NULL key is a key and the rows per key and side are counted as well. Columns are
+    those of the sides in order; other names than the keys must differ between the sides.
     """
-    l_alias, r_alias = left.alias("__l"), right.alias("__r")
-    cond = None
-    for k in keys:
-        c = F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}"))
-        cond = c if cond is None else cond & c
-    joined = l_alias.join(r_alias, cond, "full_outer")
-    key_cols = [F.coalesce(F.col(f"__l.{k}"), F.col(f"__r.{k}")).alias(k) for k in keys]
-    rest_l = [F.col(f"__l.{c}").alias(c) for c in left.columns if c not in keys]
-    rest_r = [F.col(f"__r.{c}").alias(c) for c in right.columns if c not in keys]
-    return joined.select(*key_cols, *rest_l, *rest_r)
+    rest = [[c for c in side.columns if c not in keys] for side in sides]
+    flat = [c for names in rest for c in names]
+    if len(set(flat)) != len(flat):
+        raise ValueError(f"columns of more than one side: {sorted(c for c in set(flat) if flat.count(c) > 1)}")
+    tagged = None
+    for i, (side, names) in enumerate(zip(sides, rest, strict=True)):
+        row = F.struct(F.lit(i).alias("__side"), *[F.col(c) for c in names]).alias(f"__{i}")
+        part = side.select(*keys, row)
+        tagged = part if tagged is None else tagged.unionByName(part, allowMissingColumns=True)
+    merged = tagged.groupBy(*keys).agg(
+        *[F.first(f"__{i}", ignorenulls=True).alias(f"__{i}") for i in range(len(sides))],
+        *[F.count(f"__{i}").alias(f"__n{i}") for i in range(len(sides))],
+    )
+    # The check is part of every value, so that no plan can leave it out.
+    most = F.greatest(*[F.col(f"__n{i}") for i in range(len(sides))], F.lit(0))
+    which = F.concat_ws(", ", *[F.when(F.col(f"__n{i}") > 1, F.lit(str(i))) for i in range(len(sides))])
+    named = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("NULL"))) for k in keys])
+    twice = F.raise_error(F.concat(F.lit("outer_merge: more than one row for "), named, F.lit(" on side "), which))
+    checked = lambda value: F.when(most > 1, twice).otherwise(value)
+    cols = [checked(F.col(f"__{i}.{c}")).alias(c) for i, names in enumerate(rest) for c in names]
+    key_cols = [checked(F.col(k)).alias(k) if j == 0 else F.col(k) for j, k in enumerate(keys)]
+    return merged.select(*key_cols, *cols)
+
+
+def outer_merge(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`outer_merge_all` of two tables."""
+    return outer_merge_all([left, right], keys)

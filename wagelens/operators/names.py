@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,6 +111,41 @@ def join_weights(rows: DataFrame, lookup: DataFrame, unmatched: str = UNMATCHED_
     raise ValueError(f"unknown unmatched policy {unmatched!r}")
 
 
+def hot_names(rows: DataFrame, name_col: str = "first_name", tasks: int | None = None) -> list[str]:
+    """Names with more rows than a task of the name shuffle gets on average; at most as many as tasks.
+
+    One aggregate with partial counts, of the name column alone.
+    """
+    tasks = tasks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.where(F.col(name_col).isNotNull()).groupBy(F.col(name_col).alias("__name")).agg(F.count("*").alias("__n"))
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        total = counts.agg(F.sum("__n")).first()[0] or 0
+        return [r["__name"] for r in counts.where(F.col("__n") * tasks > total).collect()]
+    finally:
+        counts.unpersist(blocking=False)
+
+
+def join_weights_split(rows: DataFrame, lookup: DataFrame, unmatched: str, name_col: str, hot: Sequence[str]) -> DataFrame:
+    """:func:`join_weights` with a lookup side too large to broadcast, without moving rows of hot or NULL names.
+
+    Rows with a NULL name can match nothing and rows with a hot name only the few weights of such
+    names: both stay where they are and are joined with those weights, which are broadcast (at most
+    one row per hot name). Only the other rows are shuffled on the name, and no name of theirs is
+    more than an average task. The rows of NULL names are not read where unmatched ones are dropped.
+    """
+    name, is_hot = rows[name_col], F.lit(False)
+    few = lookup.where(F.lit(False))
+    if hot:
+        is_hot = name.isin(list(hot))
+        few = lookup.where(F.col("__name").isin(list(hot)))
+    moved = join_weights(rows.where(name.isNotNull() & ~is_hot), lookup.hint("shuffle_merge"), unmatched, name_col)
+    stays = is_hot if unmatched == UNMATCHED_DROP else name.isNull() | is_hot
+    if unmatched == UNMATCHED_DROP and not hot:
+        return moved
+    return moved.unionByName(join_weights(rows.where(stays), F.broadcast(few), unmatched, name_col))
+
+
 def attach_weights(
     rows: DataFrame,
     weights: DataFrame,
@@ -120,8 +158,11 @@ def attach_weights(
     ``unmatched='drop'`` keeps matched rows only; ``'zero'`` keeps every row, sets the weights of
     unmatched ones to 0 and adds ``Common`` (1 if matched) and ``Uncommon`` (1 - Common).
 
-    The weights table is broadcast when its row count is at most ``max_broadcast_rows``;
-    otherwise the join shuffles on the name. A NULL first name never matches.
+    The weights table is broadcast when its row count is at most ``max_broadcast_rows``. Otherwise
+    the names are counted first: hot and NULL names stay where they are and the other rows are
+    shuffled on the name (:func:`join_weights_split`). A NULL first name never matches.
     """
-    lookup, _ = weight_lookup(weights, max_broadcast_rows)
-    return join_weights(rows, lookup, unmatched, name_col)
+    lookup, small = weight_lookup(weights, max_broadcast_rows)
+    if small or rows.isStreaming:
+        return join_weights(rows, lookup, unmatched, name_col)
+    return join_weights_split(rows, lookup, unmatched, name_col, hot_names(rows, name_col))

@@ -18,7 +18,7 @@ from ..functions.text import percent_text, with_dollar_texts
 from ..operators.adjust import index_values, restate_columns
 from ..operators.aggregates import group_mean, group_sum, measure_cube, rollup, weighted_mean
 from ..operators.filters import eligible, group_size_having, group_size_keep_rows
-from ..operators.joins import outer_merge
+from ..operators.joins import outer_merge, outer_merge_all
 from ..operators.names import (
     UNMATCHED_DROP,
     UNMATCHED_KEEP,
@@ -32,8 +32,8 @@ from ..operators.names import (
 from ..operators.reshape import distinct_keys, to_wide
 from ..session import scratch_path
 from ..sources import files, star
-from ..sources.sinks import write_csv, write_parquet
-from .profiles import STAR_V2020, STAR_V2022, Profile
+from ..sources.sinks import published_reports, write_csv, write_parquet, write_reports, write_sorted_parts
+from .profiles import STAR_V2020, STAR_V2022, Profile, passing
 from .reports import Inputs, ReportSuite, measures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,11 @@ def q_name_spread(spark, sf_dir):
     return name_spread(name_sex_counts(star.names(spark, sf_dir)))
 
 
+def q_name_spread_one_sex(spark, sf_dir):
+    """The spread of names that are registered for one sex only: the other counts 0 (A10, P5)."""
+    return name_spread(name_sex_counts(star.names(spark, sf_dir, by_segment=True)))
+
+
 def q_name_weights(spark, sf_dir):
     """Name weights from registrations in one aggregate."""
     return _weights(spark, sf_dir)
@@ -107,6 +112,18 @@ def q_lookup_matched_only(spark, sf_dir):
     return attach_weights(rows, _weights(spark, sf_dir), UNMATCHED_DROP)
 
 
+def q_lookup_left_shuffle(spark, sf_dir):
+    """J1 with weights too large to broadcast: hot and NULL names stay in place, the rest is shuffled."""
+    rows = star.payroll(spark, sf_dir).select(*_LOOKUP_COLS)
+    return attach_weights(rows, _weights(spark, sf_dir), UNMATCHED_KEEP, max_broadcast_rows=0)
+
+
+def q_lookup_matched_only_shuffle(spark, sf_dir):
+    """J2 with weights too large to broadcast."""
+    rows = star.payroll(spark, sf_dir).select(*_LOOKUP_COLS)
+    return attach_weights(rows, _weights(spark, sf_dir), UNMATCHED_DROP, max_broadcast_rows=0)
+
+
 def q_common_flags(spark, sf_dir):
     """Common / Uncommon flags of the second profile."""
     rows = star.payroll(spark, sf_dir).select(*_LOOKUP_COLS)
@@ -155,7 +172,7 @@ def q_group_size_keep_rows(spark, sf_dir):
 
 # -- cube -------------------------------------------------------------------------------------
 
-_CUBE_ROUND = {"w_m": 6, "w_f": 6, "xw_m": 4, "xw_f": 4}
+_CUBE_ROUND = {"w_m": 6, "w_f": 6, "wv_m": 6, "wv_f": 6, "xw_m": 4, "xw_f": 4}
 
 
 def _cube_rows(cube: DataFrame) -> DataFrame:
@@ -182,18 +199,38 @@ def q_measure_cube_uncommon(spark, sf_dir):
     return _cube_rows(cube)
 
 
-def q_streaming_cube(spark, sf_dir):
-    """The cube kept up to date by the streaming job while payroll files land in two rounds."""
-    from ..streaming.cube_stream import read_payroll_stream, start_cube_upkeep
+def _streamed(spark, sf_dir, profile, write, fmt="parquet"):
+    """The cube after payroll files have landed in two rounds; ``write(round, rows, folder)`` lands one."""
+    from ..streaming.cube_stream import read_cube, read_payroll_stream, start_cube_upkeep
 
-    p = STAR_V2020
-    payroll = star.payroll(spark, sf_dir, p.years)
+    payroll = star.payroll(spark, sf_dir, profile.years)
     landing, cube_path, ckpt = (scratch_path(spark, n) for n in ("landing", "stream-cube", "stream-ckpt"))
-    middle = p.years[len(p.years) // 2]
+    middle = profile.years[len(profile.years) // 2]
     for i, part in enumerate((payroll.where(F.col("fiscal_year") < middle), payroll.where(F.col("fiscal_year") >= middle))):
-        part.write.parquet(f"{landing}/round={i}")
-        start_cube_upkeep(read_payroll_stream(spark, f"{landing}/*"), _weights(spark, sf_dir), p, cube_path, ckpt).awaitTermination()
-    return _cube_rows(spark.read.parquet(cube_path))
+        write(i, part, f"{landing}/round={i}")
+        start_cube_upkeep(read_payroll_stream(spark, f"{landing}/*", fmt), _weights(spark, sf_dir), profile, cube_path, ckpt).awaitTermination()
+    return _cube_rows(read_cube(spark, cube_path))
+
+
+def q_streaming_cube(spark, sf_dir):
+    """The cube kept up to date by the streaming job while payroll files land in two rounds."""
+    return _streamed(spark, sf_dir, STAR_V2020, lambda i, rows, folder: rows.write.parquet(folder))
+
+
+def q_streaming_cube_shuffle(spark, sf_dir):
+    """The same with weights too large to broadcast: each batch is summed per name before the lookup."""
+    return _streamed(spark, sf_dir, STAR_V2020.with_(max_broadcast_rows=0), lambda i, rows, folder: rows.write.parquet(folder))
+
+
+def q_streaming_cube_csv(spark, sf_dir):
+    """The same from CSV files with the published header, whose columns stand in another order in the second round."""
+    published = {v: k for k, v in files.PAYROLL_SOURCE_NAMES.items()}
+
+    def write(i, rows, folder):
+        rows = rows.withColumnsRenamed(published).withColumn("Payroll Number", F.lit("x"))
+        write_csv(rows.select(*(reversed(rows.columns) if i else rows.columns)), folder)
+
+    return _streamed(spark, sf_dir, STAR_V2020, write, "csv")
 
 
 def q_append_citywide(spark, sf_dir):
@@ -220,6 +257,16 @@ def q_cpi_month_names(spark, sf_dir):
     return files.read_cpi(spark, path, style="month_name")
 
 
+def q_cpi_two_layouts(spark, sf_dir):
+    """Price-index files whose columns stand in different orders, each read by its own header (S3)."""
+    path = scratch_path(spark, "cpi-layouts")
+    rows = star.cpi_month_names(spark, sf_dir)
+    early = F.col("year") < STAR_V2020.base_year
+    write_csv(rows.where(early), f"{path}/early")
+    write_csv(rows.where(~early).select("value", F.lit("M").alias("period"), "periodName", "year"), f"{path}/late")
+    return files.read_cpi(spark, f"{path}/*", style="month_name")
+
+
 def q_names_csv_source(spark, sf_dir):
     """Headerless name-registration files, columns by position (S2, P2), summed per name and sex."""
     path = scratch_path(spark, "names-csv")
@@ -290,6 +337,13 @@ def q_outer_merge_two_years(spark, sf_dir):
     return outer_merge(first, last, ["title"])
 
 
+def q_outer_merge_years(spark, sf_dir):
+    """NULL-safe full outer merge of every year's title groups in one exchange, one row per key checked."""
+    p = STAR_V2020
+    sizes = group_size_having(_matched(spark, sf_dir), ["fiscal_year", "title"], p.min_group_title)
+    return outer_merge_all([sizes.where(F.col("fiscal_year") == y).select("title", F.col("n").alias(f"n_{y}")) for y in p.years], ["title"])
+
+
 def q_distinct_keys(spark, sf_dir):
     """Distinct agencies of the latest year."""
     p = STAR_V2020
@@ -329,6 +383,23 @@ def q_name_weights_export(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def q_name_weights_csv_parts(spark, sf_dir):
+    """R0 written as several sorted CSV parts with a manifest and read back (K2)."""
+    path = scratch_path(spark, "baby-names-csv")
+    weights = _weights(spark, sf_dir)
+    write_sorted_parts(weights, path, "name", rows_per_part=10)
+    return spark.read.schema(weights.schema).csv(path, header=True, nullValue="NA", escape='"', enforceSchema=False)
+
+
+def q_reports_published(spark, sf_dir):
+    """A report published twice as a whole; the current version is read back (K1)."""
+    path = scratch_path(spark, "published")
+    suite = _suite(spark, sf_dir)
+    for _ in range(2):
+        write_reports({"Overtime_Agency": suite.overtime("agency")}, path, STAR_V2020.city_label, publish=True)
+    return spark.read.csv(f"{published_reports(spark, path)}/Overtime_Agency.csv", header=True, nullValue="NA", escape='"')
+
+
 # -- reports ----------------------------------------------------------------------------------
 
 _GENDER_ROUND = {f"{m}_{y}": 2 for m in ("Male", "Female") for y in range(1990, 2030)}
@@ -420,6 +491,49 @@ def q_overtime_title_chart_kept(spark, sf_dir):
     return ReportSuite(_inputs(spark, sf_dir, p), p).overtime_chart("title")
 
 
+def q_uncommon_names_agency_chart(spark, sf_dir):
+    """R13 for agencies over the threshold only."""
+    return _suite(spark, sf_dir, STAR_V2022).uncommon_names_chart("agency")
+
+
+def q_gender_gap_agency_table_passing(spark, sf_dir):
+    """R3 with a threshold that many agencies of the last year pass."""
+    return _suite(spark, sf_dir, passing(STAR_V2020)).gender_gap_table("agency")
+
+
+def q_overtime_agency_latest_passing(spark, sf_dir):
+    """R9 with a threshold that many agencies of the last year pass."""
+    return _suite(spark, sf_dir, passing(STAR_V2020)).overtime_latest("agency")
+
+
+def _suite_missing(spark, sf_dir, profile):
+    """Reports over a payroll with missing amounts: no salary where no overtime was paid, no overtime below a salary."""
+    inputs = _inputs(spark, sf_dir, profile)
+    salary, overtime = F.col("base_salary"), F.col("total_ot_paid")
+    inputs.payroll = inputs.payroll.withColumns({"base_salary": F.when(overtime != 0, salary), "total_ot_paid": F.when(salary >= 2000, overtime)})
+    return ReportSuite(inputs, profile)
+
+
+def q_gender_gap_agency_missing(spark, sf_dir):
+    """R1 over a payroll with missing amounts: a group with one has no mean."""
+    return _round(_suite_missing(spark, sf_dir, STAR_V2020).gender_gap("agency"), _GENDER_ROUND)
+
+
+def q_gender_gap_agency_lenient(spark, sf_dir):
+    """R1 over the same payroll, missing amounts left out with their weights (N1, lenient)."""
+    return _round(_suite_missing(spark, sf_dir, STAR_V2020.with_(strict_nulls=False)).gender_gap("agency"), _GENDER_ROUND)
+
+
+def q_overtime_title_lenient(spark, sf_dir):
+    """R10 over the same payroll, missing amounts left out (N1, lenient)."""
+    return _suite_missing(spark, sf_dir, STAR_V2020.with_(strict_nulls=False)).overtime("title")
+
+
+def q_uncommon_names_agency_lenient(spark, sf_dir):
+    """R13 over the same payroll, missing amounts left out (N1, lenient)."""
+    return _suite_missing(spark, sf_dir, STAR_V2022.with_(strict_nulls=False)).uncommon_names("agency")
+
+
 QUERIES: dict[str, Query] = {
     "name_sex_counts": q_name_sex_counts,
     "name_spread": q_name_spread,
@@ -472,4 +586,20 @@ QUERIES: dict[str, Query] = {
     "overtime_agency_v2022": q_overtime_agency_v2022,
     "gender_gap_title_table_v2022": q_gender_gap_title_table_v2022,
     "overtime_title_chart_kept": q_overtime_title_chart_kept,
+    "lookup_left_shuffle": q_lookup_left_shuffle,
+    "lookup_matched_only_shuffle": q_lookup_matched_only_shuffle,
+    "name_spread_one_sex": q_name_spread_one_sex,
+    "streaming_cube_shuffle": q_streaming_cube_shuffle,
+    "streaming_cube_csv": q_streaming_cube_csv,
+    "cpi_two_layouts": q_cpi_two_layouts,
+    "outer_merge_years": q_outer_merge_years,
+    "name_weights_csv_parts": q_name_weights_csv_parts,
+    "reports_published": q_reports_published,
+    "uncommon_names_agency_chart": q_uncommon_names_agency_chart,
+    "gender_gap_agency_table_passing": q_gender_gap_agency_table_passing,
+    "overtime_agency_latest_passing": q_overtime_agency_latest_passing,
+    "gender_gap_agency_missing": q_gender_gap_agency_missing,
+    "gender_gap_agency_lenient": q_gender_gap_agency_lenient,
+    "overtime_title_lenient": q_overtime_title_lenient,
+    "uncommon_names_agency_lenient": q_uncommon_names_agency_lenient,
 }

@@ -6,7 +6,7 @@ reference answer the Spark results are checked against.
 
 from __future__ import annotations
 
-from .profiles import CITY_LABEL, STAR_V2020, STAR_V2022, Profile
+from .profiles import CITY_LABEL, STAR_V2020, STAR_V2022, Profile, passing
 
 D = "::DOUBLE"
 
@@ -33,6 +33,15 @@ PAYROLL = """payroll AS (
   JOIN nation n ON s.s_nationkey = n.n_nationkey
 )"""
 
+# The same payroll with amounts missing: no salary where no overtime was paid, no overtime below a salary.
+PAYROLL_MISSING = PAYROLL.replace("payroll AS (", "full_payroll AS (", 1) + """,
+payroll AS (
+  SELECT fiscal_year, agency, title, first_name, pay_basis, leave_status,
+         CASE WHEN total_ot_paid <> 0 THEN base_salary END AS base_salary,
+         CASE WHEN base_salary >= 2000 THEN total_ot_paid END AS total_ot_paid
+  FROM full_payroll
+)"""
+
 NAMES = """names AS (
   SELECT r.r_name AS state,
          CASE WHEN c.c_mktsegment IN ('BUILDING', 'HOUSEHOLD') THEN 'F' ELSE 'M' END AS sex,
@@ -42,6 +51,9 @@ NAMES = """names AS (
   JOIN region r ON n.n_regionkey = r.r_regionkey
 )"""
 
+# Names that carry the market segment: each is registered for one sex only.
+NAMES_ONE_SEX = NAMES.replace("lower(n.n_name) END AS name", "lower(n.n_name) END || ' ' || lower(c.c_mktsegment) AS name", 1)
+
 COUNTS = """counts AS (
   SELECT upper(name) AS name, sex, CAST(sum(count) AS BIGINT) AS count FROM names GROUP BY upper(name), sex
 )"""
@@ -102,6 +114,7 @@ def _sums() -> str:
             f"sum({w}) AS w_{tag}",
             f"sum(CASE WHEN {w} <> 0 THEN {w} * {sal} ELSE 0.0{D} END) AS xw_{tag}",
             f"CAST(sum(CASE WHEN {w} <> 0 AND base_salary IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS bad_{tag}",
+            f"sum(CASE WHEN base_salary IS NOT NULL THEN {w} ELSE 0.0{D} END) AS wv_{tag}",
         ]
     for tag, w in (("c", "Common"), ("u", "Uncommon")):
         parts += [
@@ -112,7 +125,7 @@ def _sums() -> str:
     return ",\n         ".join(parts)
 
 
-DOUBLE_MEASURES = ("w_m", "xw_m", "w_f", "xw_f")
+DOUBLE_MEASURES = ("w_m", "xw_m", "w_f", "xw_f", "wv_m", "wv_f")
 MONEY_MEASURES = ("salary_sum", "ot_sum", "xw_c", "xw_u")
 
 
@@ -158,7 +171,7 @@ def _cents_flag(x: str, part: str = "fiscal_year") -> str:
 
 MEASURE_COLS = [
     "n", "n_salary", "salary_sum", "n_ot", "ot_sum", "w_m", "xw_m", "bad_m", "w_f", "xw_f", "bad_f",
-    "w_c", "xw_c", "bad_c", "w_u", "xw_u", "bad_u",
+    "w_c", "xw_c", "bad_c", "w_u", "xw_u", "bad_u", "wv_m", "wv_f",
 ]
 
 
@@ -192,26 +205,34 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-def _base(p: Profile, unmatched: str) -> list[str]:
-    return [PAYROLL, NAMES, WEIGHTS, CPI, eligible_cte(p), enriched_cte(unmatched)]
+def _base(p: Profile, unmatched: str, payroll: str = PAYROLL) -> list[str]:
+    return [payroll, NAMES, WEIGHTS, CPI, eligible_cte(p), enriched_cte(unmatched)]
 
 
-def _gender_measures() -> str:
-    return (
-        f"{_mean('salary_sum', 'n_salary', 'n')} AS Average, "
-        f"{_weighted('xw_m', 'w_m', 'bad_m')} AS Male, {_weighted('xw_f', 'w_f', 'bad_f')} AS Female"
-    )
+def _salary_mean(strict: bool) -> str:
+    return _mean("salary_sum", "n_salary", "n") if strict else "CASE WHEN n_salary > 0 THEN salary_sum / CAST(n_salary AS DOUBLE) END"
 
 
-def _names_measures() -> str:
-    return (
-        f"{_mean('salary_sum', 'n_salary', 'n')} AS Average, "
-        f"{_weighted('xw_c', 'w_c', 'bad_c')} AS Common, {_weighted('xw_u', 'w_u', 'bad_u')} AS Uncommon"
-    )
+def _gender_measures(strict: bool = True) -> str:
+    if strict:
+        male, female = _weighted("xw_m", "w_m", "bad_m"), _weighted("xw_f", "w_f", "bad_f")
+    else:
+        male, female = _weighted("xw_m", "wv_m", "0"), _weighted("xw_f", "wv_f", "0")
+    return f"{_salary_mean(strict)} AS Average, {male} AS Male, {female} AS Female"
+
+
+def _names_measures(strict: bool = True) -> str:
+    if strict:
+        common, uncommon = _weighted("xw_c", "w_c", "bad_c"), _weighted("xw_u", "w_u", "bad_u")
+    else:
+        common, uncommon = _weighted("xw_c", "(w_c - bad_c)", "0"), _weighted("xw_u", "(w_u - bad_u)", "0")
+    return f"{_salary_mean(strict)} AS Average, {common} AS Common, {uncommon} AS Uncommon"
 
 
-def _ot_measures() -> str:
-    return f"{_mean('ot_sum', 'n_ot', 'n')} AS Average, {_total('ot_sum', 'n_ot', 'n')} AS Total"
+def _ot_measures(strict: bool = True) -> str:
+    if strict:
+        return f"{_mean('ot_sum', 'n_ot', 'n')} AS Average, {_total('ot_sum', 'n_ot', 'n')} AS Total"
+    return f"CASE WHEN n_ot > 0 THEN ot_sum / CAST(n_ot AS DOUBLE) END AS Average, coalesce(ot_sum, 0.0{D}) AS Total"
 
 
 def _restated(x: str) -> str:
@@ -229,12 +250,12 @@ def _wide_select(label: str, cols: dict[str, str], years, round_cols=()) -> str:
     return ", ".join(out)
 
 
-def ratio_wide_sql(p: Profile, grain: str, chart: bool, kind: str) -> str:
+def ratio_wide_sql(p: Profile, grain: str, chart: bool, kind: str, payroll: str = PAYROLL) -> str:
     label = {"agency": "Agency", "title": "Title"}[grain]
     min_group = (p.min_group_agency if grain == "agency" else p.min_group_title) if chart else None
     a, b = ("Male", "Female") if kind == "gender" else ("Common", "Uncommon")
-    meas = _gender_measures() if kind == "gender" else _names_measures()
-    ctes = _base(p, p.unmatched) + [
+    meas = _gender_measures(p.strict_nulls) if kind == "gender" else _names_measures(p.strict_nulls)
+    ctes = _base(p, p.unmatched, payroll) + [
         rolled_cte(grain, min_group, p.city_scope),
         index_cte(p),
         f"""m AS (SELECT fiscal_year, key, is_citywide, {meas} FROM rolled)""",
@@ -250,13 +271,13 @@ def ratio_wide_sql(p: Profile, grain: str, chart: bool, kind: str) -> str:
     return _with(*ctes) + f"SELECT {_wide_select(label, cols, p.years, rnd)} FROM g GROUP BY key, is_citywide"
 
 
-def overtime_wide_sql(p: Profile, grain: str, chart: bool) -> str:
+def overtime_wide_sql(p: Profile, grain: str, chart: bool, payroll: str = PAYROLL) -> str:
     label = {"agency": "Agency", "title": "Title"}[grain]
     min_group = (p.min_group_agency if grain == "agency" else p.min_group_title) if chart else None
-    ctes = _base(p, p.unmatched) + [
+    ctes = _base(p, p.unmatched, payroll) + [
         rolled_cte(grain, min_group, p.city_scope),
         index_cte(p),
-        f"""m AS (SELECT fiscal_year, key, is_citywide, {_ot_measures()} FROM rolled)""",
+        f"""m AS (SELECT fiscal_year, key, is_citywide, {_ot_measures(p.strict_nulls)} FROM rolled)""",
         f"""r AS (
   SELECT m.fiscal_year, key, is_citywide, {_restated('Average')} AS Average, {_restated('Total')} AS Total
   FROM m JOIN idx i ON m.fiscal_year = i.fiscal_year
@@ -303,8 +324,8 @@ FROM m"""
 def _cube_sql(p: Profile, unmatched: str) -> str:
     ctes = _base(p, unmatched)
     sel = _sums()
-    return _with(*ctes) + f"""SELECT fiscal_year, agency, title, {', '.join(c for c in MEASURE_COLS if c not in ('w_m', 'w_f', 'xw_m', 'xw_f'))},
-  round(w_m, 6) AS w_m, round(w_f, 6) AS w_f, round(xw_m, 4) AS xw_m, round(xw_f, 4) AS xw_f
+    return _with(*ctes) + f"""SELECT fiscal_year, agency, title, {', '.join(c for c in MEASURE_COLS if c not in DOUBLE_MEASURES)},
+  round(wv_m, 6) AS wv_m, round(wv_f, 6) AS wv_f, round(w_m, 6) AS w_m, round(w_f, 6) AS w_f, round(xw_m, 4) AS xw_m, round(xw_f, 4) AS xw_f
 FROM (SELECT fiscal_year, agency, title, {sel} FROM enriched GROUP BY fiscal_year, agency, title)"""
 
 
@@ -372,6 +393,13 @@ GROUP BY key"""
     sql["outer_merge_two_years"] = _with(*_base(p, "drop"), sizes) + f"""SELECT coalesce(a.title, b.title) AS title, a.n AS n_first, b.n AS n_last
 FROM (SELECT title, n FROM sizes WHERE fiscal_year = {min(p.years)}) a
 FULL OUTER JOIN (SELECT title, n FROM sizes WHERE fiscal_year = {max(p.years)}) b ON a.title IS NOT DISTINCT FROM b.title"""
+    years = list(p.years)
+    merged = f"(SELECT title, n AS n_{years[0]} FROM sizes WHERE fiscal_year = {years[0]})"
+    for i, y in enumerate(years[1:], 1):
+        have = ", ".join(f"a.n_{x}" for x in years[:i])
+        merged = f"""(SELECT coalesce(a.title, b.title) AS title, {have}, b.n AS n_{y}
+  FROM {merged} a FULL OUTER JOIN (SELECT title, n FROM sizes WHERE fiscal_year = {y}) b ON a.title IS NOT DISTINCT FROM b.title)"""
+    sql["outer_merge_years"] = _with(*_base(p, "drop"), sizes) + f"SELECT * FROM {merged}"
     sql["distinct_keys"] = _with(PAYROLL, eligible_cte(p)) + f"SELECT DISTINCT agency FROM eligible WHERE fiscal_year = {p.base_year}"
     sql["csv_round_trip"] = sql["eligible_filter"]
     sql["payroll_csv_source"] = _with(PAYROLL) + "SELECT * FROM payroll"
@@ -389,4 +417,21 @@ FULL OUTER JOIN (SELECT title, n FROM sizes WHERE fiscal_year = {max(p.years)})
     sql["overtime_agency_v2022"] = overtime_wide_sql(p2, "agency", False)
     sql["gender_gap_title_table_v2022"] = gender_table_sql(p2, "title")
     sql["overtime_title_chart_kept"] = overtime_wide_sql(p.with_(city_scope="kept"), "title", True)
+    # Lookups and cubes by their other paths.
+    sql["lookup_left_shuffle"] = sql["lookup_left"]
+    sql["lookup_matched_only_shuffle"] = sql["lookup_matched_only"]
+    sql["streaming_cube_shuffle"] = sql["streaming_cube_csv"] = sql["measure_cube"]
+    sql["cpi_two_layouts"] = sql["cpi_month_names"]
+    sql["name_weights_csv_parts"] = sql["name_weights"]
+    sql["reports_published"] = sql["overtime_agency"]
+    sql["name_spread_one_sex"] = _with(NAMES_ONE_SEX, COUNTS) + sql["name_spread"][sql["name_spread"].rindex("SELECT name,"):]
+    low = passing(p)
+    sql["gender_gap_agency_table_passing"] = gender_table_sql(low, "agency")
+    sql["overtime_agency_latest_passing"] = overtime_latest_sql(low, "agency")
+    sql["uncommon_names_agency_chart"] = ratio_wide_sql(p2, "agency", True, "names")
+    lenient, lenient2 = p.with_(strict_nulls=False), p2.with_(strict_nulls=False)
+    sql["gender_gap_agency_missing"] = ratio_wide_sql(p, "agency", False, "gender", PAYROLL_MISSING)
+    sql["gender_gap_agency_lenient"] = ratio_wide_sql(lenient, "agency", False, "gender", PAYROLL_MISSING)
+    sql["overtime_title_lenient"] = overtime_wide_sql(lenient, "title", False, PAYROLL_MISSING)
+    sql["uncommon_names_agency_lenient"] = ratio_wide_sql(lenient2, "agency", False, "names", PAYROLL_MISSING)
     return sql

@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import TypeVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import gap
@@ -44,27 +44,25 @@ class Inputs:
     cpi: DataFrame
 
 
-def measures(rolled: DataFrame, kind: str) -> DataFrame:
-    """Report measures from summed cube measures, per row of :func:`rollup`."""
+def measures(rolled: DataFrame, kind: str, strict: bool = True) -> DataFrame:
+    """Report measures from summed cube measures, per row of :func:`rollup`; ``strict``: see ``Profile.strict_nulls``."""
     base = [F.col("fiscal_year"), F.col("key"), F.col("is_citywide"), F.col("n")]
-    salary_mean = mean_from_sums(F.col("salary_sum"), F.col("n_salary"), F.col("n")).alias("Average")
+    salary_mean = mean_from_sums(F.col("salary_sum"), F.col("n_salary"), F.col("n"), strict).alias("Average")
+
+    def weighted(tag: str) -> Column:
+        total, weight, missing = F.col(f"xw_{tag}"), F.col(f"w_{tag}"), F.col(f"bad_{tag}")
+        if strict:
+            return weighted_from_sums(total, weight, missing)
+        # The weights of rows with an amount; those of common and uncommon names are counts.
+        return weighted_from_sums(total, F.col(f"wv_{tag}") if tag in "mf" else weight - missing, F.lit(0))
+
     if kind == "gender":
-        cols = [
-            salary_mean,
-            weighted_from_sums(F.col("xw_m"), F.col("w_m"), F.col("bad_m")).alias("Male"),
-            weighted_from_sums(F.col("xw_f"), F.col("w_f"), F.col("bad_f")).alias("Female"),
-        ]
+        cols = [salary_mean, weighted("m").alias("Male"), weighted("f").alias("Female")]
     elif kind == "overtime":
-        cols = [
-            mean_from_sums(F.col("ot_sum"), F.col("n_ot"), F.col("n")).alias("Average"),
-            total_from_sums(F.col("ot_sum"), F.col("n_ot"), F.col("n")).alias("Total"),
-        ]
+        amounts = F.col("ot_sum"), F.col("n_ot"), F.col("n")
+        cols = [mean_from_sums(*amounts, strict).alias("Average"), total_from_sums(*amounts, strict).alias("Total")]
     elif kind == "names":
-        cols = [
-            salary_mean,
-            weighted_from_sums(F.col("xw_c"), F.col("w_c"), F.col("bad_c")).alias("Common"),
-            weighted_from_sums(F.col("xw_u"), F.col("w_u"), F.col("bad_u")).alias("Uncommon"),
-        ]
+        cols = [salary_mean, weighted("c").alias("Common"), weighted("u").alias("Uncommon")]
     else:
         raise ValueError(f"unknown measure kind {kind!r}")
     return rolled.select(*base, *cols)
@@ -136,7 +134,7 @@ class ReportSuite:
             city_scope=p.city_scope,
             city_label=p.city_label,
         )
-        out = measures(rolled, kind)
+        out = measures(rolled, kind, p.strict_nulls)
         if restated:
             money = {"gender": GENDER, "overtime": OVERTIME, "names": NAMES}[kind]
             out = restate_columns(out, index, money)
@@ -161,9 +159,16 @@ class ReportSuite:
 
     def uncommon_names(self, grain: str = "agency") -> DataFrame:
         """Per year Average, Common, Uncommon (restated) and Gap = (C-U)/(C+U) as text."""
+        return self._names_wide(grain, chart=False)
+
+    def uncommon_names_chart(self, grain: str = "agency") -> DataFrame:
+        """As R13, keys with more rows than the threshold only."""
+        return self._names_wide(grain, chart=True)
+
+    def _names_wide(self, grain: str, chart: bool) -> DataFrame:
         if self.profile.unmatched != UNMATCHED_ZERO:
             raise ValueError("uncommon-name reports need a profile that keeps unmatched names")
-        return self._ratio_wide("names", grain, chart=False)
+        return self._ratio_wide("names", grain, chart)
 
     def _overtime_wide(self, grain: str, chart: bool) -> DataFrame:
         long = self.long("overtime", grain, chart)
@@ -209,6 +214,7 @@ class ReportSuite:
             out[f"Overtime_{label}_{latest}_chart"] = lambda g=grain: self.overtime_latest(g)
         if self.profile.unmatched == UNMATCHED_ZERO:
             out["Uncommon_Names_Agency"] = lambda: self.uncommon_names("agency")
+            out["Uncommon_Names_Agency_chart"] = lambda: self.uncommon_names_chart("agency")
         return out
 
     def long_tables(self) -> dict[str, DataFrame]:

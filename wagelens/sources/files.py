@@ -7,12 +7,14 @@ the job (``FAILFAST``); ``NA`` is the missing-value text.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.joins import bounded_broadcast
 
 # Header names of the published payroll file and the canonical names they map to.
 PAYROLL_SOURCE_NAMES = {
@@ -81,6 +83,75 @@ def header_candidates(canonical: str) -> list[str]:
     return out
 
 
+# Lines of CSV files and the place they come from.
+LINE_COLUMNS = ["line", "file", "block"]
+MAX_LAYOUTS = 100  # different headers among the files of one read
+MAX_FILES = 1_000_000  # files whose header is looked up, where headers differ
+
+
+def with_places(lines: DataFrame) -> DataFrame:
+    """Lines of a text source (batch or stream) with their file and the start of the block they were read in."""
+    return lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def are_lines(df: DataFrame) -> bool:
+    return df.columns == LINE_COLUMNS
+
+
+def _picked(row: Column, place: dict[str, int]) -> Column:
+    """The wanted fields of a parsed line, which is computed once."""
+    return F.get(F.transform(F.array(row), lambda r: F.struct(*[r[f"c{i}"].alias(c) for c, i in place.items()])), F.lit(0))
+
+
+def fields_by_header(lines: DataFrame, wanted: dict[str, Sequence[str]]) -> DataFrame:
+    """Text columns named as the keys of ``wanted`` from CSV lines (``with_places``), each file read by its own header.
+
+    The header is a file's first line; a field goes to the column whose accepted names (``wanted``)
+    hold its header, wherever it stands. A file that lacks a wanted column, or has it twice, is an error,
+    as is a line with more or fewer fields than its header. Empty lines and repeated headers are
+    passed over, an empty field is NULL. Fields may be quoted but not hold line breaks, as lines are
+    read apart. Files with one common header are read without any join; otherwise the layout of
+    each file is broadcast, one row a file.
+    """
+    first = lines.where(F.col("block") == 0).select("file", "line", F.monotonically_increasing_id().alias("at"))
+    first = first.groupBy("file").agg(F.min_by("line", "at").alias("header"))
+    headers = [r.header for r in first.select("header").distinct().limit(MAX_LAYOUTS + 1).collect()]
+    if len(headers) > MAX_LAYOUTS:
+        raise ValueError(f"more than {MAX_LAYOUTS} different headers in the files of one read")
+    if not headers:
+        return lines.select(*[F.lit(None).cast("string").alias(c) for c in wanted]).where(F.lit(False))
+    parsed, headers = None, sorted(headers)
+    for k, header in enumerate(headers):
+        names = next(csv.reader([header.lstrip("\ufeff")]), [])
+        place = {}
+        for field, accepted in wanted.items():
+            found = [i for i, name in enumerate(names) if name in accepted]
+            if len(found) != 1:
+                raise ValueError(f"{'no column' if not found else 'more than one column'} for {field!r} (of {list(accepted)}) in the header {header!r}")
+            place[field] = found[0]
+        schema = ", ".join(f"c{i} string" for i in range(len(names)))
+        row = F.from_csv("line", schema, {"mode": "FAILFAST", "nullValue": NO_TEXT, "escape": '"'})
+        row = _picked(row, place)
+        parsed = F.when(F.col("layout") == k, row) if parsed is None else parsed.when(F.col("layout") == k, row)
+    if len(headers) == 1:
+        rows = lines.withColumn("layout", F.lit(0))
+    else:
+        layouts = lines.sparkSession.createDataFrame(list(enumerate(headers)), "layout int, header string")
+        of_file = bounded_broadcast(first.join(F.broadcast(layouts), "header").select(F.col("file").alias("__file"), "layout"), MAX_FILES)
+        if of_file is None:
+            raise ValueError(f"more than {MAX_FILES} files with different headers in one read")
+        rows = lines.join(of_file, F.col("file") == F.col("__file"))
+    head = F.element_at(F.lit(headers), F.col("layout") + 1)
+    rows = rows.where(~((F.col("block") == 0) & (F.col("line") == head)) & (F.trim("line") != ""))
+    return rows.select(parsed.alias("p")).select("p.*")
+
+
+def payroll_from_lines(lines: DataFrame) -> DataFrame:
+    """Canonical payroll rows from lines of CSV files, each read by its own header."""
+    text = fields_by_header(lines, {f.name: header_candidates(f.name) for f in schemas.PAYROLL.fields})
+    return text.select([_field(F.col(f.name), f.dataType).alias(f.name) for f in schemas.PAYROLL.fields])
+
+
 def read_names(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Headerless name-registration files ``state,sex,year,name,count``.
 
@@ -120,10 +191,11 @@ def cpi_from_periods(df: DataFrame) -> DataFrame:
 def read_cpi(spark: SparkSession, path: str, style: str = "period") -> DataFrame:
     """Read a price-index CSV in either published style and return ``year, month, value``."""
     if style == "month_name":
-        # Columns by header name (such files carry more columns: period code, footnotes, ...);
-        # read as text, no inference, and cast the three that are used.
-        raw = spark.read.csv(path, header=True, mode="FAILFAST", inferSchema=False)
-        return cpi_from_month_names(raw.select("year", "periodName", "value"))
+        # Columns by each file's own header (such files carry more columns: period code, footnotes,
+        # ..., and not always in one order); no inference, and the three that are used are cast.
+        raw = fields_by_header(with_places(spark.read.text(path)), {c: [c] for c in ("year", "periodName", "value")})
+        number = lambda c: F.when(~F.col(c).isin("", "NA"), F.col(c)).alias(c)
+        return cpi_from_month_names(raw.select(number("year"), "periodName", number("value")))
     if style == "period":
         # Columns by position: the header of the value column is never looked at.
         raw = spark.read.schema(schemas.CPI_PERIOD).csv(

@@ -93,8 +93,11 @@ def payroll(
     )
 
 
-def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name-registration rows (``state, sex, year, name, count``) from customer, nation, region."""
+def names(spark: SparkSession, sf_dir: str, by_segment: bool = False) -> DataFrame:
+    """Name-registration rows (``state, sex, year, name, count``) from customer, nation, region.
+
+    ``by_segment`` adds the market segment to the name, so that each is registered for one sex only.
+    """
     cust = _table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment")
     nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = _table(spark, sf_dir, "region").select("r_regionkey", "r_name")
@@ -102,13 +105,16 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
         cust.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     )
+    # Registrations are written in lower case; those of one region under another spelling, so
+    # that payroll names without a registration come from the data.
+    name = F.when(F.col("r_name") == "ASIA", F.concat(F.lit("de "), F.lower("n_name"))).otherwise(F.lower("n_name"))
+    if by_segment:
+        name = F.concat(name, F.lit(" "), F.lower("c_mktsegment"))
     return rows.select(
         F.col("r_name").alias("state"),
         F.when(F.col("c_mktsegment").isin("BUILDING", "HOUSEHOLD"), F.lit("F")).otherwise(F.lit("M")).alias("sex"),
         F.lit(0).alias("year"),
-        # Registrations are written in lower case; those of one region under another spelling, so
-        # that payroll names without a registration come from the data.
-        F.when(F.col("r_name") == "ASIA", F.concat(F.lit("de "), F.lower("n_name"))).otherwise(F.lower("n_name")).alias("name"),
+        name.alias("name"),
         F.lit(1).cast("long").alias("count"),
     )
 
