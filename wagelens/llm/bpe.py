@@ -164,9 +164,8 @@ def word_ids(maps: Column, word: Column) -> Column:
 
 
 def fold_words(ranks: dict[bytes, int], rows: DataFrame) -> DataFrame:
-    """Adds the ids of each of the row's distinct words."""
-    maps = rank_map(ranks)
-    return rows.withColumn("ids", F.transform("words", lambda w: word_ids(maps, w)))
+    """Adds the ids of each of the row's distinct words. The map stands once in the plan, bound to a variable."""
+    return rows.withColumn("ids", let(rank_map(ranks), lambda maps: F.transform("words", lambda w: word_ids(maps, w))))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
