@@ -146,7 +146,7 @@ def test_pipeline_on_odd_rows(spark, docs, table):
     items = spark.createDataFrame([(0, ITEM), (1, None), (1, "")], "item_id long, text string")
     folder = table(documents=docs(rows), labels=none, benchmark=items)
     got = corpus_pipeline.run(spark, folder).collect()
-    assert {(r.doc_id, r.text) for r in got} == plain_pipeline(rows, ITEM) and len(got) == len({r.doc_id for r in got})
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(plain_pipeline(rows, ITEM))
     assert all(r.n_tokens == len(r.ids) for r in got)
 
 
