@@ -98,16 +98,17 @@ def test_hot_and_null_ids_fill_several_files(spark, docs):
     assert sorted(r.start for r in done) == list(np.cumsum([0, *[r.n_tokens for r in sorted(done, key=lambda r: r.start)][:-1]]))
 
 
-def test_remembered_words_are_bounded(spark, monkeypatch):
+@pytest.mark.parametrize("added", [(), ("<|endoftext|>", "<|startoftext|>")])
+def test_remembered_words_are_bounded(added):
     from tokenizers import Tokenizer
 
     file = public_tokenizers.path("word_bpe_49k.json")
-    known, whole = token_files.WordIds(file, 5), Tokenizer.from_file(file)
-    for words in (["a", "bc", "def"], ["bc", "gh"], ["x", "y", "z", "bc"], ["q"] , [f"w{i}" for i in range(20)], ["a"]):
+    known, whole = token_files.WordIds(file, 5, added), Tokenizer.from_file(file)
+    for words in (["a", "bc", "def"], ["bc", "gh"], ["x", "y", "z", "bc"], ["q"], [f"w{i}" for i in range(20)], ["a"], ["é.b", "<|endoftext|>", "x<|EndOfText|>y", "中", "<|", "||>", "''", "\u200b", "a\u0301"]):
         at = known.of(pa.array(words, pa.large_string()))
         got = [list(known.values[known.ends[i] : known.ends[i + 1]]) for i in at]
         assert got == [whole.encode(w, add_special_tokens=False).ids for w in words]
-        assert len(known.words) <= max(5, len(words))
+        assert len(known.place) <= max(5, len(words))
 
 
 PROSE = "One line of a text that is about nothing, with words enough to have runs of five of them in it; and then it ends."

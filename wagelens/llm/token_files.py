@@ -8,8 +8,8 @@ stripes are read in parallel. Reading back, a document's start is its file's fir
 over one row per file) plus its offset.
 
 Scale. Texts are encoded where they are read, a few MB at a time; what is shuffled is the packed ids,
-once. A tokenizer is slow and words repeat, so a task encodes a distinct word once and remembers up to
-``REMEMBERED``: for this tokenizer white space separates words and is dropped, and a mark after a
+once. A tokenizer is slow and words repeat, so a worker process encodes a distinct word once and remembers
+up to ``REMEMBERED``: for this tokenizer white space separates words and is dropped, and a mark after a
 letter or digit begins a new piece, so the ids of a text are those of its pieces, one after the other.
 Pieces are put into lower case, as the tokenizer does, to have fewer distinct ones; an added token's
 spelling in any case is left as it is, because the tokenizer looks for added tokens in the raw text.
@@ -37,7 +37,7 @@ from .wordbatch import Words, by_bytes, ragged
 
 END_ID = 2
 MARKS = b".,;:!?"
-REMEMBERED = 300_000  # words of a task with their ids
+REMEMBERED = 750_000  # words of a worker process with their ids, some 150 MB
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.create.index": "true",
@@ -57,35 +57,75 @@ def added_tokens(tokenizer_file: str) -> tuple[str, ...]:
 class WordIds:
     """The ids of words; those of the words seen last are remembered, at most ``limit`` and one slice's."""
 
-    def __init__(self, tokenizer_file: str, limit: int):
+    def __init__(self, tokenizer_file: str, limit: int, added: tuple[str, ...] = ()):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_file), limit
+        self.tokenizer, self.limit, self.added = Tokenizer.from_file(tokenizer_file), limit, added
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.values, self.ends = pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def learn(self, words: pa.Array) -> None:
-        for lo in range(0, len(words), 5000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[lo : lo + 5000].to_pylist(), add_special_tokens=False)]
-            self.values = np.concatenate([self.values, *[np.array(x, np.int32) for x in found]])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])])
-        self.words = pa.concat_arrays([self.words, words])
+        self.place: dict[str, int] = {}
+        self.values, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def of(self, words: pa.Array) -> np.ndarray:
-        """Where each of the distinct ``words`` stands among the remembered ones."""
-        at = pc.index_in(words, value_set=self.words)
-        if at.null_count:
-            if len(self.words) + at.null_count > self.limit:
+        """Where the ids of each of the distinct ``words`` stand: entry i is ``values[ends[i]:ends[i + 1]]``."""
+        names = words.to_pylist()
+        at = np.fromiter((self.place.get(x, -1) for x in names), np.int64, len(names))
+        if (at < 0).any():
+            if len(self.place) + int((at < 0).sum()) > self.limit:
                 self.forget()
-                at = pc.index_in(words, value_set=self.words)
-            self.learn(words.filter(at.is_null()))
-            at = pc.index_in(words, value_set=self.words)
-        return at.to_numpy().astype(np.int64)
+                at[:] = -1
+            new = np.flatnonzero(at < 0)
+            self.learn([names[i] for i in new])
+            at[new] = [self.place[names[i]] for i in new]
+        return at
+
+    def learn(self, words: list[str]) -> None:
+        # Words that hold an added token's spelling stand alone.
+        alone = [w for w in words if any(x.lower() in w.lower() for x in self.added)] if self.added else []
+        held = set(alone)
+        rest = [w for w in words if w not in held]
+        parts = [(self.together, rest[lo : lo + 20_000]) for lo in range(0, len(rest), 20_000)]
+        values, counts = [self.values], []
+        for encode, some in [*parts, (self.apart, alone)]:
+            if some:
+                ids, n = encode(some)
+                values.append(ids)
+                counts.append(np.asarray(n, np.int64))
+                self.place.update(zip(some, range(len(self.place), len(self.place) + len(some)), strict=True))
+        self.values = np.concatenate(values)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
+
+    def apart(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.int32), [len(x) for x in found]
+
+    def together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray | list[int]]:
+        """The words as one text with an added token between each two, at which tokenizers cut a text first."""
+        mark = next((self.tokenizer.token_to_id(x) for x in self.added), None)
+        if mark is None:
+            return self.apart(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([self.added[0].join(words)], add_special_tokens=False)[0].ids, np.int32)
+        cuts = np.flatnonzero(ids == mark)
+        if len(cuts) != len(words) - 1:
+            return self.apart(words)
+        return ids[ids != mark], np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+
+
+def remembered(tokenizer_file: str, added: tuple[str, ...]) -> WordIds:
+    """The words of this worker process, which outlives a task: kept with the tokenizers library, for one file at a time."""
+    import os
+
+    import tokenizers
+
+    kept, name = vars(tokenizers).setdefault("_words_of_this_worker", {}), (tokenizer_file, os.stat(tokenizer_file).st_mtime_ns, added)
+    if name not in kept:
+        kept.clear()
+        kept[name] = WordIds(tokenizer_file, REMEMBERED, added)
+    return kept[name]
 
 
 def packed_ids(end_id: int, ids: pa.ListArray) -> pa.Table:
@@ -107,7 +147,7 @@ def encode(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFr
     keep = added_tokens(tokenizer_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place = WordIds(tokenizer_file, REMEMBERED), 0
+        known, place = remembered(tokenizer_file, keep), 0
         for whole in batches:
             for b in by_bytes(whole, "text"):
                 w = Words(b.column("text"), marks=MARKS, keep=keep)
