@@ -36,7 +36,7 @@ from .common import documents, scratch_path, texts
 from .wordbatch import Words, by_bytes, ragged
 
 END_ID = 2
-MARKS = b".,;:!?"
+MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"  # ASCII punctuation but the apostrophe and what added tokens begin and end with
 REMEMBERED = 750_000  # words of a worker process with their ids, some 150 MB
 ORC_OPTIONS = {
     "compression": "zstd",
