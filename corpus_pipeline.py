@@ -4,6 +4,14 @@
 checkpoint folder and reread, so a lost executor costs at most the stage that is running. All stages
 but the last return the columns of ``documents``; the last returns doc_id, n_tokens, ids and the text
 decoded from the ids.
+
+Defined cases: a null text counts as empty; empty texts are equal to each other, so one of them stays,
+which near_dedup then keeps alone and the last stage gives no ids. A null doc_id is smaller than any
+other in exact_dedup, larger in near_dedup, and stays null. Of rows repeated with one doc_id and text
+one stays; rows of one doc_id with different texts are judged apart. Texts that tie stay by doc_id:
+the largest of equal ones, the smallest of near ones. Very long texts are taken whole, each by one task.
+Without labels the classifier accepts all, without benchmark items nothing is contaminated, and empty
+tables give no rows. Further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
