@@ -33,6 +33,12 @@ def test_pieces_and_words_of_any_text(texts):
         assert [[names[c] for c in got.codes[a:b]] for a, b in zip(got.offsets[:-1], got.offsets[1:], strict=True)] == [regex.findall(rule, t) for t in texts]
 
 
+def test_buckets_are_those_of_the_engine(spark):
+    keys = ["", "A", "41", "AB", "ABC", "ABCD", "0123456789ABCDEF", "E4B8ADE69687", "FF" * 33]
+    rows = spark.createDataFrame([(k,) for k in keys], "k string").selectExpr("k", f"hash(k) & {bpe.BUCKETS - 1} as h")
+    assert {r.k: r.h for r in rows.collect()} == {k: bpe._bucket(k) for k in keys}
+
+
 def test_byte_bpe(spark, docs, table):
     tiktoken = pytest.importorskip("tiktoken")
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))

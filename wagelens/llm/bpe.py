@@ -4,7 +4,7 @@ Method. A text is cut into pieces by the tokenizer's pattern; each distinct piec
 encoded once (see ``vocab`` for how words and their ids travel). A piece is an array of byte strings
 (in hexadecimal); Spark's ``aggregate`` folds merges over it: each step joins the leftmost adjacent
 pair of the lowest rank, until no pair has a rank. Ranks come from a literal map that stands in the
-plan, cut into ``BUCKETS`` small maps by a checksum because Spark searches a map from its start.
+plan, cut into ``BUCKETS`` small maps by a hash because Spark searches a map from its start.
 Decoding looks up each id's bytes in a literal array and concatenates them.
 
 Scale. The rank file is bounded (the vocabulary's size is checked); it is the only thing in the plan.
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import json
-import zlib
 from functools import partial
 
 import numpy as np
@@ -106,7 +105,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _bucket(key: str) -> int:
-    return zlib.crc32(key.encode()) % BUCKETS
+    """What Spark's ``hash`` gives for an ASCII text, cut to the buckets: Murmur3 of its words of four bytes, then of its last bytes one by one."""
+    data, mask = key.encode(), 0xFFFFFFFF
+    whole = len(data) & ~3
+    blocks = [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)] + list(data[whole:])
+    h = 42
+    for k in blocks:
+        k = k * 0xCC9E2D51 & mask
+        h ^= ((k << 15 | k >> 17) & mask) * 0x1B873593 & mask
+        h = ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    return (h ^ h >> 16) & BUCKETS - 1
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
@@ -115,13 +126,13 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     for token, rank in ranks.items():
         key = token.hex().upper()
         maps[_bucket(key)][key] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
+    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,bigint>>")
 
 
 def rank_of(maps: Column, key: Column) -> Column:
     """Rank of a byte string given in hexadecimal, or NO_RANK."""
-    bucket = F.get(maps, (F.crc32(key.cast("binary")) % BUCKETS).cast("int"))
-    return F.coalesce(F.try_element_at(bucket, key).cast("long"), F.lit(NO_RANK).cast("long"))
+    bucket = F.get(maps, F.hash(key).bitwiseAND(BUCKETS - 1))
+    return F.coalesce(F.try_element_at(bucket, key), F.lit(NO_RANK).cast("long"))
 
 
 def let(value: Column, use) -> Column:
@@ -191,6 +202,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256).alias("ids_sha256"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
     )

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .wordbatch import ragged, word_hashes
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 BLOCKS_PER_BUCKET = 2
 
 #: text array -> object with codes, offsets, uniques
