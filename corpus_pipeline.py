@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from wagelens.llm import bpe, decontaminate, exact_dedup, near_dedup, quality
 from wagelens.llm.common import documents, stored
 
+#: Of texts in a block of the last stage; the executors still hold what the stages before made them load.
+BLOCK_BYTES = 3 << 20
+
 #: The stages hold decisions that SQL can't express (a trained classifier, a tokenizer).
 ORACLE_SQL = None
 
@@ -51,7 +54,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    rows = bpe.encode(docs, ranks)
+    rows = bpe.encode(docs, ranks, BLOCK_BYTES)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.decode(F.col("ids"), ranks).cast("string").alias("text"))
 
 

@@ -1,6 +1,7 @@
 """The discriminant against plain numpy, files of hot doc_ids, and the pipeline on odd rows against plain Python."""
 
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +9,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from wagelens.llm import decontaminate, quality, token_files
+from wagelens.llm import bpe, decontaminate, quality, token_files
 from wagelens.llm.wordbatch import by_bytes
 from wagelens.session import scratch_path
 
@@ -164,3 +165,21 @@ def test_stages_keep_columns_and_take_null_ids(spark, docs, table):
             assert found <= set(rows) and (len(rows) == 0) == (len(found) == 0)
         assert len(corpus_pipeline.STAGES[-1][1](spark, frame, folder).collect()) == len(rows)
     assert {r.doc_id for r in decontaminate.keep_clean(docs(ROWS), items).collect()} == {i for i, _ in ROWS} - {7}
+
+
+def test_memory_of_the_classifier_and_blocks_of_the_last_stage(spark):
+    texts = pa.array([" ".join(f"{TEXTS[2]} w{i}-{j}" for j in range(20)) for i in range(5000)])
+    assert texts.nbytes > 6 << 20
+    few = texts.slice(100, 300)
+    assert quality.sliced_features(few, 5000) == pytest.approx(quality.features(few))
+    assert quality.sliced_features(texts.slice(0, 0)).shape == (0, len(quality.FEATURES))
+    tracemalloc.start()
+    try:
+        quality.sliced_features(texts)
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, None])], "doc_id long, text string")
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    got, want = ({r.doc_id: r.ids for r in bpe.encode(rows, ranks, size).collect()} for size in (40, bpe.BLOCK_BYTES))
+    assert got == want and len(got) == len(TEXTS) + 1 and corpus_pipeline.BLOCK_BYTES < bpe.BLOCK_BYTES

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, texts
-from .vocab import encoded
+from .vocab import BLOCK_BYTES, encoded
 from .wordbatch import coded, text_bytes
 
 BUCKETS = 1 << 14
@@ -179,9 +179,9 @@ def fold_words(ranks: dict[bytes, int], rows: DataFrame) -> DataFrame:
     return rows.withColumn("ids", let(rank_map(ranks), lambda maps: F.transform("words", lambda w: word_ids(maps, w))))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """doc_id, ids (array<int>) of every row."""
-    return encoded(texts(docs), Pieces, partial(fold_words, ranks))
+def encode(docs: DataFrame, ranks: dict[bytes, int], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, ids (array<int>) of every row. Smaller blocks take less memory, larger ones repeat fewer words."""
+    return encoded(texts(docs), Pieces, partial(fold_words, ranks), block_bytes)
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:

@@ -6,7 +6,7 @@ sums over all labelled training rows; each class covariance is shrunk towards th
 that towards a multiple of the identity. The score is the logistic of the difference of the two
 Mahalanobis log densities, taken with Cholesky factors that are computed once and cached.
 
-Scale. Statistics are computed where the text is read, a few MB of texts at a time; what is stored and
+Scale. Statistics are computed where the text is read, about a MB of texts at a time; what is stored and
 joined with the labels is one row of numbers per document. The sums are one aggregate with partial
 sums; the driver sees two small matrices. Every labelled row whose fold is not held out is used.
 
@@ -39,6 +39,7 @@ RIDGE = 0.02  # weight of the scaled identity
 THRESHOLD = 0.3
 FOLDS = 5
 FLOOR = 1e-3
+SLICE_BYTES = 1 << 20  # of texts whose words are held at a time
 
 
 def word_stats(words: pa.Array) -> np.ndarray:
@@ -100,14 +101,19 @@ def features(texts_: pa.Array) -> np.ndarray:
     )
 
 
+def sliced_features(texts_: pa.Array, limit: int = SLICE_BYTES) -> np.ndarray:
+    """``features``, taken of about ``limit`` bytes of texts at a time (or one text): what stands beside a batch is bounded."""
+    batch = pa.RecordBatch.from_arrays([texts_], ["text"])
+    return np.concatenate([np.zeros((0, len(FEATURES))), *[features(b.column(0)) for b in by_bytes(batch, 0, limit)]])
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the features of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in by_bytes(whole, 1):
-                x = features(b.column(1))
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, k]) for k in range(x.shape[1])]], ["doc_id", *FEATURES])
+        for b in batches:
+            x = sliced_features(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, k]) for k in range(x.shape[1])]], ["doc_id", *FEATURES])
 
     return texts(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
 
@@ -191,9 +197,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
 
     @F.arrow_udf("double")
     def score(texts_: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([texts_], ["text"])
-        parts = [model.score(features(b.column(0))) for b in by_bytes(batch, 0)]
-        return pa.array(np.concatenate([np.zeros(0), *parts]))
+        return pa.array(model.score(sliced_features(texts_)))
 
     return docs.where(score(text_or_empty(docs)) >= THRESHOLD)
 
