@@ -149,3 +149,21 @@ def test_substrings(spark, docs, hot):
     got = substring_dedup.remove_repeats(docs(rows), hot=hot, block_bytes=300, shard_segments=5).collect()
     assert sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept) for r in got) == sorted(want)
     assert substring_dedup.remove_repeats(docs([])).collect() == []
+
+
+def test_anchors_are_found_once_and_counted_by_block(spark, docs):
+    line = " ".join(str(i) for i in range(40))
+    rows = [(i, f"a{i} {line} b{i} " * 3) for i in range(20)]
+    packed, blocks = substring_dedup.in_blocks(substring_dedup.texts(docs(rows)), 2000)
+    assert blocks > 3
+    anchors = substring_dedup.find_anchors(packed, 35, 16)
+    found = anchors.collect()
+    assert len({(r.gram, r.block) for r in found}) == len(found)
+    places = {}
+    for r in found:
+        places[r.gram] = places.get(r.gram, 0) + r.n
+    assert max(places.values()) >= 60 and any(r.n > 3 for r in found)
+    repeated = substring_dedup.repeated_anchors(anchors, 30)
+    want = {(r.block, r.gram, places[r.gram] > 30) for r in found if places[r.gram] > 1}
+    assert {(r.block, r.gram, r.hot) for r in repeated.collect()} == want and {hot for _, _, hot in want} == {True, False}
+    assert repeated._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1

@@ -13,7 +13,7 @@ is repeated. Windows of a segment that stands twice are repeated without a searc
 back to the documents.
 
 Scale. Documents move once, compressed, in blocks of bounded size; anchors are about one in ten
-words, a hash and a place each; only repeated anchors carry text. Shards hold a bounded number of
+words, a hash and a count for each block, so a common one is a row a block; only repeated anchors carry text. Shards hold a bounded number of
 segments. An anchor with over ``HOT`` segments (a common line between different neighbours) is dealt
 window by window instead, by the window's own hash, so it spreads over the shards and equal windows
 merge before the shuffle. Comparison is by words, not by hashes: a shard's symbols are its words.
@@ -29,13 +29,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, parts, stored, texts
 from .fm_index import FmIndex
 from .vocab import block_rows, in_blocks
-from .wordbatch import Words, grams
+from .wordbatch import Words, grams, text_bytes
 
 WINDOW = 35
 GRAM = 16
@@ -43,7 +44,7 @@ BLOCK_BYTES = 4 << 20
 SHARD_SEGMENTS = 10_000
 HOT = 10_000
 
-ANCHORS = "gram long, block int, doc int, pos int"
+ANCHORS = "gram long, block int, n long"
 SEGMENTS = "gram long, k1 long, k2 long, mask long, words string, block int, doc int, start int"
 
 
@@ -66,52 +67,59 @@ def anchors_of(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray
 
 
 def find_anchors(packed: DataFrame, window: int, gram: int) -> DataFrame:
+    """The runs that are anchors in each block and at how many places; a common run is one row a block."""
+
     def run(table: pa.Table) -> pa.Table:
-        w = Words(block_rows(table)[1])
-        _, at, key = anchors_of(w, window, gram)
-        at, first = np.unique(at, return_index=True)
-        doc = np.searchsorted(w.offsets, at, "right") - 1
-        block = np.full(len(at), table.column("block")[0].as_py(), np.int32)
-        return pa.table({"gram": key[first], "block": block, "doc": doc.astype(np.int32), "pos": (at - w.offsets[doc]).astype(np.int32)})
+        _, at, key = anchors_of(Words(block_rows(table)[1]), window, gram)
+        runs, n = np.unique(key[np.unique(at, return_index=True)[1]], return_counts=True)
+        block = np.full(len(runs), table.column("block")[0].as_py(), np.int32)
+        return pa.table({"gram": runs, "block": block, "n": n})
 
     return packed.groupBy("block").applyInArrow(run, ANCHORS)
 
 
+def repeated_anchors(anchors: DataFrame, hot: int) -> DataFrame:
+    """The runs that are anchors at more than one place of the corpus, for each block that has them."""
+    everywhere = F.sum("n").over(Window.partitionBy("gram"))
+    return anchors.withColumn("n", everywhere).where("n > 1").select("block", "gram", (F.col("n") > hot).alias("hot"))
+
+
 def cut_segments(packed: DataFrame, anchors: DataFrame, window: int, gram: int) -> DataFrame:
     """A row per repeated anchor: its words, which windows (bits from ``start``) are its own, and where it stands."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c.split()[0]: [] for c in SEGMENTS.split(", ")}
-        if docs.num_rows and found.num_rows:
-            w = Words(block_rows(docs)[1])
-            words = w.uniques.to_numpy(zero_copy_only=False).astype(object)
-            starts, at, key = anchors_of(w, window, gram)
-            first = w.offsets[found.column("doc").to_numpy()]
-            anchors_, order = np.unique(first + found.column("pos").to_numpy(), return_index=True)
-            hot = found.column("hot").to_numpy()[order]
-            mine = np.minimum(np.searchsorted(anchors_, at), len(anchors_) - 1)
-            keep = anchors_[mine] == at
-            starts, at, key, mine = starts[keep], at[keep], key[keep], mine[keep]
-            order = np.argsort(at, kind="stable")
-            cuts = np.flatnonzero(np.diff(at[order])) + 1
-            block = docs.column("block")[0].as_py()
-            for rows in np.split(order, cuts):
-                p, own = int(at[rows[0]]), starts[rows]
-                doc = int(np.searchsorted(w.offsets, p, "right") - 1)
-                base, end = int(w.offsets[doc]), int(w.offsets[doc + 1])
-                if hot[mine[rows[0]]]:
-                    spans = [(int(s), int(s) + window, 1) for s in own]
-                else:
-                    lo = max(base, p - (window - gram))
-                    spans = [(lo, min(end, p + window), int(sum(1 << int(s - lo) for s in own)))]
-                for lo, hi, mask in spans:
-                    text = " ".join(words[w.codes[lo:hi]])
-                    name = np.frombuffer(hashlib.blake2b(f"{mask} {text}".encode(), digest_size=16).digest(), np.int64)
-                    group = int(key[rows[0]]) if not hot[mine[rows[0]]] else int(name[0])
-                    for c, v in zip(out, (group, int(name[0]), int(name[1]), mask, text, block, doc, lo - base), strict=True):
-                        out[c].append(v)
         types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-        return pa.table(out, pa.schema([(c.split()[0], types[c.split()[1]]) for c in SEGMENTS.split(", ")]))
+        shape = pa.schema([(c.split()[0], types[c.split()[1]]) for c in SEGMENTS.split(", ")])
+        if not docs.num_rows or not found.num_rows:
+            return shape.empty_table()
+        w = Words(block_rows(docs)[1])
+        starts, at, key = anchors_of(w, window, gram)
+        runs, order = np.unique(found.column("gram").to_numpy(), return_index=True)
+        hot = found.column("hot").to_numpy()[order]
+        place = np.minimum(np.searchsorted(runs, key), len(runs) - 1)
+        keep = runs[place] == key
+        starts, at, key, spread = starts[keep], at[keep], key[keep], hot[place[keep]]
+        if not len(at):
+            return shape.empty_table()
+        # Windows of one anchor follow each other; those of a hot one are segments of their own.
+        first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | spread[1:]))
+        p, key, spread = at[first], key[first], spread[first]
+        doc = np.searchsorted(w.offsets, p, "right") - 1
+        base, end = w.offsets[doc], w.offsets[doc + 1]
+        lo = np.where(spread, starts[first], np.maximum(base, p - (window - gram)))
+        hi = np.where(spread, lo + window, np.minimum(end, p + window))
+        sizes = np.diff(np.append(first, len(starts)))
+        mask = np.bitwise_or.reduceat(np.uint64(1) << (starts - np.repeat(lo, sizes)).astype(np.uint64), first).view(np.int64)
+        # The words of the block with a blank behind each, and where each begins.
+        line = pc.binary_join_element_wise(w.uniques.take(pa.array(w.codes)), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+        data, byte = text_bytes(line)
+        data = data.tobytes()
+        text = [data[a:b] for a, b in zip(byte[lo].tolist(), (byte[hi] - 1).tolist(), strict=True)]
+        names = b"".join([hashlib.blake2b(b"%d %b" % x, digest_size=16).digest() for x in zip(mask.tolist(), text, strict=True)])
+        k1, k2 = np.frombuffer(names, np.int64).reshape(-1, 2).T
+        block = np.full(len(p), docs.column("block")[0].as_py(), np.int32)
+        columns = [np.where(spread, k1, key), k1, k2, mask, pa.array(text, pa.binary()).cast(pa.string()), block, doc.astype(np.int32), (lo - base).astype(np.int32)]
+        return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=shape)
 
     return packed.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(run, SEGMENTS)
 
@@ -183,8 +191,7 @@ def remove_repeats(
         raise ValueError("a segment's windows are bits of one number: gram <= window <= gram + 62")
     packed, _ = in_blocks(texts(docs), block_bytes)
     anchors = find_anchors(packed, window, gram)
-    twice = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", (F.col("n") > hot).alias("hot"))
-    repeated = anchors.join(twice, "gram").select("block", "doc", "pos", "hot")
+    repeated = repeated_anchors(anchors, hot)
     segments = stored(cut_segments(packed, repeated, window, gram), "substring-segments")
     shards = parts(segments.count(), shard_segments)
     distinct = segments.groupBy("gram", "k1", "k2").agg(F.first("mask").alias("mask"), F.first("words").alias("words"), F.count(F.lit(1)).alias("n"))
