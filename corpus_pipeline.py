@@ -25,12 +25,23 @@ from wagelens.llm.common import documents, stored
 #: Of texts in a block of the last stage; the executors still hold what the stages before made them load.
 BLOCK_BYTES = 3 << 20
 
+#: Of texts that go to Python at once; Spark's 10,000 are tens of MB, held in the executor and in its worker.
+BATCH_ROWS = 1000
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: The stages hold decisions that SQL can't express (a trained classifier, a tokenizer).
 ORACLE_SQL = None
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets at most ``BATCH_ROWS`` rows go to Python at once in this session; a smaller setting stays."""
+    if not 0 < int(spark.conf.get(BATCHES)) <= BATCH_ROWS:
+        spark.conf.set(BATCHES, BATCH_ROWS)
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    small_batches(spark)
     return quality.keep_good(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -41,11 +52,13 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (runs of five words, similarity 0.8) the document with the smallest doc_id."""
+    small_batches(spark)
     return near_dedup.keep_one(docs, 5)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no copy of a test item."""
+    small_batches(spark)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -53,6 +66,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document and the text decoded from them."""
     import public_tokenizers
 
+    small_batches(spark)
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rows = bpe.encode(docs, ranks, BLOCK_BYTES)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.decode(F.col("ids"), ranks).cast("string").alias("text"))

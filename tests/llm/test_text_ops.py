@@ -11,8 +11,8 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wagelens.llm import bpe, decontaminate, quality, token_files
-from wagelens.llm.wordbatch import Words
+from wagelens.llm import bpe, decontaminate, near_dedup, quality, token_files, vocab
+from wagelens.llm.wordbatch import PART_BYTES, Words, split_parts, text_bytes
 from wagelens.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +33,55 @@ def test_pieces_and_words_of_any_text(texts):
         assert [[names[c] for c in got.codes[a:b]] for a, b in zip(got.offsets[:-1], got.offsets[1:], strict=True)] == [regex.findall(rule, t) for t in texts]
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=ALPHABET, max_size=30)), max_size=12), st.integers(1, 40))
+def test_texts_split_in_parts_as_at_once(texts, limit):
+    for split in (bpe.Pieces, Words):
+        whole = split(pa.array(texts, pa.large_string()))
+        codes, uniques, offsets = split_parts(pa.array(texts, pa.large_string()), split, limit)
+        assert codes.tolist() == whole.codes.tolist() and offsets.tolist() == whole.offsets.tolist()
+        assert uniques.to_pylist() == whole.uniques.to_pylist()
+
+
+def test_no_block_is_split_at_once(monkeypatch):
+    """What a split of all texts of a block takes at its highest is bounded by a part, not by the block."""
+    seen = []
+
+    class Counted(Words):
+        def __init__(self, texts):
+            seen.append(len(text_bytes(texts)[0]))
+            super().__init__(texts)
+
+    text = pa.array([f"w{i} " * 2000 for i in range(1000)], pa.large_string())
+    Counted.by_parts(text)
+    assert sum(seen) == len(text_bytes(text)[0]) > 8 << 20 and max(seen) < 1.1 * PART_BYTES
+    seen.clear()
+    calls = []
+
+    class Frame:
+        def groupBy(self, *_):
+            return self
+
+        cogroup = select = groupBy
+
+        def applyInArrow(self, f, _):
+            calls.append(f)
+            return self
+
+        mapInArrow = applyInArrow
+
+    monkeypatch.setattr(vocab, "in_blocks", lambda docs, block_bytes: (Frame(), 4))
+    vocab.encoded(None, Counted, lambda rows: rows)
+    distinct, _, _, assembled = calls
+    block = pa.table({"block": pa.array([0], pa.int32()), "data": pa.array([vocab.pack(pa.table({"doc_id": range(1000), "text": text}))], pa.binary())})
+    rows = distinct(block).to_pylist()
+    lists = [[len(w) for w in vocab.unpack(r["words"]).column("w").to_pylist()] for r in rows]
+    answers = [{"block": 0, "bucket": r["bucket"], "n": vocab.pack(pa.table({"n": pa.array([1] * len(x), pa.int32())})), "v": vocab.pack(pa.table({"v": pa.array(x, pa.int32())}))} for r, x in zip(rows, lists, strict=True)]
+    got = assembled(block, pa.Table.from_pylist(answers))
+    assert got.column("ids").to_pylist() == [[len(f"w{i}")] * 2000 for i in range(1000)] and got.column("ids").num_chunks > 1
+    assert max(seen) < 1.1 * PART_BYTES
+
+
 def test_buckets_are_those_of_the_engine(spark):
     keys = ["", "A", "41", "AB", "ABC", "ABCD", "0123456789ABCDEF", "E4B8ADE69687", "FF" * 33]
     rows = spark.createDataFrame([(k,) for k in keys], "k string").selectExpr("k", f"hash(k) & {bpe.BUCKETS - 1} as h")
@@ -206,3 +255,48 @@ def test_pipeline_stages(spark):
     assert not any(i in t for i in items for t in texts.values())
     last = cp.STAGES[-1][1](spark, frame, SF).collect()
     assert {r.doc_id: r.text for r in last} == texts
+
+
+def test_packs_of_a_block_hold_rows_of_many_batches():
+    batches = [pa.record_batch([pa.array([k % 2, 1], pa.int32()), pa.array([k, None], pa.int64()), pa.array([f"t{k}", ""])], ["block", "doc_id", "text"]) for k in range(50)]
+    got = [(r["block"][0].as_py(), vocab.unpack(r["data"][0].as_py()).to_pylist()) for r in vocab.to_blocks(iter(batches))]
+    assert [b for b, _ in got] == [0, 1]
+    assert got[0][1] == [{"doc_id": k, "text": f"t{k}"} for k in range(0, 50, 2)] and len(got[1][1]) == 75
+    assert list(vocab.to_blocks(iter([]))) == []
+
+
+def test_shingles_are_taken_of_a_part_at_a_time(monkeypatch):
+    seen, calls = [], []
+    real = near_dedup.shingles
+    monkeypatch.setattr(near_dedup, "shingles", lambda t, k: (seen.append(len(text_bytes(t)[0])), real(t, k))[1])
+
+    class Frame:
+        def mapInArrow(self, f, _):
+            calls.append(f)
+            return self
+
+        def dropDuplicates(self, _):
+            return self
+
+    text = pa.array([f"a{i} b c d e f " * 1000 for i in range(300)])
+    near_dedup.sketches(Frame(), 5)
+    near_dedup.full_sets(Frame(), 5)
+    sketches = list(calls[0](iter([pa.record_batch([pa.array(range(300)), text], ["doc_id", "text"])])))
+    names = [c for b in sketches for c in b.column("c").to_pylist()]
+    assert len(names) == 300 and [i for b in sketches for i in b.column("doc_id").to_pylist()] == list(range(300))
+    sets = list(calls[1](iter([pa.record_batch([pa.array(names, pa.binary()), text], ["c", "text"])])))
+    assert [c for b in sets for c in b.column("c").to_pylist()] == names
+    assert sum(seen) > 2 * (4 << 20) and max(seen) < 1.1 * PART_BYTES
+
+
+def test_pipeline_sends_few_rows_to_python_at_once(spark, docs):
+    import corpus_pipeline as cp
+
+    before = spark.conf.get(cp.BATCHES)
+    try:
+        for given_, want in (("10000", cp.BATCH_ROWS), ("0", cp.BATCH_ROWS), ("50", 50)):
+            spark.conf.set(cp.BATCHES, given_)
+            cp.without_near_copies(spark, docs([(1, "a b"), (2, "a b")]), SF)
+            assert int(spark.conf.get(cp.BATCHES)) == want
+    finally:
+        spark.conf.set(cp.BATCHES, before)

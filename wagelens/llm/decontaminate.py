@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, stored, texts
-from .wordbatch import Words, by_bytes, grams, mix, word_hashes
+from .wordbatch import PART_BYTES, Words, by_bytes, grams, mix, word_hashes
 
 GRAM = 3
 GAPPED = ((0, 1, 3), (0, 2, 3))  # a run of three words of an item with a word put in
@@ -190,7 +190,7 @@ def aligned(text: DataFrame, items: Items) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in by_bytes(whole, "text"):
+            for b in by_bytes(whole, "text", PART_BYTES):
                 found = items.best(b.column("text"))
                 columns = [
                     b.column("doc_id").take(pa.array([t for t, _ in found], pa.int64())), pa.array([items.ids[i] for _, i in found], pa.int64()),

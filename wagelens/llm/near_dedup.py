@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, stored, texts
 from .components import components
-from .wordbatch import Words, grams, mix, segment_sums
+from .wordbatch import PART_BYTES, Words, by_bytes, grams, mix, segment_sums
 
 TREES, DEPTH, LEAST = 20, 6, 4
 BINS = 1 << 18  # of shingle counts; the only thing that is collected
@@ -93,8 +93,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
+            for part in by_bytes(b, "text", PART_BYTES):
                 values, offsets = shingles(part.column("text"), k)
                 # Big-endian, so that keys compare as their min-hashes do.
                 sig = iter(signatures(values, offsets).astype(">u4"))
@@ -113,11 +112,12 @@ def full_sets(rows: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values, offsets = shingles(b.column("text"), k)
-            names = set_keys(values, offsets)
-            keep = [i for i, (n, c) in enumerate(zip(names, b.column("c").to_pylist(), strict=True)) if n == c]
-            data = [values[offsets[i] : offsets[i + 1]].tobytes() for i in keep]
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in keep], pa.binary()), pa.array(data, pa.binary())], ["c", "items"])
+            for part in by_bytes(b, "text", PART_BYTES):
+                values, offsets = shingles(part.column("text"), k)
+                names = set_keys(values, offsets)
+                keep = [i for i, (n, c) in enumerate(zip(names, part.column("c").to_pylist(), strict=True)) if n == c]
+                data = [values[offsets[i] : offsets[i + 1]].tobytes() for i in keep]
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in keep], pa.binary()), pa.array(data, pa.binary())], ["c", "items"])
 
     return rows.mapInArrow(run, "c binary, items binary").dropDuplicates(["c"])
 

@@ -18,13 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordbatch import ragged, word_hashes
+from .wordbatch import Split, ragged, split_parts, word_hashes
 
 BLOCK_BYTES = 6 << 20
 BLOCKS_PER_BUCKET = 2
+PART_WORDS = 1 << 17
+HELD_BYTES = 16 << 20
 
-#: text array -> object with codes, offsets, uniques
-Split = Callable[[pa.Array], object]
 #: rows (bucket, words, blocks, blobs) -> the same with ids array<array<int>>, one per word
 Encode = Callable[[DataFrame], DataFrame]
 
@@ -40,17 +40,26 @@ def unpack(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def to_blocks(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            of = b.column(0).to_numpy()
-            order = np.argsort(of, kind="stable")
-            cuts = np.flatnonzero(np.diff(of[order])) + 1
-            for rows in np.split(order, cuts) if len(order) else []:
-                part = b.select(["doc_id", "text"]).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array([of[rows[0]]], pa.int32()), pa.array([pack(part)], pa.binary())], ["block", "data"])
+def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs the rows of each block, from about ``HELD_BYTES`` of rows at a time: small packs compress badly."""
+
+    def packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        of = rows.column(0).to_numpy()
+        order = np.argsort(of, kind="stable")
+        cuts = np.flatnonzero(np.diff(of[order])) + 1
+        for some in np.split(order, cuts) if len(order) else []:
+            part = rows.select(["doc_id", "text"]).take(pa.array(some)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array([of[some[0]]], pa.int32()), pa.array([pack(part)], pa.binary())], ["block", "data"])
 
-    return run
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= HELD_BYTES:
+            yield from packed(pa.Table.from_batches(held).combine_chunks())
+            held, size = [], 0
+    if held:
+        yield from packed(pa.Table.from_batches(held).combine_chunks())
 
 
 def in_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
@@ -62,7 +71,7 @@ def in_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     blocks = max(1, -(-size // block_bytes))
     rows = docs.select(F.expr(f"cast(pmod(xxhash64(doc_id), {blocks}) as int)").alias("block"), "doc_id", "text")
     parts = max(1, min(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return rows.mapInArrow(to_blocks(blocks), "block int, data binary").repartition(parts, "block"), blocks
+    return rows.mapInArrow(to_blocks, "block int, data binary").repartition(parts, "block"), blocks
 
 
 def block_rows(table: pa.Table) -> tuple[pa.Array, pa.Array]:
@@ -72,6 +81,11 @@ def block_rows(table: pa.Table) -> tuple[pa.Array, pa.Array]:
     return parts.column("doc_id").combine_chunks(), parts.column("text").cast(pa.large_string()).combine_chunks()
 
 
+def as_list(values: pa.Array) -> pa.ListArray:
+    """One row that holds all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def _dealt(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The order in which a block's words go to the buckets, and the bucket of each: the same wherever the block is read."""
     rank = pc.array_sort_indices(words).to_numpy()
@@ -86,7 +100,7 @@ def encoded(docs: DataFrame, split: Split, encode: Encode, block_bytes: int = BL
     buckets = max(1, -(-blocks // BLOCKS_PER_BUCKET))
 
     def distinct(table: pa.Table) -> pa.Table:
-        words = split(block_rows(table)[1]).uniques
+        _, words, _ = split_parts(block_rows(table)[1], split)
         order, bucket = _dealt(words, buckets)
         rows = {"bucket": [], "block": [], "words": []}
         for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(bucket)) + 1) if len(order) else []:
@@ -97,13 +111,13 @@ def encoded(docs: DataFrame, split: Split, encode: Encode, block_bytes: int = BL
 
     def gathered(table: pa.Table) -> pa.Table:
         blobs = table.column("words").combine_chunks()
-        found = pa.concat_tables([unpack(b.as_py()) for b in blobs]).column("w").unique()
+        found = pa.concat_tables([unpack(b.as_py()) for b in blobs]).column("w").unique().cast(pa.string())
         return pa.table(
             {
                 "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()),
-                "words": pa.array([found.to_pylist()], pa.list_(pa.string())),
-                "blocks": pa.array([table.column("block").to_pylist()], pa.list_(pa.int32())),
-                "blobs": pa.array([blobs.to_pylist()], pa.list_(pa.binary())),
+                "words": as_list(found),
+                "blocks": as_list(table.column("block").combine_chunks()),
+                "blobs": as_list(blobs),
             }
         )
 
@@ -127,8 +141,9 @@ def encoded(docs: DataFrame, split: Split, encode: Encode, block_bytes: int = BL
         if not docs_.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
         ids, text = block_rows(docs_)
-        w = split(text)
-        order, _ = _dealt(w.uniques, buckets)
+        codes, uniques, offsets = split_parts(text, split)
+        del text
+        order, _ = _dealt(uniques, buckets)
         got = answers.sort_by("bucket")
         n = [unpack(x.as_py()).column("n").to_numpy() for x in got.column("n")]
         v = [unpack(x.as_py()).column("v").to_numpy() for x in got.column("v")]
@@ -137,10 +152,15 @@ def encoded(docs: DataFrame, split: Split, encode: Encode, block_bytes: int = BL
             raise RuntimeError("a block's words and their ids differ")
         place = np.empty(len(order), np.int64)  # of each word in the order of the answers
         place[order] = np.arange(len(order))
-        values, offsets = np.concatenate([np.zeros(0, np.int32), *v]), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        flat, ends = ragged(values, offsets, place[w.codes] if len(w.codes) else np.zeros(0, np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(ends[w.offsets].astype(np.int32)), pa.array(flat.astype(np.int32)))
-        return pa.table({"doc_id": ids.cast(pa.int64()), "ids": lists})
+        values, at = np.concatenate([np.zeros(0, np.int32), *v]), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        words = place[codes] if len(codes) else codes
+        # The ids of some texts at a time.
+        cuts = np.unique([0, *np.searchsorted(offsets, np.arange(PART_WORDS, len(words), PART_WORDS)), len(ids)])
+        lists = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            flat, ends = ragged(values, at, words[offsets[lo] : offsets[hi]])
+            lists.append(pa.ListArray.from_arrays(pa.array(ends[offsets[lo : hi + 1] - offsets[lo]].astype(np.int32)), pa.array(flat.astype(np.int32))))
+        return pa.table({"doc_id": ids.cast(pa.int64()), "ids": pa.chunked_array(lists, pa.list_(pa.int32()))})
 
     words = packed.groupBy("block").applyInArrow(distinct, "bucket int, block int, words binary")
     gather = words.groupBy("bucket").applyInArrow(gathered, "bucket int, words array<string>, blocks array<int>, blobs array<binary>")

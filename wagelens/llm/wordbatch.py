@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,6 +41,30 @@ def by_bytes(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES)
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         if hi > lo:
             yield batch.slice(lo, hi - lo)
+            pa.default_memory_pool().release_unused()  # else a worker keeps what its largest slice took, also while it is idle
+
+
+PART_BYTES = 1 << 20
+
+#: text array -> object with codes, offsets, uniques
+Split = Callable[[pa.Array], object]
+
+
+def split_parts(texts: pa.Array, split: Split, limit: int = PART_BYTES) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Codes, distinct words and offsets of all texts as ``split`` gives them, split about ``limit`` bytes (or one text) at a time.
+
+    Words stand in the order of their first place, as if all were split at once; the arrays that splitting needs are of a part's size.
+    """
+    found = [split(b.column(0)) for b in by_bytes(pa.record_batch([texts], ["text"]), 0, limit)] or [split(texts)]
+    names = pa.concat_arrays([w.uniques for w in found]).dictionary_encode()
+    place = np.asarray(names.indices, dtype=np.int64)
+    words = np.cumsum([0, *(len(w.uniques) for w in found)])
+    pieces = np.cumsum([0, *(len(w.codes) for w in found)])
+    codes = np.empty(pieces[-1], np.int64)
+    for w, name, piece in zip(found, words, pieces, strict=False):
+        codes[piece : piece + len(w.codes)] = place[name + w.codes]
+    offsets = [w.offsets[:-1] + piece for w, piece in zip(found, pieces, strict=False)]
+    return codes, names.dictionary, np.concatenate([*offsets, pieces[-1:]])
 
 
 def coded(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -99,6 +123,13 @@ class Words:
         self.codes, self.uniques = coded(data[~gap], before[starts])
         self.offsets = np.searchsorted(starts, at)
 
+    @classmethod
+    def by_parts(cls, texts: pa.Array) -> Words:
+        """The same, with less memory for many texts."""
+        words = cls.__new__(cls)
+        words.codes, words.uniques, words.offsets = split_parts(texts, cls)
+        return words
+
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
