@@ -70,7 +70,7 @@ def find_anchors(packed: DataFrame, window: int, gram: int) -> DataFrame:
     """The runs that are anchors in each block and at how many places; a common run is one row a block."""
 
     def run(table: pa.Table) -> pa.Table:
-        _, at, key = anchors_of(Words(block_rows(table)[1]), window, gram)
+        _, at, key = anchors_of(Words.by_parts(block_rows(table)[1]), window, gram)
         runs, n = np.unique(key[np.unique(at, return_index=True)[1]], return_counts=True)
         block = np.full(len(runs), table.column("block")[0].as_py(), np.int32)
         return pa.table({"gram": runs, "block": block, "n": n})
@@ -92,7 +92,7 @@ def cut_segments(packed: DataFrame, anchors: DataFrame, window: int, gram: int)
         shape = pa.schema([(c.split()[0], types[c.split()[1]]) for c in SEGMENTS.split(", ")])
         if not docs.num_rows or not found.num_rows:
             return shape.empty_table()
-        w = Words(block_rows(docs)[1])
+        w = Words.by_parts(block_rows(docs)[1])
         starts, at, key = anchors_of(w, window, gram)
         runs, order = np.unique(found.column("gram").to_numpy(), return_index=True)
         hot = found.column("hot").to_numpy()[order]
@@ -128,7 +128,7 @@ def search_shards(segments: DataFrame, window: int) -> DataFrame:
     """Of distinct segments (shard, k1, k2, mask, words, n): k1, k2, found (bits of the repeated windows)."""
 
     def run(table: pa.Table) -> pa.Table:
-        w = Words(table.column("words"))
+        w = Words.by_parts(table.column("words").combine_chunks())
         mask, n = table.column("mask").to_numpy().astype(np.uint64), table.column("n").to_numpy()
         # Symbols from 1, with a 0 behind each segment.
         at = w.offsets[:-1] + np.arange(len(w))
@@ -164,7 +164,7 @@ def without_repeats(packed: DataFrame, found: DataFrame, window: int) -> DataFra
         if not docs.num_rows:
             return shape.empty_table()
         ids, text = block_rows(docs)
-        w = Words(text)
+        w = Words.by_parts(text)
         edge = np.zeros(len(w.codes) + 1, np.int64)
         if hits.num_rows:
             start = w.offsets[hits.column("doc").to_numpy()] + hits.column("start").to_numpy()
