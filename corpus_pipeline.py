@@ -20,25 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wagelens.llm import bpe, decontaminate, exact_dedup, near_dedup, quality
-from wagelens.llm.common import documents, stored
+from wagelens.llm.common import documents, small_batches, stored
 
 #: Of texts in a block of the last stage; the executors still hold what the stages before made them load.
 BLOCK_BYTES = 3 << 20
 
-#: Of texts that go to Python at once; Spark's 10,000 are tens of MB, held in the executor and in its worker.
-BATCH_ROWS = 1000
-BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
 #: The stages hold decisions that SQL can't express (a trained classifier, a tokenizer).
 ORACLE_SQL = None
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lets at most ``BATCH_ROWS`` rows go to Python at once in this session; a smaller setting stays."""
-    if not 0 < int(spark.conf.get(BATCHES)) <= BATCH_ROWS:
-        spark.conf.set(BATCHES, BATCH_ROWS)
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     small_batches(spark)

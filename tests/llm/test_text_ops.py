@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from wagelens.llm import bpe, decontaminate, near_dedup, quality, token_files, vocab
+from wagelens.llm.common import BATCH_ROWS, BATCHES
 from wagelens.llm.wordbatch import PART_BYTES, Words, split_parts, text_bytes
 from wagelens.session import scratch_path
 
@@ -289,14 +290,16 @@ def test_shingles_are_taken_of_a_part_at_a_time(monkeypatch):
     assert sum(seen) > 2 * (4 << 20) and max(seen) < 1.1 * PART_BYTES
 
 
-def test_pipeline_sends_few_rows_to_python_at_once(spark, docs):
+def test_few_rows_go_to_python_at_once(spark, docs, table):
     import corpus_pipeline as cp
 
-    before = spark.conf.get(cp.BATCHES)
+    folder = table(documents=docs([(1, "a b"), (2, "a b")]))
+    before = spark.conf.get(BATCHES)
     try:
-        for given_, want in (("10000", cp.BATCH_ROWS), ("0", cp.BATCH_ROWS), ("50", 50)):
-            spark.conf.set(cp.BATCHES, given_)
-            cp.without_near_copies(spark, docs([(1, "a b"), (2, "a b")]), SF)
-            assert int(spark.conf.get(cp.BATCHES)) == want
+        for given_, want in (("10000", BATCH_ROWS), ("0", BATCH_ROWS), ("50", 50)):
+            for use in (lambda: cp.token_ids(spark, docs([]), SF), lambda: bpe.query(spark, folder)):
+                spark.conf.set(BATCHES, given_)
+                use()
+                assert int(spark.conf.get(BATCHES)) == want
     finally:
-        spark.conf.set(cp.BATCHES, before)
+        spark.conf.set(BATCHES, before)

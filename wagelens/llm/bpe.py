@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, texts
+from .common import documents, small_batches, texts
 from .vocab import BLOCK_BYTES, encoded
 from .wordbatch import coded, text_bytes
 
@@ -197,6 +197,7 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    small_batches(spark)
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rows = encode(documents(spark, sf_dir), ranks)
     return rows.select(
