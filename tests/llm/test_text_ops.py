@@ -1,6 +1,7 @@
 """Tokenizers, quality, decontamination and the pipeline."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -303,3 +304,29 @@ def test_few_rows_go_to_python_at_once(spark, docs, table):
                 assert int(spark.conf.get(BATCHES)) == want
     finally:
         spark.conf.set(BATCHES, before)
+
+
+def test_ranks_are_not_written_out_in_plans(spark):
+    rows = spark.createDataFrame([(["abab", "ba"],)], "words array<string>")
+    # A tenth of this is what each description took when the ranks were a literal.
+    ranks = {bytes([a, b]): 256 + 256 * a + b for a in range(256) for b in range(64, 128)} | {bytes([a]): a for a in range(256)}
+    out = bpe.fold_words(ranks, rows)
+    assert out.columns == ["words", "ids"] and [len(w) for w in out.collect()[0].ids] == [2, 1]
+    assert len(out._jdf.queryExecution().toString()) < 100_000
+
+
+def naive(data, ranks):
+    parts = [bytes([b]) for b in data]
+    while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]:
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_folds_merge_in_order_of_rank_from_the_left(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("ab", k=n)) for n in range(1, 40)] + ["a" * n for n in range(1, 12)] + ["c", "cc", "cacb"]
+    longer = [bytes(rng.choices(b"ab", k=rng.randint(2, 5))) for _ in range(40)]
+    ranks = {t: i for i, t in enumerate(dict.fromkeys([*longer, b"a", b"b", b"c"]))}  # in no order that training gives
+    got = bpe.fold_words(ranks, spark.createDataFrame([(words,)], "words array<string>")).collect()[0].ids
+    assert got == [[ranks[w.encode()]] if w.encode() in ranks else naive(w.encode(), ranks) for w in words]

@@ -1,14 +1,15 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words, and decoding.
 
 Method. A text is cut into pieces by the tokenizer's pattern; each distinct piece of the corpus is
-encoded once (see ``vocab`` for how words and their ids travel). A piece is an array of byte strings
-(in hexadecimal); Spark's ``aggregate`` folds merges over it: each step joins the leftmost adjacent
-pair of the lowest rank, until no pair has a rank. Ranks come from a literal map that stands in the
-plan, cut into ``BUCKETS`` small maps by a hash because Spark searches a map from its start.
+encoded once (see ``vocab`` for how words and their ids travel). A piece is its bytes (in hexadecimal)
+and where its parts begin; Spark's ``aggregate`` folds merges over it: each step joins the leftmost
+adjacent pair of the lowest rank, until no pair has a rank. Ranks come from a map that a scalar subquery
+gives, cut into ``BUCKETS`` small maps by a hash because Spark searches a map from its start.
 Decoding looks up each id's bytes in a literal array and concatenates them.
 
 Scale. The rank file is bounded (the vocabulary's size is checked); it is the only thing in the plan.
-A piece costs at most the square of its length: texts are cut by the pattern, so pieces are short.
+A piece looks up as many pairs as it has bytes and two for each merge; its parts are copied at each
+merge, so it costs the square of its length: texts are cut by the pattern, so pieces are short.
 
 Defined cases: null text is empty and has no ids; repeated rows are encoded again; null doc_id is
 kept; an empty table gives no rows; other columns are ignored. Strings of special tokens are ordinary text.
@@ -120,13 +121,13 @@ def _bucket(key: str) -> int:
     return (h ^ h >> 16) & BUCKETS - 1
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """array<map<hex of the bytes, rank>>, a literal once the optimizer has folded it."""
+def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """One row: the maps {hex of the bytes: rank} by bucket, as JSON."""
     maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         key = token.hex().upper()
         maps[_bucket(key)][key] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,bigint>>")
+    return spark.createDataFrame([(json.dumps(maps, separators=(",", ":")),)], "ranks string")
 
 
 def rank_of(maps: Column, key: Column) -> Column:
@@ -140,43 +141,56 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def merge_step(maps: Column, state: Column) -> Column:
-    """Joins the leftmost pair of the lowest rank.
+def merge_step(maps: Column, key: Column, state: Column) -> Column:
+    """Joins the leftmost pair of the lowest rank; only the two pairs that this changes are looked up again.
 
-    ``state``: the pieces in hexadecimal with a blank between each two; a pair is joined by taking
-    out the blank between them. ``#`` in front says that no pair has a rank. (Strings, because
-    Spark copies arrays far more slowly.)
+    ``state``: for each piece the rank of the pair that it begins, times ``PLACES``, plus where it
+    begins in ``key``; without a pair the rank is NO_RANK, as it is for one entry more in front (at 0)
+    and one behind (at the end). So the least entry is the leftmost pair of the lowest rank, and the
+    one in front if no pair has a rank.
     """
+    at = lambda i: F.get(state, i) % PLACES
+    cut = lambda lo, hi: F.substring(key, lo + 1, hi - lo)
 
-    def best(pieces: Column) -> Column:
-        # The lowest rank and the leftmost place that has it, in one number.
-        return F.array_min(F.transform(pieces, lambda p, i: rank_of(maps, F.concat(p, F.get(pieces, i + 1))) * PLACES + i))
+    def put(p: Column) -> Column:
+        # p, counted from 1, is the pair's first piece. A pair with an end is null and so has no rank.
+        keys = F.array(F.when(p > 2, cut(at(p - 2), at(p + 1))), cut(at(p - 1), at(p + 2)))
+        pairs = F.transform(keys, lambda k, j: rank_of(maps, k) * PLACES + at(p - 2 + j))
+        return F.when(p == 1, state).otherwise(F.concat(F.slice(state, F.lit(1), p - 2), pairs, F.slice(state, p + 2, F.size(state))))
 
-    def put(m: Column) -> Column:
-        head = F.call_function("substring_index", state, F.lit(" "), (m % PLACES + 1).cast("int"))
-        return F.when(m >= NO_RANK * PLACES, F.concat(F.lit("#"), state)).otherwise(
-            let(head, lambda h: F.concat(h, F.substring(state, F.length(h) + 2, F.length(state))))
-        )
-
-    return F.when(F.startswith(state, F.lit("#")), state).otherwise(let(let(F.split(state, " ", -1), best), put))
+    return let(F.array_position(state, F.array_min(state)).cast("int"), put)
 
 
 def word_ids(maps: Column, word: Column) -> Column:
     """array<int>: the ids of one piece."""
 
     def fold(key: Column) -> Column:
-        bytes_ = F.rtrim(F.regexp_replace(key, "(..)", "$1 "))
-        done = F.aggregate(F.sequence(F.lit(1), (F.length(key) / 2).cast("int")), bytes_, lambda s, _: merge_step(maps, s))
-        ids = F.transform(F.split(F.ltrim(done, F.lit("#")), " ", -1), lambda p: rank_of(maps, p).cast("int"))
+        n = F.length(key)
+        pairs = F.transform(F.sequence(F.lit(1), n - 1, F.lit(2)), lambda i: F.substring(key, i, F.lit(4)))
+        first = F.transform(pairs, lambda k, i: F.when(F.length(k) == 4, rank_of(maps, k)).otherwise(F.lit(NO_RANK).cast("long")) * PLACES + 2 * i)
+        ends = lambda at: F.array(at.cast("long") + NO_RANK * PLACES)
+        state = F.concat(ends(F.lit(0)), first, ends(n))
+
+        def ids(done: Column) -> Column:
+            pieces = F.transform(F.slice(done, F.lit(2), F.size(done) - 2), lambda x, i: F.substring(key, x % PLACES + 1, F.get(done, i + 2) % PLACES - x % PLACES))
+            return F.transform(pieces, lambda k: rank_of(maps, k).cast("int"))
+
         one = rank_of(maps, key)
-        return F.when(one != NO_RANK, F.array(one.cast("int"))).otherwise(ids)
+        many = F.aggregate(F.sequence(F.lit(2), (n / 2).cast("int")), state, lambda s, _: merge_step(maps, key, s), ids)
+        return F.when(one != NO_RANK, F.array(one.cast("int"))).otherwise(many)
 
     return let(F.hex(word.cast("binary")), fold)
 
 
 def fold_words(ranks: dict[bytes, int], rows: DataFrame) -> DataFrame:
-    """Adds the ids of each of the row's distinct words. The map stands once in the plan, bound to a variable."""
-    return rows.withColumn("ids", let(rank_map(ranks), lambda maps: F.transform("words", lambda w: word_ids(maps, w))))
+    """Adds the ids of each of the row's distinct words. The maps are read once for a row, bound to a variable.
+
+    They come as a scalar subquery: a literal of this size is written out, several times, in each
+    description of the plan that the driver makes while the query runs.
+    """
+    given = rows.withColumn("ranks", rank_table(rows.sparkSession, ranks).scalar())
+    maps = F.from_json("ranks", "array<map<string,bigint>>")
+    return given.withColumn("ids", let(maps, lambda m: F.transform("words", lambda w: word_ids(m, w)))).drop("ranks")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], block_bytes: int = BLOCK_BYTES) -> DataFrame:
